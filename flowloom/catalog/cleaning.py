@@ -284,10 +284,10 @@ def bucketize(spark, sf_dir):
     kept = raw.where(~F.coalesce(F.isnan("flow_duration"), F.lit(False)))
     return kept.select(
         "event_id",
-        tokens.bucket(F.col("flow_duration"), tokens.DURATION_EDGES, "DUR_").alias(
+        tokens.bucket("flow_duration", tokens.DURATION_EDGES, "DUR_").alias(
             "duration_bucket"
         ),
-        tokens.bucket(F.col("total_fwd_packets"), tokens.PACKET_EDGES, "FWD_").alias(
+        tokens.bucket("total_fwd_packets", tokens.PACKET_EDGES, "FWD_").alias(
             "packet_bucket"
         ),
     )

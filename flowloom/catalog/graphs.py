@@ -9,6 +9,7 @@ from flowloom.catalog.base import (
     with_ctes,
 )
 from flowloom.operators import graphs, splits
+from flowloom.plans.staging import stage
 from flowloom.sources.adapters import lineitems_as_flows, read_flows, read_table
 
 FEATURES = ["value", "k"]
@@ -27,6 +28,11 @@ def nodes(spark, sf_dir):
     return graphs.number_nodes(keyed(spark, sf_dir).select(*columns))
 
 
+def stored_nodes(spark, sf_dir):
+    """Node numbers are needed several times, so the table is written once."""
+    return stage(nodes(spark, sf_dir))
+
+
 def graphs_split(spark, sf_dir):
     summary = graphs.graph_summary(keyed(spark, sf_dir))
     return splits.stratified_split(summary, "graph_id", "graph_y", SEED, "split")
@@ -112,7 +118,7 @@ edge_blocks AS (SELECT graph_id, src // {BLOCK} AS block,
 SELECT graph_id, CAST(block AS BIGINT) AS block, nodes, coalesce(edges, '') AS edges
 FROM node_blocks LEFT JOIN edge_blocks USING (graph_id, block)""")
 def graph_assemble(spark, sf_dir):
-    numbered = nodes(spark, sf_dir)
+    numbered = stored_nodes(spark, sf_dir)
     edges = graphs.graph_edges(numbered, k=EDGE_K)
     blocks = graphs.assemble_graphs(numbered, edges, BLOCK)
     return blocks.select(
@@ -149,8 +155,8 @@ SELECT n.graph_id, n.node_id, {tidy_sql('h.nb1_value')} AS nb_value,
   {tidy_sql('h.nb1_k')} AS nb_k
 FROM nodes n LEFT JOIN hop1 h USING (graph_id, node_id)""")
 def neighbour_mean(spark, sf_dir):
-    numbered = nodes(spark, sf_dir)
-    edges = graphs.graph_edges(numbered, k=EDGE_K)
+    numbered = stored_nodes(spark, sf_dir)
+    edges = stage(graphs.graph_edges(numbered, k=EDGE_K))
     means = graphs.neighbour_mean(numbered, edges, FEATURES)
     return means.select(
         "graph_id", "node_id", *[tidy(f"nb_{c}") for c in FEATURES]
@@ -167,8 +173,8 @@ SELECT n.graph_id, n.node_id, {tidy_sql('a.nb1_value')} AS nb1_value,
 FROM nodes n LEFT JOIN hop1 a USING (graph_id, node_id)
 LEFT JOIN hop2 b USING (graph_id, node_id)""")
 def neighbour_mean_2hop(spark, sf_dir):
-    numbered = nodes(spark, sf_dir)
-    edges = graphs.graph_edges(numbered, k=EDGE_K)
+    numbered = stored_nodes(spark, sf_dir)
+    edges = stage(graphs.graph_edges(numbered, k=EDGE_K))
     means = graphs.neighbour_mean_two_hops(numbered, edges, FEATURES)
     names = [f"{hop}_{c}" for hop in ("nb1", "nb2") for c in FEATURES]
     return means.select("graph_id", "node_id", *[tidy(c) for c in names])

@@ -10,6 +10,7 @@ from flowloom.catalog.base import (
 )
 from flowloom.functions.tokens import tail
 from flowloom.operators import sequences, splits
+from flowloom.plans.staging import stage
 from flowloom.sources.adapters import read_flows
 
 FEATURES = ["value", "k"]
@@ -30,7 +31,7 @@ def token_sequences_(spark, sf_dir):
 
 
 def split_token_sequences(spark, sf_dir):
-    kept = token_sequences_(spark, sf_dir)
+    kept = stage(token_sequences_(spark, sf_dir))
     assigned = splits.temporal_split(sequences.token_groups(kept))
     return sequences.with_split(kept, assigned)
 
@@ -53,7 +54,7 @@ def trajectories_(spark, sf_dir):
 
 
 def split_trajectories(spark, sf_dir):
-    kept = trajectories_(spark, sf_dir)
+    kept = stage(trajectories_(spark, sf_dir))
     assigned = splits.temporal_split(sequences.event_groups(kept))
     return sequences.with_split(kept, assigned)
 

@@ -34,41 +34,37 @@ TOKEN_MEASURES = [
 ]
 
 
-def bucket(value: Column, edges: Sequence[float], prefix: str) -> Column:
+def bucket(value: str, edges: Sequence[float], prefix: str) -> Column:
     """Name of the half-open bucket holding ``value``; the last name for everything else.
 
-    ``edges`` ascend, so the first upper edge above the value decides.
+    ``value`` is a SQL expression. ``edges`` ascend, so the first upper edge above the
+    value decides.
     """
-    last = F.lit(f"{prefix}B{len(edges) - 1}")
-    chain = F.when(value < F.lit(float(edges[0])), last)
+    last = f"'{prefix}B{len(edges) - 1}'"
+    arms = [f"WHEN {value} < {float(edges[0])}D THEN {last}"]
     for number, upper in enumerate(edges[1:]):
-        chain = chain.when(value < F.lit(float(upper)), F.lit(f"{prefix}B{number}"))
-    return F.coalesce(chain, last)
+        arms.append(f"WHEN {value} < {float(upper)}D THEN '{prefix}B{number}'")
+    return F.expr(f"CASE {' '.join(arms)} ELSE {last} END")
 
 
 def flag_letters() -> Column:
     """Letters of the flags that were seen, ``N`` for none."""
-    letters = F.concat(
-        *[
-            F.when(F.col(name) > 0, F.lit(letter)).otherwise(F.lit(""))
-            for name, letter in FLAG_LETTERS.items()
-        ]
-    )
-    return F.coalesce(F.nullif(letters, F.lit("")), F.lit("N"))
+    letters = ", ".join(f"if({name} > 0, '{letter}', '')" for name, letter in FLAG_LETTERS.items())
+    return F.expr(f"coalesce(nullif(concat({letters}), ''), 'N')")
 
 
 def flow_token() -> Column:
     """Protocol, port, five bucketed measures and the flags, joined by ``|``."""
-    byte_count = F.col("total_length_of_fwd_packets") + F.col("total_length_of_bwd_packets")
+    byte_count = "(total_length_of_fwd_packets + total_length_of_bwd_packets)"
     return F.concat_ws(
         "|",
-        F.concat(F.lit("PR_"), F.col("protocol").cast("string")),
-        F.concat(F.lit("DP_"), F.col("destination_port").cast("string")),
-        bucket(F.col("flow_duration"), DURATION_EDGES, "DUR_"),
-        bucket(F.col("total_fwd_packets"), PACKET_EDGES, "FWD_"),
-        bucket(F.col("total_backward_packets"), PACKET_EDGES, "BWD_"),
+        F.expr("concat('PR_', protocol)"),
+        F.expr("concat('DP_', destination_port)"),
+        bucket("flow_duration", DURATION_EDGES, "DUR_"),
+        bucket("total_fwd_packets", PACKET_EDGES, "FWD_"),
+        bucket("total_backward_packets", PACKET_EDGES, "BWD_"),
         bucket(byte_count, BYTE_EDGES, "BYT_"),
-        bucket(F.col("flow_packets_s"), RATE_EDGES, "PPS_"),
+        bucket("flow_packets_s", RATE_EDGES, "PPS_"),
         F.concat(F.lit("FL_"), flag_letters()),
     )
 

@@ -146,7 +146,7 @@ def repair_measures(df: DataFrame, columns: Sequence[str] = tuple(TOKEN_MEASURES
     """Null, NaN and negative measures become 0.0."""
     return df.withColumns(
         {
-            c: F.when((F.col(c) >= 0) & ~F.isnan(F.col(c)), F.col(c)).otherwise(F.lit(0.0))
+            c: F.expr(f"CASE WHEN {c} >= 0 AND NOT isnan({c}) THEN {c} ELSE 0.0D END")
             for c in columns
         }
     )

@@ -69,7 +69,10 @@ def inferred_length(
 def encode_tokens(
     sequences: DataFrame, vocab: DataFrame, max_len: int, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """[CLS] and the ids of the last ``max_len - 1`` tokens, padded, with attention mask."""
+    """[CLS] and the ids of the last ``max_len - 1`` tokens, padded, with attention mask.
+
+    ``vocab`` is a stored table.
+    """
     if max_len < 2:
         raise ValueError("max_len must leave room for [CLS] and one token")
     columns = ["seq_id", *keep]
@@ -77,7 +80,12 @@ def encode_tokens(
         *columns, F.posexplode_outer("_tail").alias("pos", "token")
     )
     known = lookup_join(
-        items, vocab.select("token", "id"), ["token"], spread=["seq_id", "pos"], how="left"
+        items,
+        vocab.select("token", "id"),
+        ["token"],
+        spread=["seq_id", "pos"],
+        how="left",
+        staged=True,
     )
     ids = known.groupBy(*columns).agg(
         F.sort_array(

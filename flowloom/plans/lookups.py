@@ -23,16 +23,17 @@ def lookup_join(
     on: Sequence[str],
     spread: Sequence[str],
     how: str = "inner",
+    staged: bool = False,
 ) -> DataFrame:
     """Join ``facts`` with a ``lookup`` table that is unique on ``on``.
 
-    The lookup is staged and counted. Up to ``flowloom.broadcastRows`` narrow rows
+    The lookup is staged (unless it already is) and counted. Up to ``flowloom.broadcastRows`` narrow rows
     it is broadcast. Beyond that the join is shuffled on ``on`` plus a salt: the
     salt of a fact row is a hash of its ``spread`` columns, and every lookup row
     is present under each salt, so one hot key is spread over ``SALTS`` tasks.
     """
     spark = facts.sparkSession
-    table = stage(lookup)
+    table = lookup if staged else stage(lookup)
     keys = list(on)
     if table.count() <= broadcast_rows(spark):
         return facts.join(F.broadcast(table), keys, how)

@@ -114,10 +114,12 @@ def following(
     value: str,
     k: int,
     name: str,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add an array of ``value`` in the next ``k`` rows of the group (null past its end)."""
     limit = task_rows(df.sparkSession)
-    largest, _ = group_sizes(df, keys)
+    if largest is None or largest > limit:
+        largest, _ = group_sizes(df, keys)
     if largest <= limit:
         ahead = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(
@@ -148,14 +150,22 @@ def following(
     )
 
 
-def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+def first_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    n: int,
+    largest: int | None = None,
+) -> DataFrame:
     """The first ``n`` rows of each group along ``order``.
 
     Small groups take one window. When a group is large, its rows are ranked in
     ``SALTS`` slices first and the at most ``SALTS * n`` survivors are ranked again.
+    ``largest`` saves the measuring pass when the caller knows the largest group.
     """
     limit = task_rows(df.sparkSession)
-    largest, _ = group_sizes(df, keys)
+    if largest is None:
+        largest, _ = group_sizes(df, keys)
     kept = df
     if largest > limit:
         kept = kept.withColumn("_salt", F.pmod(F.xxhash64(*order_inputs(df, keys)), F.lit(SALTS)))

@@ -12,6 +12,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Tail caps go up to 2048 rows; the default of 1000 would disable map-side pruning.
     "spark.sql.optimizer.windowGroupLimitThreshold": "4096",
+    # The JVM never compiles methods above 8000 bytes; token expressions exceed that when
+    # fused with their neighbours, so let Spark split them instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -23,6 +26,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Call sites of column expressions cost more than the small local queries.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for name, value in RUNTIME_SETTINGS.items():
         builder = builder.config(name, value)

@@ -20,40 +20,39 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _service(part: int) -> Column:
-    found = [F.when(F.col("event_type") == t, F.lit(s[part])) for t, s in SERVICES.items()]
-    return F.coalesce(*found, F.lit(0))
+def _service(part: int) -> str:
+    arms = " ".join(f"WHEN '{t}' THEN {s[part]}" for t, s in SERVICES.items())
+    return f"CASE event_type {arms} ELSE 0 END"
 
 
 def events_as_flows(events: DataFrame) -> DataFrame:
     """One flow per event: user to host ``k``, service by event type, errors are attacks."""
-    k = F.get_json_object("props", "$.k").cast("double")
-    value = F.col("value")
-    return events.select(
+    with_k = events.withColumn("k", F.expr("CAST(get_json_object(props, '$.k') AS DOUBLE)"))
+    return with_k.selectExpr(
         "event_id",
-        F.col("event_id").cast("string").alias("flow_id"),
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_ip"),
-        (F.lit(1024) + F.col("event_id") % 50000).cast("int").alias("source_port"),
-        F.concat(F.lit("h"), k.cast("int").cast("string")).alias("destination_ip"),
-        _service(0).alias("destination_port"),
-        _service(1).alias("protocol"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
-        F.date_format("ts", "yyyy-MM-dd").alias("day"),
-        F.when(F.col("event_type") == "error", "ATTACK").otherwise("BENIGN").alias("label"),
-        (value * 1000.0).alias("flow_duration"),
-        k.alias("total_fwd_packets"),
-        F.floor(value / 10.0).cast("double").alias("total_backward_packets"),
-        (value * 100.0).alias("total_length_of_fwd_packets"),
-        (k * 1000.0).alias("total_length_of_bwd_packets"),
-        (value * k).alias("flow_packets_s"),
-        (F.col("event_id") % 2).cast("double").alias("fin_flag_count"),
-        (k % 2).alias("syn_flag_count"),
-        (k % 3).alias("rst_flag_count"),
-        F.when(value > 100, 1.0).otherwise(0.0).alias("psh_flag_count"),
-        F.when(value > 50, 1.0).otherwise(0.0).alias("ack_flag_count"),
-        F.lit(0.0).alias("urg_flag_count"),
+        "CAST(event_id AS STRING) AS flow_id",
+        "concat('u', user_id) AS source_ip",
+        "CAST(1024 + event_id % 50000 AS INT) AS source_port",
+        "concat('h', CAST(k AS INT)) AS destination_ip",
+        f"{_service(0)} AS destination_port",
+        f"{_service(1)} AS protocol",
+        "CAST(ts AS TIMESTAMP) AS timestamp",
+        "date_format(ts, 'yyyy-MM-dd') AS day",
+        "if(event_type = 'error', 'ATTACK', 'BENIGN') AS label",
+        "value * 1000.0D AS flow_duration",
+        "k AS total_fwd_packets",
+        "CAST(floor(value / 10.0D) AS DOUBLE) AS total_backward_packets",
+        "value * 100.0D AS total_length_of_fwd_packets",
+        "k * 1000.0D AS total_length_of_bwd_packets",
+        "value * k AS flow_packets_s",
+        "CAST(event_id % 2 AS DOUBLE) AS fin_flag_count",
+        "k % 2 AS syn_flag_count",
+        "k % 3 AS rst_flag_count",
+        "if(value > 100, 1.0D, 0.0D) AS psh_flag_count",
+        "if(value > 50, 1.0D, 0.0D) AS ack_flag_count",
+        "0.0D AS urg_flag_count",
         "value",
-        k.alias("k"),
+        "k",
     )
 
 
