@@ -10,7 +10,7 @@ from flowloom.catalog.base import (
 )
 from flowloom.functions import keys, tokens
 from flowloom.operators import cleaning
-from flowloom.plans.staging import checkpoint_root, stage
+from flowloom.plans.staging import new_path, stage
 from flowloom.sources import flows as flow_files
 from flowloom.sources import sinks
 from flowloom.sources.adapters import (
@@ -324,12 +324,6 @@ def _sliced(flows):
     )
 
 
-def _new_path(spark):
-    import uuid
-
-    return f"{checkpoint_root(spark).rstrip('/')}/flowloom/tables/{uuid.uuid4().hex}"
-
-
 SLICED = """
 sliced AS (SELECT event_id, y AS seq_y, day, value,
   CASE WHEN k < 70 THEN 'train' WHEN k < 85 THEN 'val' ELSE 'test' END AS split FROM flows)"""
@@ -338,7 +332,7 @@ sliced AS (SELECT event_id, y AS seq_y, day, value,
 @query("roundtrip_partitioned", f"""{with_ctes(FLOWS, SLICED)}
 SELECT event_id, seq_y, day, split, value FROM sliced""")
 def roundtrip_partitioned(spark, sf_dir):
-    path = _new_path(spark)
+    path = new_path(spark)
     sinks.write_partitioned(_sliced(read_flows(spark, sf_dir)), path)
     back = spark.read.parquet(path)
     return back.withColumn("day", F.col("day").cast("string"))
@@ -347,7 +341,7 @@ def roundtrip_partitioned(spark, sf_dir):
 @query("pruned_scan", f"""{with_ctes(FLOWS, SLICED)}
 SELECT event_id, value FROM sliced WHERE split = 'train' AND day = '2024-01-05' AND seq_y = 0""")
 def pruned_scan(spark, sf_dir):
-    path = _new_path(spark)
+    path = new_path(spark)
     sinks.write_partitioned(_sliced(read_flows(spark, sf_dir)), path)
     return sinks.read_slice(spark, path, "train", "2024-01-05", 0, ["event_id", "value"])
 

@@ -21,7 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from flowloom.plans.lookups import attach_row
+from flowloom.plans.lookups import attach_row, lookup_join
 from flowloom.plans.staging import stage
 
 TASK_ROWS_SETTING = "flowloom.taskRows"
@@ -193,7 +193,8 @@ def percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per group.
 
-    Works on (value, count) pairs, so no task holds the values of a whole group.
+    Works on (value, count) pairs, so no task holds the values of a whole group. Groups
+    with a null key are left out.
     ``wanted`` maps output names to fractions in [0, 1].
     """
     group = list(keys) or ["_all"]
@@ -206,7 +207,7 @@ def percentiles(
     running = running_totals(counted, group, [F.col(value)], {"_upto": F.col("_n")})
     totals = counted.groupBy(*group).agg(F.sum("_n").alias("_total"))
     if keys:
-        ranked = running.join(totals, group)
+        ranked = lookup_join(running, totals, group, spread=[value])
     else:
         ranked = attach_row(running, totals.select("_total"))
     picks, results = [], []

@@ -26,16 +26,26 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def staging_folder(spark: SparkSession) -> str:
+    """Folder of this application below the checkpoint folder."""
+    root = checkpoint_root(spark).rstrip("/")
+    return f"{root}/flowloom/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession) -> str:
+    return f"{staging_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet below the checkpoint folder and read it back."""
     spark = df.sparkSession
-    path = "/".join(
-        [
-            checkpoint_root(spark).rstrip("/"),
-            "flowloom",
-            spark.sparkContext.applicationId,
-            uuid.uuid4().hex,
-        ]
-    )
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what this application staged, once nothing reads it any more."""
+    jvm, context = spark._jvm, spark.sparkContext
+    folder = jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

@@ -81,18 +81,24 @@ def read_flows_strict(
 
 
 def malformed_rows(spark: SparkSession, path: str, variant: str = "traffic") -> DataFrame:
-    """Number of records per file that a strict read would refuse."""
-    schema = flow_schema(variant, timestamps_as_text=True).add("_corrupt", T.StringType())
+    """Per file: records, and records with a value that does not fit its column."""
+    schema = flow_schema(variant)
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     raw = (
-        spark.read.schema(schema)
+        spark.read.schema(text)
         .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
         .csv(path)
         .select("*", F.col("_metadata.file_name").alias("source_file"))
     )
+    misfits = []
+    for field in schema.fields:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.TimestampType):
+            misfits.append(value.isNotNull() & parse_timestamp(value).isNull())
+        elif not isinstance(field.dataType, T.StringType):
+            misfits.append(value.isNotNull() & value.try_cast(field.dataType).isNull())
     return raw.groupBy("source_file").agg(
-        F.count_if(F.col("_corrupt").isNotNull()).alias("n_malformed"),
+        F.count_if(reduce(lambda a, b: a | b, misfits)).alias("n_malformed"),
         F.count(F.lit(1)).alias("n_rows"),
     )
 

@@ -106,10 +106,7 @@ DEFAULTS = {
 def read_run_files(spark: SparkSession, root: str) -> DataFrame:
     """One row per run folder below ``root`` that has all three files, as JSON text."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
-        .text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
         .select("value", F.col("_metadata.file_path").alias("path"))
         .select(
             "value",

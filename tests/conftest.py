@@ -5,12 +5,15 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from flowloom.plans.staging import drop_staged  # noqa: E402
 from flowloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("4", shuffle_partitions=4)
+    session = local_session("4", shuffle_partitions=4)
+    yield session
+    drop_staged(session)
 
 
 @pytest.fixture
