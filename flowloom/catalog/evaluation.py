@@ -165,13 +165,32 @@ SELECT m.*, {tidy_sql('r.roc_auc')} AS roc_auc, {tidy_sql('r.pr_auc')} AS pr_auc
 def metric_bundle(spark, sf_dir):
     table = stage(scores(spark, sf_dir))
     tuned = metrics.best_threshold(metrics.threshold_sweep(table, "score", "y"))
-    bundle = metrics.metric_bundle(table, "score", "y", weighted_loss(table), tuned)
+    bundle = metrics.metric_bundle(table, "score", "y", tuned, weighted_loss(table))
     return bundle.select(
         "mode", "threshold", *COUNTS, *[tidy(c) for c in RATES], *SUPPORT,
         tidy("roc_auc"), tidy("pr_auc"), tidy("loss"),
     )
 
 
+@query("metric_bundle_by_day", f"""{SCORE_SQL},
+c AS ({sweep_sql('scores', metrics.GRID)}), swept AS ({rates_sql('c', 'threshold')}),
+best AS (SELECT threshold FROM swept {BEST} LIMIT 1),
+modes AS (SELECT 'threshold_0_5' AS mode, 0.5::DOUBLE AS threshold
+  UNION ALL SELECT 'threshold_tuned', threshold FROM best),
+d AS ({confusion_sql('scores, modes', 'score >= threshold', 'day, mode, threshold')}),
+m AS ({rates_sql('d', 'day, mode, threshold')}), r AS ({ranking_sql('scores', 'day')})
+SELECT m.*, {tidy_sql('r.roc_auc')} AS roc_auc, {tidy_sql('r.pr_auc')} AS pr_auc
+FROM m JOIN r USING (day)""")
+def metric_bundle_by_day(spark, sf_dir):
+    table = stage(scores(spark, sf_dir))
+    tuned = metrics.best_threshold(metrics.threshold_sweep(table, "score", "y"))
+    bundle = metrics.metric_bundle(table, "score", "y", tuned, keys=["day"])
+    return bundle.select(
+        "day", "mode", "threshold", *COUNTS, *[tidy(c) for c in RATES], *SUPPORT,
+        tidy("roc_auc"), tidy("pr_auc"),
+    )
+
+
 # Saved runs: one per user and hour of day, with metrics taken from the events.
 RUNS_SQL = """
 run_base AS (

@@ -275,14 +275,26 @@ def score_node_lr(spark, sf_dir):
     return scores.select(*NODE_KEYS, tidy("probability"))
 
 
-@query("score_graph_lr")
-def score_graph_lr(spark, sf_dir):
+def graph_context_scores(spark, sf_dir):
     numbered, rows = split_nodes(spark, sf_dir)
     edges = stage(graphs.graph_edges(numbered, k=graph_queries.EDGE_K))
     context = graphs.neighbour_mean_two_hops(rows, edges, FEATURES)
     columns = [*FEATURES, *[f"{hop}_{c}" for hop in ("nb1", "nb2") for c in FEATURES]]
-    scores = scoring.classify(context, columns, "y", F.col("split") == "train")
-    return scores.select(*NODE_KEYS, tidy("probability"))
+    return scoring.classify(context, columns, "y", F.col("split") == "train")
+
+
+@query("score_graph_lr")
+def score_graph_lr(spark, sf_dir):
+    return graph_context_scores(spark, sf_dir).select(*NODE_KEYS, tidy("probability"))
+
+
+REPORT = ["mode", "threshold", *COUNTS, *RATES, *SUPPORT, "roc_auc", "pr_auc", "loss"]
+
+
+@query("report_graph_lr")
+def report_graph_lr(spark, sf_dir):
+    scores = graph_context_scores(spark, sf_dir)
+    return metrics.holdout_report(scores, "probability", "y").select(*REPORT)
 
 
 @query("score_seq_lr")
@@ -292,3 +304,15 @@ def score_seq_lr(spark, sf_dir):
     columns = [c for c in rows.columns if "_state_" in c]
     scores = scoring.classify(rows, columns, "seq_y", F.col("split") == "train")
     return scores.select("seq_id", "day", "split", "seq_y", tidy("probability"))
+
+
+@query("report_event_lr")
+def report_event_lr(spark, sf_dir):
+    sequences = encoding_queries.staged_trajectories(spark, sf_dir)
+    events = encoding.event_rows(sequences, ["day", "split"])
+    states = scoring.decayed_state(events, FEATURES, DECAY, DAY_SECONDS)
+    columns = [f"{c}_state" for c in FEATURES]
+    rows = states.select("seq_id", "pos", "day", "split", "y", *columns)
+    scores = scoring.classify(rows, columns, "y", F.col("split") == "train")
+    by_day = metrics.holdout_report(scores, "probability", "y", ["day"])
+    return by_day.select("day", *REPORT)

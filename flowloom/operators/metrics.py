@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from flowloom.plans.lookups import attach_row
 from flowloom.plans.ordered import running_totals
 from flowloom.plans.staging import stage
 
@@ -214,27 +215,44 @@ def log_loss(
 
 
 def metric_bundle(
-    df: DataFrame, score: str, target: str, loss: DataFrame, tuned: DataFrame
+    df: DataFrame,
+    score: str,
+    target: str,
+    tuned: DataFrame,
+    loss: DataFrame | None = None,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Threshold-free metrics and the metrics at 0.5 and at the tuned threshold, as rows."""
-    free = ranking_metrics(df, score, target)
-    point = tuned.select(F.col("threshold").alias("tuned_threshold"))
+    """Threshold-free metrics and the metrics at 0.5 and at the tuned threshold.
+
+    Two rows, or two per group such as per day. ``tuned`` is a one-row table with a
+    ``threshold``, ``loss`` a one-row table.
+    """
     limits = F.array(
         F.struct(F.lit("threshold_0_5").alias("mode"), F.lit(0.5).alias("threshold")),
-        F.struct(
-            F.lit("threshold_tuned").alias("mode"), F.col("tuned_threshold").alias("threshold")
-        ),
+        F.struct(F.lit("threshold_tuned").alias("mode"), F.col("threshold").alias("threshold")),
     )
-    modes = point.select("tuned_threshold", F.explode(limits).alias("m")).select(
-        "m.*", F.lit(1).alias("_one")
+    both = tuned.select(F.array_sort(limits).alias("_modes"))
+    scored = attach_row(df.select(*keys, score, target), both).select(
+        *keys, score, target, F.explode("_modes").alias("_m")
     )
-    # Two threshold rows by construction.
-    scored = df.select(score, target, F.lit(1).alias("_one")).join(F.broadcast(modes), "_one")
-    at = metrics_at(scored, score, target, F.col("threshold"), ["mode", "threshold"])
-    joined = at.withColumn("_one", F.lit(1))
-    for table in (free, loss):
-        joined = joined.join(F.broadcast(table.withColumn("_one", F.lit(1))), "_one")
-    return joined.drop("_one")
+    rows = scored.select(*keys, score, target, "_m.mode", "_m.threshold")
+    at = metrics_at(rows, score, target, F.col("threshold"), [*keys, "mode", "threshold"])
+    free = ranking_metrics(df, score, target, keys)
+    out = at.join(free, list(keys)) if keys else attach_row(at, free)
+    return out if loss is None else attach_row(out, loss)
+
+
+def holdout_report(
+    scores: DataFrame, score: str, target: str, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Tune the threshold on validation rows and report on test rows."""
+    table = stage(scores.select("split", *keys, score, target))
+    tuned = best_threshold(threshold_sweep(table.where(F.col("split") == "val"), score, target))
+    test = table.where(F.col("split") == "test")
+    weight = positive_weight(table.where(F.col("split") == "train"), target, one_class=1.0)
+    weighted = attach_row(test, weight.select("pos_weight"))
+    loss = log_loss(weighted, score, target, F.col("pos_weight"))
+    return metric_bundle(test, score, target, stage(tuned), loss, keys)
 
 
 def metrics_by(
@@ -243,7 +261,3 @@ def metrics_by(
     """Counts, threshold-free metrics and prediction metrics per group, such as per day."""
     free = ranking_metrics(df, score, target, keys)
     return prediction_metrics(df, prediction, target, keys).join(free, list(keys))
-
-
-def summary_row(values: Mapping[str, Column], df: DataFrame) -> DataFrame:
-    return df.agg(*[c.alias(n) for n, c in values.items()])

@@ -89,6 +89,18 @@ def trajectory_integrity(sequences: DataFrame) -> DataFrame:
     return report.withColumn("passed", (F.col("n_sequences_checked") > 0) & (total == 0))
 
 
+def require_both_classes(coverage: DataFrame, unit: str = "sequence") -> DataFrame:
+    """Raise unless every split has attack and benign rows of the unit."""
+    flag = f"{unit}_has_both_classes"
+    covered = coverage.where(F.col("split").isin(*RATIOS)).agg(
+        *[F.max(F.when(F.col("split") == s, F.col(flag))).alias(s) for s in RATIOS]
+    ).first()
+    missing = [s for s in RATIOS if not covered[s]]
+    if missing:
+        raise ValueError(f"not both {unit} classes in {', '.join(missing)}")
+    return coverage
+
+
 def require_splits(counts: DataFrame) -> DataFrame:
     """Raise unless training has benign rows and validation and test have any."""
     need = {"train": "n_benign", "val": "n_total", "test": "n_total"}

@@ -96,6 +96,18 @@ def test_best_threshold_prefers_the_lowest(spark):
     assert best["f1"] == 1.0 and best["threshold"] == 0.11
 
 
+def test_holdout_report(spark):
+    rows = [("train", 0.4, 1), ("train", 0.1, 0), ("train", 0.2, 0), ("val", 0.72, 1)]
+    rows += [("val", 0.7, 0), ("test", 0.715, 1), ("test", 0.69, 0), ("test", 0.6, 0)]
+    df = spark.createDataFrame(rows, "split string, score double, y int")
+    out = {r["mode"]: r for r in metrics.holdout_report(df, "score", "y").collect()}
+    tuned, half = out["threshold_tuned"], out["threshold_0_5"]
+    assert tuned["threshold"] == 0.71
+    assert (tuned["tp"], tuned["fp"], half["fp"], half["roc_auc"]) == (1, 0, 2, 1.0)
+    losses = [-2 * math.log(0.715), -math.log(1 - 0.69), -math.log(1 - 0.6)]
+    assert tuned["loss"] == pytest.approx(sum(losses) / 3)
+
+
 def test_weight_and_loss(spark):
     df = frame(spark, [(0.5, 1), (0.0, 0), (1.0, 0)])
     weight = metrics.positive_weight(df, "y").first()

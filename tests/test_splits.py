@@ -165,6 +165,21 @@ def test_leakage_and_empty_totals(spark):
     assert row["n_pos"] == 0.0
 
 
+def test_require_both_classes(spark):
+    rows = [("train", "ALL", 5, 2, 9, 3), ("val", "ALL", 2, 0, 4, 1), ("test", "ALL", 2, 1, 4, 4)]
+    summary = spark.createDataFrame(
+        rows,
+        "split string, day string, n_sequences long, n_attack_sequences long, n_events long,"
+        "n_attack_events long",
+    )
+    coverage = validation.class_coverage(summary)
+    with pytest.raises(ValueError, match="sequence classes in val"):
+        validation.require_both_classes(coverage)
+    with pytest.raises(ValueError, match="event classes in test"):
+        validation.require_both_classes(coverage, "event")
+    assert validation.impossible_summary_rows(summary).count() == 0
+
+
 def test_require_splits(spark):
     df = spark.createDataFrame(
         [("train", 5, 0), ("val", 1, 1)], "split string, n_total long, n_benign long"
