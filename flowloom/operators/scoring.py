@@ -60,7 +60,9 @@ def next_token_scores(
     before = counts.groupBy("prev").agg(F.sum("n_pair").alias("n_prev"))
     steps = transitions(sequences, keep)
     known = lookup_join(steps, pairs, ["prev", "token"], spread=["seq_id", "pos"], how="left")
-    known = lookup_join(known, before, ["prev"], spread=["seq_id", "pos"], how="left")
+    known = lookup_join(
+        known, before, ["prev"], spread=["seq_id", "pos"], how="left", staged=True
+    )
     known = attach_row(known, words)
     seen = F.coalesce("n_pair", F.lit(0)) + 1
     loss = -F.ln(seen / (F.coalesce("n_prev", F.lit(0)) + F.col("n_words") + 1))

@@ -27,7 +27,8 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``facts`` with a ``lookup`` table that is unique on ``on``.
 
-    The lookup is staged (unless it already is) and counted. Up to ``flowloom.broadcastRows`` narrow rows
+    The lookup is staged and counted; ``staged`` says that it is stored already, or so
+    cheap to derive from a stored table that it may run twice. Up to ``flowloom.broadcastRows`` narrow rows
     it is broadcast. Beyond that the join is shuffled on ``on`` plus a salt: the
     salt of a fact row is a hash of its ``spread`` columns, and every lookup row
     is present under each salt, so one hot key is spread over ``SALTS`` tasks.

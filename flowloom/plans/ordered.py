@@ -207,7 +207,7 @@ def percentiles(
     running = running_totals(counted, group, [F.col(value)], {"_upto": F.col("_n")})
     totals = counted.groupBy(*group).agg(F.sum("_n").alias("_total"))
     if keys:
-        ranked = lookup_join(running, totals, group, spread=[value])
+        ranked = lookup_join(running, totals, group, spread=[value], staged=True)
     else:
         ranked = attach_row(running, totals.select("_total"))
     picks, results = [], []
