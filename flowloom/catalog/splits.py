@@ -59,7 +59,66 @@ def assignments_both(spark, sf_dir):
     return both_splits(spark, sf_dir).select("day", "split_group_id", "split", "legacy_split")
 
 
-@query("split_balanced")
+def _gain_sql(target, filled, size):
+    scale = f"greatest({target}, 1.0::DOUBLE)"
+    return (
+        f"(greatest({target} - {filled}, 0.0::DOUBLE) / {scale}"
+        f" - greatest({filled} + {size} - {target}, 0.0::DOUBLE) / {scale})"
+    )
+
+
+_RATIO = "[0.7::DOUBLE, 0.15::DOUBLE, 0.15::DOUBLE][i]"
+_CLASS = _gain_sql(f"(t_class * {_RATIO})", "f_class[i]", "1.0::DOUBLE")
+_UNITS = _gain_sql(f"(t_units * {_RATIO})", "f_units[i]", "1.0::DOUBLE")
+_NODES = _gain_sql(f"(t_nodes * {_RATIO})", "f_nodes[i]", "n_nodes")
+_POS = _gain_sql(f"(t_pos * {_RATIO})", "f_pos[i]", "n_pos_nodes")
+
+
+def _add(column, amount):
+    return (
+        f"list_transform([1, 2, 3], lambda i: {column}[i]"
+        f" + CASE WHEN i = pick THEN {amount} ELSE 0 END)"
+    )
+
+
+# The greedy choice as a recursion over the graphs of a day, one graph per step.
+BALANCED_SQL = f"""WITH RECURSIVE {with_ctes(FLOWS, GRAPHS).removeprefix('WITH ')},
+queue AS (
+  SELECT graph_id, day, graph_y, n_nodes::DOUBLE AS n_nodes, n_pos_nodes::DOUBLE AS n_pos_nodes,
+    count(*) OVER (PARTITION BY day)::DOUBLE AS t_units,
+    count(*) OVER (PARTITION BY day, graph_y)::DOUBLE AS t_class,
+    sum(n_nodes) OVER (PARTITION BY day)::DOUBLE AS t_nodes,
+    sum(n_pos_nodes) OVER (PARTITION BY day)::DOUBLE AS t_pos,
+    row_number() OVER (PARTITION BY day
+      ORDER BY graph_y DESC, n_pos_nodes DESC, n_nodes DESC, graph_id) AS step
+  FROM graphs
+),
+walk AS (
+  SELECT DISTINCT day, 0::BIGINT AS step, '' AS graph_id, 0 AS graph_y, 0 AS pick,
+    [0.0::DOUBLE, 0, 0] AS f_units, [0.0::DOUBLE, 0, 0] AS f_zero, [0.0::DOUBLE, 0, 0] AS f_one,
+    [0.0::DOUBLE, 0, 0] AS f_nodes, [0.0::DOUBLE, 0, 0] AS f_pos
+  FROM queue
+  UNION ALL
+  SELECT day, step, graph_id, graph_y, pick, {_add('f_units', '1')},
+    {_add('f_zero', '1 - graph_y')}, {_add('f_one', 'graph_y')},
+    {_add('f_nodes', 'n_nodes')}, {_add('f_pos', 'n_pos_nodes')}
+  FROM (
+    SELECT *, -list_reverse_sort(list_transform([1, 2, 3], lambda i: {{
+        'total': round(4.0::DOUBLE * {_CLASS} + 2.5::DOUBLE * {_UNITS}
+          + 2.0::DOUBLE * {_NODES} + 2.0::DOUBLE * {_POS}, 12),
+        'class': round({_CLASS}, 12), 'nodes': round({_NODES}, 12), 'pos': round({_POS}, 12),
+        'load': -f_nodes[i], 'units': -f_units[i], 'rank': -i}}))[1]['rank'] AS pick
+    FROM (
+      SELECT q.*, w.f_units, w.f_zero, w.f_one, w.f_nodes, w.f_pos,
+        CASE WHEN q.graph_y = 1 THEN w.f_one ELSE w.f_zero END AS f_class
+      FROM walk w JOIN queue q ON q.day = w.day AND q.step = w.step + 1))
+)
+SELECT graph_id, day, graph_y, ['train', 'val', 'test'][pick] AS split,
+  '{splits.BALANCED_GRAPHS}' AS split_strategy, {SEED} AS split_seed
+FROM walk WHERE step > 0"""
+
+
+@query("split_balanced", BALANCED_SQL)
 def split_balanced(spark, sf_dir):
     units = graphs.graph_summary(graph_queries.keyed(spark, sf_dir))
     return splits.balanced_split(units, splits.GRAPH_RULE).select(
