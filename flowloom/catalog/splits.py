@@ -68,57 +68,64 @@ def _gain_sql(target, filled, size):
 
 
 _RATIO = "[0.7::DOUBLE, 0.15::DOUBLE, 0.15::DOUBLE][i]"
-_CLASS = _gain_sql(f"(t_class * {_RATIO})", "f_class[i]", "1.0::DOUBLE")
-_UNITS = _gain_sql(f"(t_units * {_RATIO})", "f_units[i]", "1.0::DOUBLE")
-_NODES = _gain_sql(f"(t_nodes * {_RATIO})", "f_nodes[i]", "n_nodes")
-_POS = _gain_sql(f"(t_pos * {_RATIO})", "f_pos[i]", "n_pos_nodes")
+_EMPTY = "[0.0::DOUBLE, 0, 0]"
 
 
 def _add(column, amount):
     return (
         f"list_transform([1, 2, 3], lambda i: {column}[i]"
-        f" + CASE WHEN i = pick THEN {amount} ELSE 0 END)"
+        f" + CASE WHEN i = pick THEN {amount} ELSE 0 END) AS {column}"
     )
 
 
-# The greedy choice as a recursion over the graphs of a day, one graph per step.
-BALANCED_SQL = f"""WITH RECURSIVE {with_ctes(FLOWS, GRAPHS).removeprefix('WITH ')},
+def greedy_sql(ctes, table, rule):
+    """The greedy choice as a recursion over the units of a day, one unit per step."""
+    unit, target, measures = rule.unit, rule.target, list(rule.measures)
+    by_class = _gain_sql(f"(t_class * {_RATIO})", "f_class[i]", "1.0::DOUBLE")
+    by_unit = _gain_sql(f"(t_units * {_RATIO})", "f_units[i]", "1.0::DOUBLE")
+    gains = {m: _gain_sql(f"(t_{m} * {_RATIO})", f"f_{m}[i]", m) for m in measures}
+    total = f"4.0::DOUBLE * {by_class} + 2.5::DOUBLE * {by_unit}"
+    for m, weight in rule.measures.items():
+        total += f" + {weight}::DOUBLE * {gains[m]}"
+    key = [f"'total': round({total}, 12)", f"'class': round({by_class}, 12)"]
+    key += [f"'{m}': round({gains[m]}, 12)" for m in rule.ties]
+    key += [f"'load': -f_{rule.load}[i]", "'units': -f_units[i]", "'rank': -i"]
+    visit = [f"{c} DESC" for c in (target, *rule.visit)]
+    if rule.hashed_ties:
+        visit.append(f"md5('{SEED}|' || {unit})")
+    filled = ["f_units", "f_zero", "f_one", *[f"f_{m}" for m in measures]]
+    return f"""WITH RECURSIVE {with_ctes(*ctes).removeprefix('WITH ')},
 queue AS (
-  SELECT graph_id, day, graph_y, n_nodes::DOUBLE AS n_nodes, n_pos_nodes::DOUBLE AS n_pos_nodes,
+  SELECT {unit} AS unit, day, {target} AS target,
+    {', '.join(f'{m}::DOUBLE AS {m}' for m in measures)},
     count(*) OVER (PARTITION BY day)::DOUBLE AS t_units,
-    count(*) OVER (PARTITION BY day, graph_y)::DOUBLE AS t_class,
-    sum(n_nodes) OVER (PARTITION BY day)::DOUBLE AS t_nodes,
-    sum(n_pos_nodes) OVER (PARTITION BY day)::DOUBLE AS t_pos,
-    row_number() OVER (PARTITION BY day
-      ORDER BY graph_y DESC, n_pos_nodes DESC, n_nodes DESC, graph_id) AS step
-  FROM graphs
+    count(*) OVER (PARTITION BY day, {target})::DOUBLE AS t_class,
+    {', '.join(f'sum({m}) OVER (PARTITION BY day)::DOUBLE AS t_{m}' for m in measures)},
+    row_number() OVER (PARTITION BY day ORDER BY {', '.join(visit)}, {unit}) AS step
+  FROM {table}
 ),
 walk AS (
-  SELECT DISTINCT day, 0::BIGINT AS step, '' AS graph_id, 0 AS graph_y, 0 AS pick,
-    [0.0::DOUBLE, 0, 0] AS f_units, [0.0::DOUBLE, 0, 0] AS f_zero, [0.0::DOUBLE, 0, 0] AS f_one,
-    [0.0::DOUBLE, 0, 0] AS f_nodes, [0.0::DOUBLE, 0, 0] AS f_pos
+  SELECT DISTINCT day, 0::BIGINT AS step, '' AS unit, 0 AS target, 0 AS pick,
+    {', '.join(f'{_EMPTY} AS {f}' for f in filled)}
   FROM queue
   UNION ALL
-  SELECT day, step, graph_id, graph_y, pick, {_add('f_units', '1')},
-    {_add('f_zero', '1 - graph_y')}, {_add('f_one', 'graph_y')},
-    {_add('f_nodes', 'n_nodes')}, {_add('f_pos', 'n_pos_nodes')}
+  SELECT day, step, unit, target, pick, {_add('f_units', '1')},
+    {_add('f_zero', '1 - target')}, {_add('f_one', 'target')},
+    {', '.join(_add(f'f_{m}', m) for m in measures)}
   FROM (
-    SELECT *, -list_reverse_sort(list_transform([1, 2, 3], lambda i: {{
-        'total': round(4.0::DOUBLE * {_CLASS} + 2.5::DOUBLE * {_UNITS}
-          + 2.0::DOUBLE * {_NODES} + 2.0::DOUBLE * {_POS}, 12),
-        'class': round({_CLASS}, 12), 'nodes': round({_NODES}, 12), 'pos': round({_POS}, 12),
-        'load': -f_nodes[i], 'units': -f_units[i], 'rank': -i}}))[1]['rank'] AS pick
+    SELECT *, -list_reverse_sort(list_transform([1, 2, 3], lambda i:
+      {{{', '.join(key)}}}))[1]['rank'] AS pick
     FROM (
-      SELECT q.*, w.f_units, w.f_zero, w.f_one, w.f_nodes, w.f_pos,
-        CASE WHEN q.graph_y = 1 THEN w.f_one ELSE w.f_zero END AS f_class
+      SELECT q.*, {', '.join(f'w.{f}' for f in filled)},
+        CASE WHEN q.target = 1 THEN w.f_one ELSE w.f_zero END AS f_class
       FROM walk w JOIN queue q ON q.day = w.day AND q.step = w.step + 1))
 )
-SELECT graph_id, day, graph_y, ['train', 'val', 'test'][pick] AS split,
-  '{splits.BALANCED_GRAPHS}' AS split_strategy, {SEED} AS split_seed
+SELECT unit AS {unit}, day, target AS {target}, ['train', 'val', 'test'][pick] AS split,
+  '{rule.strategy}' AS split_strategy, {SEED} AS split_seed
 FROM walk WHERE step > 0"""
 
 
-@query("split_balanced", BALANCED_SQL)
+@query("split_balanced", greedy_sql([FLOWS, GRAPHS], "graphs", splits.GRAPH_RULE))
 def split_balanced(spark, sf_dir):
     units = graphs.graph_summary(graph_queries.keyed(spark, sf_dir))
     return splits.balanced_split(units, splits.GRAPH_RULE).select(
@@ -126,14 +133,20 @@ def split_balanced(spark, sf_dir):
     )
 
 
-@query("split_balanced_tokens")
+@query(
+    "split_balanced_tokens",
+    greedy_sql([FLOWS, TOKENS, TOKEN_GROUPS], "token_groups", splits.TOKEN_RULE),
+)
 def split_balanced_tokens(spark, sf_dir):
     return splits.balanced_split(token_groups(spark, sf_dir), splits.TOKEN_RULE).select(
         "day", "split_group_id", "group_y", "split", "split_strategy", "split_seed"
     )
 
 
-@query("split_balanced_events")
+@query(
+    "split_balanced_events",
+    greedy_sql([FLOWS, TRAJECTORIES, EVENT_GROUPS], "event_groups", splits.EVENT_RULE),
+)
 def split_balanced_events(spark, sf_dir):
     return splits.balanced_split(event_groups(spark, sf_dir), splits.EVENT_RULE).select(
         "day", "split_group_id", "group_y", "split", "split_strategy", "split_seed"
