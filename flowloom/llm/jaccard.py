@@ -406,13 +406,20 @@ def near_components(docs: DataFrame, like: Likeness, text: str = "text", key: st
 
 
 def keep_one(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """``docs`` without the rows whose group of near copies has a smaller document id.
+    """One document of each group of near copies: the rows with the group's smallest id.
 
-    Of rows that repeat the kept id, one stays.
+    Rows that repeat an id and text are one document and stay once. Rows without an id stay where
+    no row of their group has one.
     """
     groups = near_components(docs, like)
+    none = F.lit(-(2**63))
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_kept")
+        F.coalesce("doc_id", none).alias("_key")
     )
-    rows = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    # The row is carried as one value, so its columns may have any names.
+    packed_rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = packed_rows.withColumn("_key", F.coalesce(F.col("row")["doc_id"].cast("long"), none))
+    rows = keyed.join(kept.distinct(), "_key", "left_semi").withColumn(
+        "_text", F.xxhash64(F.col("row")["text"])
+    )
+    return rows.dropDuplicates(["_key", "_text"]).select("row.*")
