@@ -38,7 +38,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -107,7 +106,7 @@ def ranges_of(shingles: np.ndarray) -> bytes:
 
 def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield from pieces(batch, "text")
+        yield from pieces(batch, "text", 1 << 20)
 
 
 def survey(docs: DataFrame, like: Likeness) -> DataFrame:
@@ -151,17 +150,20 @@ def rarity(surveyed: DataFrame) -> np.ndarray:
     A fixed number of bytes comes to the driver, 2**SKETCH_BITS, whatever the corpus.
     """
 
-    def total(parts: pd.DataFrame) -> pd.DataFrame:
+    def total(parts: pa.Table) -> pa.Table:
         size = (1 << SKETCH_BITS) // SLOTS
         counts = np.zeros(size, dtype=np.uint64)
-        for part in parts["counts"]:
-            counts += np.frombuffer(zlib.decompress(part), dtype=np.uint32)
+        for part in parts.column("counts"):
+            counts += np.frombuffer(zlib.decompress(part.as_buffer()), dtype=np.uint32)
         mean = max(1.0, float(counts.mean()))
         level = np.floor(np.log2(np.maximum(counts / (2 * mean), 0.5))) + 1
-        return pd.DataFrame({"slot": parts["slot"].iloc[:1], "levels": [level.astype(np.uint8).tobytes()]})
+        slot = parts.column("slot")[0].as_py()
+        return pa.table(
+            {"slot": pa.array([slot], pa.int32()), "levels": [level.astype(np.uint8).tobytes()]}
+        )
 
     slots = surveyed.where("slot IS NOT NULL").select("slot", "counts")
-    rows = slots.groupBy("slot").applyInPandas(total, "slot int, levels binary").collect()
+    rows = slots.groupBy("slot").applyInArrow(total, "slot int, levels binary").collect()
     table = np.zeros((SLOTS, (1 << SKETCH_BITS) // SLOTS), dtype=np.uint8)
     for row in rows:
         table[row["slot"]] = np.frombuffer(row["levels"], dtype=np.uint8)

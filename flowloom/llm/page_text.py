@@ -66,7 +66,10 @@ MARKS = set(
     "responses discussion feedback search widget widgets copyright pagination pager skip".split()
 )
 #: Words that say an element holds the main text although another word speaks against it.
-CONTENT_MARKS = set("article content main post entry story body text page".split())
+CONTENT_MARKS = set("article content main post entry story".split())
+AMID, FRAME = 1, 2
+FRAME_NAMES = set("nav footer aside head menu".split())
+FRAME_MARKS = set("header footer foot nav navbar navigation menu menus sidebar sidebars sidenav masthead".split())
 #: Bounds of the weights of words and tags, and the weight of what no labelled page shows.
 WORD_WEIGHT, TAG_WEIGHT = (0.5, 4.0), (-0.5, -0.05)
 AWAY_WEIGHT = -2.0
@@ -85,32 +88,35 @@ class Item:
 
     __slots__ = ("name", "left_out", "marked", "link")
 
-    def __init__(self, name: str, left_out: bool, marked: bool, link: bool):
+    def __init__(self, name: str, left_out: int, marked: bool, link: bool):
         self.name, self.left_out, self.marked, self.link = name, left_out, marked, link
 
 
-def is_left_out(name: str, rest: str, in_marked: bool) -> bool:
+def left_out_as(name: str, rest: str, in_marked: bool) -> int:
+    """0: content; AMID: no content but stands amid it; FRAME: the frame of the page."""
     if name in LEFT_OUT:
-        return True
+        return FRAME if name in FRAME_NAMES else AMID
     if name in ("html", "body", "main", "article"):
-        return False
+        return 0
     if name == "header" and not in_marked:
-        return True
+        return FRAME
     if not rest or rest.isspace():
-        return False
+        return 0
     names: set[str] = set()
     for key, value in ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return AMID
         if key == "role" and value.lower() in ROLES:
-            return True
+            return AMID
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return AMID
         if key in ("class", "id"):
             names |= class_words(value)
     bad = names & MARKS or ("header" in names and not in_marked)
-    return bool(bad) and not names & CONTENT_MARKS - ({"text", "page", "body"} if names & MARKS else set())
+    if not bad or names & CONTENT_MARKS:
+        return 0
+    return FRAME if names & FRAME_MARKS else AMID
 
 
 def is_marked(name: str, rest: str) -> bool:
@@ -119,8 +125,8 @@ def is_marked(name: str, rest: str) -> bool:
     )
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, str]]:
-    """(kind, name, left out, marked inside, text): tags, and texts with the element around them.
+def tokens(page: str) -> Iterator[tuple[str, str, int, bool, str]]:
+    """(kind, name, how it is left out, marked inside, text): tags, and texts with the element around them.
 
     ``kind`` is tag or text. A tag that starts or ends a block has the text of a line feed.
     """
@@ -150,7 +156,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, str]]:
             yield (
                 "text",
                 "a" if item and item.link else around(),
-                bool(item and item.left_out),
+                item.left_out if item else 0,
                 bool(item and item.marked),
                 m["text"],
             )
@@ -161,7 +167,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, str]]:
         block = "\n" if name in BLOCKS else ""
         if m["end"]:
             item = top()
-            state = (bool(item and item.left_out), bool(item and item.marked))
+            state = (item.left_out if item else 0, bool(item and item.marked))
             yield "tag", name, *state, block
             close(name)
             continue
@@ -171,7 +177,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, str]]:
             end = page.find(">", inner)
             done = size if not stop or end < 0 else end + 1
             item = top()
-            yield "tag", name, True, bool(item and item.marked), ""
+            yield "tag", name, max(AMID, item.left_out if item else 0), bool(item and item.marked), ""
             continue
         if block and name != "br":
             # A block ends a paragraph, an entry ends the one before.
@@ -181,14 +187,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, str]]:
                 stack.pop()
         item = top()
         marked = bool(item and item.marked) or is_marked(name, rest)
-        left_out = bool(item and item.left_out) or is_left_out(name, rest, bool(item and item.marked))
+        left_out = max(item.left_out if item else 0, left_out_as(name, rest, bool(item and item.marked)))
         yield "tag", name, left_out, marked, block
         if name not in VOID and not rest.endswith("/"):
             stack.append(Item(name, left_out, marked, name == "a" or bool(item and item.link)))
 
 
-def place(left_out: bool, marked: bool, has_mark: bool) -> str:
-    return "inside" if marked and not left_out else "outside" if has_mark or left_out else "unmarked"
+def place(left_out: int, marked: bool, has_mark: bool) -> str:
+    """Where a token stands; what is left out amid the content is no reason to end it there."""
+    if left_out:
+        return "skipped" if marked or left_out == AMID else "outside"
+    return "inside" if marked else "outside" if has_mark else "unmarked"
 
 
 def kinds(found: list) -> Iterator[tuple[str, str, bool, int]]:
@@ -242,7 +251,10 @@ def score(kind: str, name: str, where: str, weights: dict[tuple[str, str], float
     """Score of one word or tag."""
     known = name if (kind, name) in weights else "other"
     if kind == "tag":
-        return TAG_WEIGHT[1] if where == "inside" else weights.get((kind, known), TAG_WEIGHT[1])
+        near = where in ("inside", "skipped")
+        return TAG_WEIGHT[1] if near else weights.get((kind, known), TAG_WEIGHT[1])
+    if where == "skipped":
+        return 0.0
     if where == "outside":
         return AWAY_WEIGHT
     default = LINK_WEIGHT if name == "a" else WORD_WEIGHT[0]
@@ -287,7 +299,7 @@ def extract(page: str | None, weights: dict[tuple[str, str], float]) -> str:
             if text and held:
                 blocks.append("".join(held))
                 held = []
-        elif place(left_out, marked, has_mark) != "outside":
+        elif place(left_out, marked, has_mark) in ("inside", "unmarked"):
             held.append(text)
     blocks.append("".join(held))
     lines = (" ".join(html.unescape(b).split()) for b in blocks)
