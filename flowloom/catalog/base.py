@@ -38,9 +38,12 @@ def tidy_sql(expression: str, digits: int = 5) -> str:
 
 GRAPH_SECONDS = 3600
 DAY_SECONDS = 86400
-TOKEN_CAP = 4
+TOKEN_CAP = 2048
+# A tail short enough to cut sequences of the tables, for the queries about cutting.
+SHORT_TAIL = 4
 TOKEN_MIN = 2
-TRAJECTORY_CAP = 40
+TRAJECTORY_CAP = 2000
+SHORT_TRAJECTORY = 40
 TRAJECTORY_MIN = 5
 SEED = 42
 
@@ -239,7 +242,10 @@ split_seqs AS (
 )"""
 
 # Trajectories of a service on a day; large values count as attacks, so labels vary inside.
-TRAJECTORIES = f"""
+
+
+def trajectories_sql(cap: int) -> str:
+    return f"""
 traj_events AS (
   SELECT day || '_' || CAST(ts_unix // {DAY_SECONDS} AS VARCHAR) || '_' || entity AS seq_id,
     day, ts_unix // {DAY_SECONDS} AS window_id, entity, day || '::' || entity AS split_group_id,
@@ -249,13 +255,13 @@ traj_events AS (
 ),
 traj_full AS (
   SELECT seq_id, day, window_id, entity, split_group_id, count(*) AS full_seq_len,
-    CAST(sum(y) AS BIGINT) AS full_n_attack_events, count(*) > {TRAJECTORY_CAP} AS was_truncated
+    CAST(sum(y) AS BIGINT) AS full_n_attack_events, count(*) > {cap} AS was_truncated
   FROM traj_events GROUP BY ALL
 ),
 traj_kept AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq_id
       ORDER BY ts_unix DESC, flow_id DESC) AS tail_rank FROM traj_events)
-  WHERE tail_rank <= {TRAJECTORY_CAP}
+  WHERE tail_rank <= {cap}
 ),
 traj_payload AS (
   SELECT seq_id, min("timestamp") AS seq_start_ts, max("timestamp") AS seq_end_ts,
@@ -269,6 +275,9 @@ traj_payload AS (
 traj_all AS (SELECT * FROM traj_full JOIN traj_payload USING (seq_id)),
 traj_seqs AS (SELECT * FROM traj_all WHERE seq_len >= {TRAJECTORY_MIN})"""
 
+
+TRAJECTORIES = trajectories_sql(TRAJECTORY_CAP)
+
 EVENT_GROUPS = """
 event_groups AS (
   SELECT day, split_group_id, min(entity) AS entity, max(seq_y) AS group_y,

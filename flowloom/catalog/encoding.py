@@ -16,8 +16,11 @@ from flowloom.sources.adapters import read_flows
 from flowloom.functions.keys import attack_label
 
 FEATURES = ["value", "k"]
-MAX_LEN = 6
-TRAJECTORY_LEN = 16
+# Length of a query whose crop cuts; other queries use the inferred length.
+SHORT_LEN = 3
+TOKEN_FLOOR = 3
+TRAJECTORY_FLOOR = 8
+LENGTH_CAP = 512
 MIN_FREQ = 2
 
 TRAIN_BENIGN = "split = 'train' AND seq_y = 0"
@@ -31,19 +34,37 @@ vocab AS (
       SELECT unnest(tokens) AS token FROM split_seqs WHERE {TRAIN_BENIGN})
     GROUP BY token HAVING count(*) >= {MIN_FREQ})
 )"""
-ENCODED = f"""
+# Padded lengths: within the bounds, by the 95th percentile of the training sequences.
+TOKEN_LENGTH = f"""
+token_length AS (
+  SELECT CAST(least(greatest(floor(quantile_cont(seq_len, 0.95)) + 1, {TOKEN_FLOOR}),
+    {LENGTH_CAP}) AS INTEGER) AS max_len FROM split_seqs WHERE {TRAIN_BENIGN}
+)"""
+TRAJECTORY_LENGTH = f"""
+traj_length AS (
+  SELECT CAST(least(greatest(floor(quantile_cont(seq_len, 0.95)), {TRAJECTORY_FLOOR}),
+    {LENGTH_CAP}) AS INTEGER) AS max_len FROM split_trajs WHERE split = 'train'
+)"""
+
+
+def encoded_sql(length: str) -> str:
+    return f"""
 items AS (
-  SELECT seq_id, split, unnest(tail) AS token, generate_subscripts(tail, 1) AS pos
-  FROM (SELECT *, list_slice(tokens, -{MAX_LEN - 1}, -1) AS tail FROM split_seqs)
+  SELECT seq_id, split, max_len, unnest(tail) AS token, generate_subscripts(tail, 1) AS pos
+  FROM (SELECT *, list_slice(tokens, 1 - max_len, -1) AS tail FROM split_seqs, {length})
 ),
 encoded AS (
   SELECT seq_id, split,
     [3] || list(coalesce(v.id, 1) ORDER BY pos) || list_resize([]::INTEGER[],
-      CAST({MAX_LEN - 1} - count(*) AS BIGINT), 0) AS input_ids,
-    list_resize(list_resize([]::INTEGER[], CAST(count(*) + 1 AS BIGINT), 1), {MAX_LEN}, 0)
+      CAST(max_len - 1 - count(*) AS BIGINT), 0) AS input_ids,
+    list_resize(list_resize([]::INTEGER[], CAST(count(*) + 1 AS BIGINT), 1), max_len, 0)
       AS attention_mask
-  FROM items LEFT JOIN vocab v USING (token) GROUP BY seq_id, split
+  FROM items LEFT JOIN vocab v USING (token) GROUP BY seq_id, split, max_len
 )"""
+
+
+ENCODED = TOKEN_LENGTH + "," + encoded_sql("token_length")
+SHORT_ENCODED = encoded_sql(f"(SELECT {SHORT_LEN} AS max_len)")
 TOKEN_PARTS = [FLOWS, TOKENS, TOKEN_GROUPS, TOKEN_SPLIT]
 EVENT_PARTS = [FLOWS, TRAJECTORIES, EVENT_GROUPS, EVENT_SPLIT]
 
@@ -64,10 +85,23 @@ def train(sequences):
     return sequences.where(F.col("split") == "train")
 
 
-def encoded(spark, sf_dir):
+def token_length(sequences):
+    return encoding.inferred_length(train_benign(sequences), floor=TOKEN_FLOOR, cap=LENGTH_CAP)
+
+
+def trajectory_length(sequences):
+    lengths = encoding.inferred_length(
+        train(sequences), reserve=0, floor=TRAJECTORY_FLOOR, cap=LENGTH_CAP
+    )
+    return lengths.first()["max_len"]
+
+
+def encoded(spark, sf_dir, max_len=None):
     sequences = staged_tokens(spark, sf_dir)
     vocab = stage(encoding.vocabulary(train_benign(sequences), MIN_FREQ))
-    return vocab, encoding.encode_tokens(sequences, vocab, MAX_LEN, keep=["split"])
+    if max_len is None:
+        max_len = token_length(sequences).first()["max_len"]
+    return vocab, encoding.encode_tokens(sequences, vocab, max_len, keep=["split"])
 
 
 def joined(column):
@@ -86,11 +120,10 @@ def vocab(spark, sf_dir):
     return encoding.vocabulary(train_benign(staged_tokens(spark, sf_dir)), MIN_FREQ)
 
 
-@query("infer_max_len", f"""{with_ctes(*TOKEN_PARTS)}
-SELECT CAST(least(greatest(floor(quantile_cont(seq_len, 0.95)) + 1, 3), 512) AS INTEGER)
-  AS max_len FROM split_seqs WHERE {TRAIN_BENIGN}""")
+@query("infer_max_len", f"""{with_ctes(*TOKEN_PARTS, TOKEN_LENGTH)}
+SELECT max_len FROM token_length""")
 def infer_max_len(spark, sf_dir):
-    return encoding.inferred_length(train_benign(staged_tokens(spark, sf_dir)), floor=3)
+    return token_length(staged_tokens(spark, sf_dir))
 
 
 @query("encode_tokens", f"""{with_ctes(*TOKEN_PARTS, VOCAB, ENCODED)}
@@ -101,6 +134,15 @@ def encode_tokens(spark, sf_dir):
     return rows.select("seq_id", "split", joined("input_ids"), joined("attention_mask"))
 
 
+@query("encode_tokens_cropped", f"""{with_ctes(*TOKEN_PARTS, VOCAB, SHORT_ENCODED)}
+SELECT seq_id, split, array_to_string(input_ids, ',') AS input_ids,
+  array_to_string(attention_mask, ',') AS attention_mask FROM encoded""")
+def encode_tokens_cropped(spark, sf_dir):
+    """As ``encode_tokens``, with a length that most sequences exceed."""
+    _, rows = encoded(spark, sf_dir, SHORT_LEN)
+    return rows.select("seq_id", "split", joined("input_ids"), joined("attention_mask"))
+
+
 def _draw(start):
     return (
         f"CAST('0x' || substr(md5('{SEED}|' || seq_id || '|' || pos), {start}, 8) AS BIGINT)"
@@ -204,15 +246,15 @@ def dt_clip(spark, sf_dir):
     return train_clip(staged_trajectories(spark, sf_dir)).select(tidy("dt_clip"))
 
 
-TAIL = f"""
+TAIL = TRAJECTORY_LENGTH + """,
 tails AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY pos DESC) AS back
   FROM traj_rows),
 cropped AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY back DESC) - 1 AS i,
     first(t) OVER (PARTITION BY seq_id ORDER BY back DESC) AS t0,
     coalesce(t - lag(t) OVER (PARTITION BY seq_id ORDER BY back DESC), 0) AS gap
-  FROM tails WHERE back <= {TRAJECTORY_LEN}),
+  FROM tails, traj_length WHERE back <= max_len),
 timed AS (SELECT c.*, least(gap::DOUBLE, dt_clip) / dt_clip AS dt_norm,
-    least((t - t0)::DOUBLE, dt_clip * {TRAJECTORY_LEN}) / dt_clip AS t_norm
+    least((t - t0)::DOUBLE, dt_clip * max_len) / dt_clip AS t_norm
   FROM cropped c, clip)"""
 
 
@@ -221,7 +263,9 @@ SELECT seq_id, CAST(i AS INTEGER) AS pos, {tidy_sql('dt_norm')} AS dt_norm,
   {tidy_sql('t_norm')} AS t_norm FROM timed""")
 def time_encode(spark, sf_dir):
     sequences = staged_trajectories(spark, sf_dir)
-    timed = encoding.time_encode(sequences, train_clip(sequences), TRAJECTORY_LEN)
+    timed = encoding.time_encode(
+        sequences, train_clip(sequences), trajectory_length(sequences)
+    )
     rows = timed.select("seq_id", F.posexplode(F.arrays_zip("dt_norm", "t_norm")))
     return rows.select("seq_id", "pos", "col.*").select(
         "seq_id", "pos", tidy("dt_norm"), tidy("t_norm")
@@ -232,15 +276,16 @@ def padded(spark, sf_dir):
     sequences = staged_trajectories(spark, sf_dir)
     stats = encoding.vector_stats(train(sequences), len(FEATURES))
     scaled = encoding.standardise_vectors(sequences, stats)
-    timed = encoding.time_encode(scaled, train_clip(sequences), TRAJECTORY_LEN)
-    return encoding.pad_sequences(timed, TRAJECTORY_LEN, len(FEATURES))
+    max_len = trajectory_length(sequences)
+    timed = encoding.time_encode(scaled, train_clip(sequences), max_len)
+    return encoding.pad_sequences(timed, max_len, len(FEATURES))
 
 
 @query("pad_sequences", f"""{with_ctes(*EVENT_PARTS, GAPS, TAIL)},
 scale AS (SELECT avg(value) AS mv, greatest(stddev_pop(value), 1e-6) AS sv, avg(k) AS mk,
   greatest(stddev_pop(k), 1e-6) AS sk FROM traj_rows WHERE split = 'train')
-SELECT seq_id, CAST(count(*) AS INTEGER) AS n_valid, {TRAJECTORY_LEN} AS n_positions,
-  string_agg(y, ',' ORDER BY i) || repeat(',-100', {TRAJECTORY_LEN} - CAST(count(*) AS INTEGER))
+SELECT seq_id, CAST(count(*) AS INTEGER) AS n_valid, max(max_len) AS n_positions,
+  string_agg(y, ',' ORDER BY i) || repeat(',-100', max(max_len) - CAST(count(*) AS INTEGER))
     AS y_seq,
   {tidy_sql('sum(greatest(least((value - mv) / sv, 5.0::DOUBLE), -5.0::DOUBLE))', 4)}
     AS value_sum,
@@ -270,15 +315,16 @@ def pad_sequences(spark, sf_dir):
 
 
 @query("gap_stats", f"""{with_ctes(*EVENT_PARTS, GAPS, TAIL)}
-SELECT split, count(DISTINCT seq_id) * {TRAJECTORY_LEN} AS n_positions,
+SELECT split, count(DISTINCT seq_id) * max(max_len) AS n_positions,
   count(*) AS n_valid_positions, count(*) FILTER (WHERE dt_norm > 0) AS n_positive_gaps,
   {tidy_sql('quantile_cont(dt_norm, 0.95) FILTER (WHERE dt_norm > 0)')} AS dt_p95,
   {tidy_sql('quantile_cont(dt_norm, 0.99) FILTER (WHERE dt_norm > 0)')} AS dt_p99
 FROM timed GROUP BY split""")
 def gap_stats(spark, sf_dir):
     sequences = staged_trajectories(spark, sf_dir)
-    timed = encoding.time_encode(sequences, train_clip(sequences), TRAJECTORY_LEN)
-    stats = encoding.gap_statistics(timed, ["split"], TRAJECTORY_LEN)
+    max_len = trajectory_length(sequences)
+    timed = encoding.time_encode(sequences, train_clip(sequences), max_len)
+    stats = encoding.gap_statistics(timed, ["split"], max_len)
     counts = ["n_positions", "n_valid_positions", "n_positive_gaps"]
     return stats.select("split", *counts, tidy("dt_p95"), tidy("dt_p99"))
 

@@ -255,7 +255,23 @@ FROM traj_rows a JOIN traj_rows b ON a.seq_id = b.seq_id AND b.pos <= a.pos
 GROUP BY a.seq_id, a.pos""")
 def decayed_state(spark, sf_dir):
     events = encoding.event_rows(sequence_queries.trajectories_(spark, sf_dir))
-    states = scoring.decayed_state(events, FEATURES, DECAY, DAY_SECONDS)
+    states = scoring.decayed_state(events, FEATURES, DECAY)
+    return states.select("seq_id", "pos", tidy("value_state", 4), tidy("k_state", 4))
+
+
+FAST_DECAY = 0.01
+
+
+@query("decayed_state_fast", f"""{with_ctes(FLOWS, TRAJECTORIES, EVENT_GROUPS, EVENT_SPLIT)}
+SELECT a.seq_id, CAST(a.pos AS INTEGER) AS pos,
+  {tidy_sql(f'sum(b.value * exp(-{FAST_DECAY}::DOUBLE * (a.t - b.t)))', 4)} AS value_state,
+  {tidy_sql(f'sum(b.k * exp(-{FAST_DECAY}::DOUBLE * (a.t - b.t)))', 4)} AS k_state
+FROM traj_rows a JOIN traj_rows b ON a.seq_id = b.seq_id AND b.pos <= a.pos
+GROUP BY a.seq_id, a.pos""")
+def decayed_state_fast(spark, sf_dir):
+    """A rate that fades to nothing many times within a sequence."""
+    events = encoding.event_rows(sequence_queries.trajectories_(spark, sf_dir))
+    states = scoring.decayed_state(events, FEATURES, FAST_DECAY)
     return states.select("seq_id", "pos", tidy("value_state", 4), tidy("k_state", 4))
 
 
@@ -300,7 +316,7 @@ def report_graph_lr(spark, sf_dir):
 @query("score_seq_lr")
 def score_seq_lr(spark, sf_dir):
     sequences = encoding_queries.staged_trajectories(spark, sf_dir)
-    rows = scoring.sequence_state_features(sequences, FEATURES, DECAY, DAY_SECONDS)
+    rows = scoring.sequence_state_features(sequences, FEATURES, DECAY)
     columns = [c for c in rows.columns if "_state_" in c]
     scores = scoring.classify(rows, columns, "seq_y", F.col("split") == "train")
     return scores.select("seq_id", "day", "split", "seq_y", tidy("probability"))
@@ -310,7 +326,7 @@ def score_seq_lr(spark, sf_dir):
 def report_event_lr(spark, sf_dir):
     sequences = encoding_queries.staged_trajectories(spark, sf_dir)
     events = encoding.event_rows(sequences, ["day", "split"])
-    states = scoring.decayed_state(events, FEATURES, DECAY, DAY_SECONDS)
+    states = scoring.decayed_state(events, FEATURES, DECAY)
     columns = [f"{c}_state" for c in FEATURES]
     rows = states.select("seq_id", "pos", "day", "split", "y", *columns)
     scores = scoring.classify(rows, columns, "y", F.col("split") == "train")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowloom.catalog.base import (
-    DAY_SECONDS, EVENT_GROUPS, FLOWS, TOKEN_CAP, TOKEN_GROUPS, TOKEN_MIN, TOKEN_SPLIT, TOKENS,
-    TRAJECTORIES, TRAJECTORY_CAP, TRAJECTORY_MIN, query, with_ctes,
+    DAY_SECONDS, EVENT_GROUPS, FLOWS, SHORT_TAIL, SHORT_TRAJECTORY, TOKEN_CAP, TOKEN_GROUPS,
+    TOKEN_MIN, TOKEN_SPLIT, TOKENS, TRAJECTORIES, TRAJECTORY_CAP, TRAJECTORY_MIN, query,
+    trajectories_sql, with_ctes,
 )
 from flowloom.functions.tokens import tail
 from flowloom.operators import sequences, splits
@@ -16,6 +17,7 @@ from flowloom.sources.adapters import read_flows
 FEATURES = ["value", "k"]
 TOKEN_SQL = with_ctes(FLOWS, TOKENS)
 TRAJECTORY_SQL = with_ctes(FLOWS, TRAJECTORIES)
+SHORT_SQL = with_ctes(FLOWS, trajectories_sql(SHORT_TRAJECTORY))
 
 
 def token_events(spark, sf_dir):
@@ -45,8 +47,8 @@ def trajectory_events(spark, sf_dir):
     )
 
 
-def all_trajectories(spark, sf_dir):
-    return sequences.trajectories(trajectory_events(spark, sf_dir), TRAJECTORY_CAP)
+def all_trajectories(spark, sf_dir, cap=TRAJECTORY_CAP):
+    return sequences.trajectories(trajectory_events(spark, sf_dir), cap)
 
 
 def trajectories_(spark, sf_dir):
@@ -80,10 +82,10 @@ def token_sequences(spark, sf_dir):
 
 
 @query("tail_cap", f"""{TOKEN_SQL}
-SELECT seq_id, flow_id, token FROM token_ranked WHERE tail_rank <= {TOKEN_CAP}""")
+SELECT seq_id, flow_id, token FROM token_ranked WHERE tail_rank <= {SHORT_TAIL}""")
 def tail_cap(spark, sf_dir):
     order = ["timestamp", "flow_id", "token"]
-    kept = sequences.tail_cap(token_events(spark, sf_dir), order, TOKEN_CAP)
+    kept = sequences.tail_cap(token_events(spark, sf_dir), order, SHORT_TAIL)
     return kept.select("seq_id", "flow_id", "token")
 
 
@@ -174,7 +176,20 @@ def group_stats_events(spark, sf_dir):
     )
 
 
-@query("prep_stats", f"""{TRAJECTORY_SQL},
+@query("traj_capped", f"""{SHORT_SQL}
+SELECT seq_id, full_seq_len, was_truncated, seq_len, full_n_attack_events, n_attack_events,
+  array_to_string(t, ',') AS t, array_to_string(y_seq, ',') AS y_seq FROM traj_all""")
+def traj_capped(spark, sf_dir):
+    """The tail cap at work: a cap below the length of most trajectories."""
+    capped = all_trajectories(spark, sf_dir, SHORT_TRAJECTORY)
+    return capped.select(
+        "seq_id", "full_seq_len", "was_truncated", "seq_len", "full_n_attack_events",
+        "n_attack_events", F.array_join(F.col("t").cast("array<string>"), ",").alias("t"),
+        F.array_join(F.col("y_seq").cast("array<string>"), ",").alias("y_seq"),
+    )
+
+
+@query("prep_stats", f"""{SHORT_SQL},
 kept_groups AS (SELECT day, split_group_id, max(seq_y) AS group_y FROM traj_seqs GROUP BY ALL)
 SELECT CAST(sum(full_seq_len) AS BIGINT) AS rows_after_timestamp_filter,
   count(*) AS sequences_before_min_len_filter,
@@ -188,7 +203,9 @@ SELECT CAST(sum(full_seq_len) AS BIGINT) AS rows_after_timestamp_filter,
   (SELECT count(*) FROM kept_groups WHERE group_y = 0) AS n_benign_split_groups
 FROM traj_all""")
 def prep_stats(spark, sf_dir):
-    return sequences.preparation_counts(all_trajectories(spark, sf_dir), TRAJECTORY_MIN)
+    return sequences.preparation_counts(
+        all_trajectories(spark, sf_dir, SHORT_TRAJECTORY), TRAJECTORY_MIN
+    )
 
 
 @query("dataset_counts", f"""{with_ctes(FLOWS, TOKENS, TOKEN_GROUPS, TOKEN_SPLIT)}

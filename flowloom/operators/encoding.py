@@ -187,12 +187,18 @@ def unknown_rate(encoded: DataFrame, keys: Sequence[str] = ("split",)) -> DataFr
     )
 
 
+def finite_or_zero(value: Column) -> Column:
+    """NaN and infinities as 0; null stays null."""
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(value)
+
+
 def feature_stats(df: DataFrame, features: Sequence[str], floor: float = 1e-6) -> DataFrame:
-    """Mean and population deviation of every feature, in one row."""
+    """Mean and population deviation of every feature, in one row; non-finite input counts as 0."""
     stats = []
     for c in features:
-        stats.append(F.avg(c).alias(f"{c}_mean"))
-        stats.append(F.greatest(F.stddev_pop(c), F.lit(floor)).alias(f"{c}_std"))
+        value = finite_or_zero(F.col(c).cast("double"))
+        stats.append(F.avg(value).alias(f"{c}_mean"))
+        stats.append(F.greatest(F.stddev_pop(value), F.lit(floor)).alias(f"{c}_std"))
     return df.agg(*stats)
 
 
@@ -202,17 +208,28 @@ def standardise(
     """Scale features with the statistics of the training rows; non-finite input counts as 0."""
     scaled = {}
     for c in features:
-        finite = F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), 0.0).otherwise(F.col(c))
-        z = (finite - F.col(f"{c}_mean")) / F.col(f"{c}_std")
+        z = (finite_or_zero(F.col(c).cast("double")) - F.col(f"{c}_mean")) / F.col(f"{c}_std")
         if clip is not None:
             z = F.greatest(F.least(z, F.lit(clip)), F.lit(-clip))
         scaled[f"{c}_z"] = z
     return attach_row(df, stats).withColumns(scaled).drop(*stats.columns)
 
 
+def finite_vectors(vectors: Column) -> Column:
+    """Arrays of vectors with NaN, infinite and null components as 0."""
+
+    def clean(value: Column) -> Column:
+        return F.coalesce(finite_or_zero(value), F.lit(0.0))
+
+    return F.transform(vectors, lambda v: F.transform(v, clean))
+
+
 def vector_stats(sequences: DataFrame, features: int, floor: float = 1e-6) -> DataFrame:
-    """Mean and deviation per dimension of the vectors in ``x``, in one row of arrays."""
-    vectors = sequences.select(F.explode("x").alias("v"))
+    """Mean and deviation per dimension of the vectors in ``x``, in one row of arrays.
+
+    Non-finite components count as 0, null ones too.
+    """
+    vectors = sequences.select(F.explode(finite_vectors(F.col("x"))).alias("v"))
     dims = range(features)
     return vectors.agg(
         F.array(*[F.avg(F.col("v")[d]) for d in dims]).alias("x_mean"),
@@ -223,7 +240,7 @@ def vector_stats(sequences: DataFrame, features: int, floor: float = 1e-6) -> Da
 
 
 def standardise_vectors(sequences: DataFrame, stats: DataFrame, clip: float = 5.0) -> DataFrame:
-    """Scale every vector of ``x`` and clip it to ``[-clip, clip]``."""
+    """Scale every vector of ``x`` and clip it to ``[-clip, clip]``; non-finite input counts as 0."""
 
     def scale(vector: Column) -> Column:
         return F.transform(
@@ -233,7 +250,9 @@ def standardise_vectors(sequences: DataFrame, stats: DataFrame, clip: float = 5.
             ),
         )
 
-    return attach_row(sequences, stats).withColumn("x", F.transform("x", scale)).drop(
+    return attach_row(sequences, stats).withColumn(
+        "x", F.transform(finite_vectors(F.col("x")), scale)
+    ).drop(
         *stats.columns
     )
 

@@ -102,14 +102,17 @@ def grid_index(score: Column, grid: Sequence[float]) -> Column:
     """Number of grid values not above ``score``.
 
     The position is computed and then corrected by comparing with the neighbouring grid
-    values, because the division alone is off by one for some of them.
+    values, because the division alone is off by one for some of them. NaN is above every
+    number, as in Spark's comparisons and so in ``metrics_at``.
     """
     values = F.array(*[F.lit(g) for g in grid])
     step = (grid[-1] - grid[0]) / (len(grid) - 1)
-    near = F.floor((score - F.lit(grid[0])) / F.lit(step)).cast("int")
+    # Within a step of the grid, so that no score, infinite or huge, leaves the integers.
+    held = F.greatest(F.least(score, F.lit(grid[-1] + step)), F.lit(grid[0] - step))
+    near = F.floor((held - F.lit(grid[0])) / F.lit(step)).cast("int")
     base = F.greatest(F.lit(0), F.least(near - 1, F.lit(len(grid))))
     above = [
-        F.coalesce((score >= F.get(values, base + i)).cast("int"), F.lit(0)) for i in range(4)
+        F.coalesce((held >= F.get(values, base + i)).cast("int"), F.lit(0)) for i in range(4)
     ]
     return base + above[0] + above[1] + above[2] + above[3]
 

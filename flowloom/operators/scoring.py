@@ -195,33 +195,45 @@ def score_summary(scores: DataFrame, columns: Sequence[str] = tuple(SCORE_COLUMN
     return moments.join(overall, "name").join(classes, "name")
 
 
-def decayed_state(
-    events: DataFrame, features: Sequence[str], rate: float, seconds: int
-) -> DataFrame:
+#: Fading beyond exp(-40), below the precision of a double, restarts the running sums.
+FADE_SPAN = 40.0
+
+
+def decayed_state(events: DataFrame, features: Sequence[str], rate: float) -> DataFrame:
     """Running sum of features that fades by ``exp(-rate * gap)`` between events.
 
-    Closed form of the fold over events, with time relative to the first event. It is
-    exact as long as ``rate * seconds`` stays small enough for the exponential.
+    Closed form of the fold over events, for any rate. Time is measured in units of the
+    decay and cut into spans of ``FADE_SPAN``. Sums run inside a span, with exponents that
+    start again at its begin, and the sum of the span before is added, faded. What is older
+    has faded below the precision of a double.
     """
-    if rate * seconds > 50:
-        raise ValueError("rate times window length must not exceed 50")
-    upto = Window.partitionBy("seq_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    timed = events.withColumn("_r", F.col("t") - F.first(F.col("t")).over(upto))
-    grow, fade = F.exp(F.col("_r") * rate), F.exp(F.col("_r") * -rate)
-    return timed.select(
-        "*",
-        *[
-            (fade * F.sum(F.col("x")[d] * grow).over(upto)).alias(f"{name}_state")
-            for d, name in enumerate(features)
-        ],
-    ).drop("_r")
+    whole = Window.partitionBy("seq_id")
+    upto = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    span = Window.partitionBy("seq_id", "_span").orderBy("pos").rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    before = whole.orderBy("_span").rangeBetween(-1, -1)
+    timed = events.withColumn(
+        "_age", (F.col("t") - F.first(F.col("t")).over(upto)) * F.lit(float(rate))
+    ).withColumn("_span", F.floor(F.col("_age") / FADE_SPAN))
+    start = F.col("_span") * FADE_SPAN
+    grow, fade = F.exp(F.col("_age") - start), F.exp(start - F.col("_age"))
+    faded = F.exp(F.col("_age") - start - FADE_SPAN)
+
+    def state(d: int) -> Column:
+        value = F.col("x")[d]
+        carried = F.coalesce(F.sum(value * faded).over(before), F.lit(0.0))
+        return fade * (F.sum(value * grow).over(span) + carried)
+
+    states = [state(d).alias(f"{name}_state") for d, name in enumerate(features)]
+    return timed.select("*", *states).drop("_age", "_span")
 
 
 def sequence_state_features(
-    sequences: DataFrame, features: Sequence[str], rate: float, seconds: int
+    sequences: DataFrame, features: Sequence[str], rate: float
 ) -> DataFrame:
     """Mean, maximum and last decayed state of every sequence."""
-    states = decayed_state(event_rows(sequences), features, rate, seconds)
+    states = decayed_state(event_rows(sequences), features, rate)
     pooled = []
     for name in features:
         state = f"{name}_state"

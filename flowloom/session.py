@@ -9,7 +9,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Tail caps go up to 2048 rows; the default of 1000 would disable map-side pruning.
     "spark.sql.optimizer.windowGroupLimitThreshold": "4096",
     # The JVM never compiles methods above 8000 bytes; token expressions exceed that when

@@ -107,18 +107,24 @@ def read_run_files(spark: SparkSession, root: str) -> DataFrame:
     """One row per run folder below ``root`` that has all three files, as JSON text."""
     files = (
         spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
-        .select("value", F.col("_metadata.file_path").alias("path"))
+        .select(finite_json(F.col("value")).alias("value"), F.col("_metadata.file_path").alias("path"))
         .select(
             "value",
             F.element_at(F.split("path", "/"), -1).alias("file"),
-            F.element_at(F.split("path", "/"), -2).alias("run_name"),
+            F.regexp_replace("path", "/[^/]*$", "").alias("folder"),
         )
     )
     parts = {"config": CONFIG, "metrics": METRICS, "summary": SUMMARY}
-    rows = files.groupBy("run_name").agg(
+    rows = files.groupBy("folder").agg(
         *[F.max(F.when(F.col("file") == f, F.col("value"))).alias(n) for n, f in parts.items()]
     )
-    return rows.dropna(subset=list(parts))
+    named = rows.withColumn("run_name", F.element_at(F.split("folder", "/"), -1))
+    return named.dropna(subset=list(parts)).select("run_name", *parts)
+
+
+def finite_json(document: Column) -> Column:
+    """Bare NaN and infinities, which JSON does not allow, as null."""
+    return F.regexp_replace(document, r"(?<=[:\[,])(\s*)-?(?:NaN|Infinity)(?=\s*[,}\]])", "$1null")
 
 
 def _field(document: str, *path: str) -> Column:

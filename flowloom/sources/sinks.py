@@ -9,8 +9,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
-def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("split", "day")) -> None:
-    """Parquet in one folder per value of ``by``; only folders present in ``df`` are replaced.
+def write_partitioned(
+    df: DataFrame, path: str, by: Sequence[str] = ("split", "day"), keep_others: bool = False
+) -> None:
+    """Parquet in one folder per value of ``by``; the table is replaced as a whole.
+
+    ``keep_others`` replaces only the folders that ``df`` has rows for, to add days to a table.
+    It must not be used to rebuild one: rows that moved to another split would stay behind.
 
     The rebalance hint lets Spark split a large folder over several tasks and merge small
     ones, so there is neither one huge file nor a file per task and folder.
@@ -18,7 +23,7 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("split", "d
     (
         df.hint("rebalance", *by)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "dynamic" if keep_others else "static")
         .partitionBy(*by)
         .parquet(path)
     )
@@ -78,11 +83,18 @@ def write_manifest(
     row.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def missing(error: AnalysisException) -> bool:
+    """The path does not exist; any other error is the caller's."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The manifest, or an empty table when there is none."""
     try:
         return spark.read.json(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not missing(error):
+            raise
         return spark.createDataFrame([], T.StructType([T.StructField("config", T.StringType())]))
 
 
@@ -90,5 +102,7 @@ def read_split_summary(spark: SparkSession, path: str, schema: T.StructType) ->
     """A split summary written as CSV, or an empty table when there is none."""
     try:
         return spark.read.schema(schema).option("header", True).csv(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not missing(error):
+            raise
         return spark.createDataFrame([], schema)

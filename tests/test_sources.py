@@ -77,12 +77,20 @@ def test_clean_table_round_trip(spark, folder, tmp_path):
         assert set(back.columns) == set(flow_schema(stage="clean").fieldNames())
 
 
-def test_partitioned_sink_replaces_only_its_folders(spark, tmp_path):
+def test_partitioned_sink_leaves_no_rows_of_the_table_before(spark, tmp_path):
+    path = str(tmp_path / "seq")
+    for split in ("val", "train"):
+        rows = [(split, "Mon", 2)]
+        sinks.write_partitioned(spark.createDataFrame(rows, "split string, day string, id int"), path)
+    assert [(r["id"], r["split"]) for r in spark.read.parquet(path).collect()] == [(2, "train")]
+
+
+def test_partitioned_sink_adds_days_on_request(spark, tmp_path):
     path = str(tmp_path / "seq")
     rows = [("train", "Mon", 0, 1), ("train", "Tue", 1, 2), ("val", "Mon", 1, 3)]
     df = spark.createDataFrame(rows, "split string, day string, seq_y int, v int")
     sinks.write_partitioned(df, path)
-    sinks.write_partitioned(df.where("v = 2").withColumn("v", F.lit(9)), path)
+    sinks.write_partitioned(df.where("v = 2").withColumn("v", F.lit(9)), path, keep_others=True)
     assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == [1, 3, 9]
     part = sinks.read_slice(spark, path, "train", "Mon", 0, ["v"])
     assert [r["v"] for r in part.collect()] == [1]
