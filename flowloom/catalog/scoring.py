@@ -8,13 +8,14 @@ from flowloom.catalog import encoding as encoding_queries
 from flowloom.catalog import graphs as graph_queries
 from flowloom.catalog import sequences as sequence_queries
 from flowloom.catalog.base import (
-    DAY_SECONDS, EVENT_GROUPS, EVENT_SPLIT, FLOWS, TOKEN_GROUPS, TOKEN_SPLIT, TOKENS,
-    TRAJECTORIES, query, tidy, tidy_sql, with_ctes,
+    DAY_SECONDS, EVENT_GROUPS, EVENT_SPLIT, FLOWS, GRAPH_SPLIT, GRAPHS, TOKEN_GROUPS, TOKEN_SPLIT,
+    TOKENS, TRAJECTORIES, query, tidy, tidy_sql, with_ctes,
 )
 from flowloom.catalog.evaluation import (
     COUNTS, RATES, SUPPORT, confusion_sql, grid_sql, rates_sql, tidy_metrics,
 )
 from flowloom.operators import encoding, graphs, metrics, scoring
+from flowloom.plans.lookups import attach_row
 from flowloom.plans.staging import stage
 from flowloom.sources.adapters import read_flows, read_table
 
@@ -282,13 +283,51 @@ def split_nodes(spark, sf_dir):
 
 
 NODE_KEYS = ["graph_id", "node_id", "split", "y"]
+NODE_PARTS = [FLOWS, GRAPHS, GRAPH_SPLIT]
+EVENT_PARTS = [FLOWS, TRAJECTORIES, EVENT_GROUPS, EVENT_SPLIT]
+
+
+def determined(scores, keys, target):
+    """What is certain about fitted probabilities, whatever the optimiser: rows, labels, the
+    weight of attacks, that all lie in [0, 1], and that weighted residuals of the training rows
+    add up to nothing, which holds at the optimum only."""
+    table = stage(scores)
+    train = table.where(F.col("split") == "train")
+    y, p = F.col(target), F.col("probability")
+    weight = metrics.positive_weight(train, target, one_class=1.0).select("pos_weight")
+    w = F.when(y == 1, F.col("pos_weight")).otherwise(1.0)
+    rest = attach_row(train, weight).agg(
+        (F.round(F.sum(w * (y - p)) / F.sum(w), 3) + 0.0).alias("residual")
+    )
+    return attach_row(attach_row(table, weight), rest).select(
+        *keys, F.round("pos_weight", 6).alias("pos_weight"), "residual",
+        p.between(0, 1).alias("is_probability"),
+    )
+
+
+def determined_sql(parts, table, keys, target):
+    return f"""{with_ctes(*parts, table)},
+classes AS (SELECT sum({target}) AS n_pos, sum(1 - {target}) AS n_neg FROM scored_rows
+  WHERE split = 'train')
+SELECT {', '.join(keys)},
+  round(CASE WHEN n_pos > 0 AND n_neg > 0 THEN n_neg / n_pos::DOUBLE ELSE 1.0::DOUBLE END, 6)
+    AS pos_weight,
+  0.0::DOUBLE AS residual, TRUE AS is_probability
+FROM scored_rows, classes"""
+
+
+SCORED_NODES = """
+scored_rows AS (SELECT n.graph_id, n.node_id, g.split, n.y
+  FROM nodes n JOIN graph_split g USING (graph_id))"""
+SCORED_SEQS = """
+scored_rows AS (SELECT seq_id, day, split, seq_y FROM split_trajs)"""
 
 
-@query("score_node_lr")
+@query("score_node_lr", determined_sql(NODE_PARTS, SCORED_NODES, NODE_KEYS, "y"))
 def score_node_lr(spark, sf_dir):
     _, rows = split_nodes(spark, sf_dir)
     scores = scoring.classify(rows, FEATURES, "y", F.col("split") == "train")
-    return scores.select(*NODE_KEYS, tidy("probability"))
+    return determined(scores, NODE_KEYS, "y")
 
 
 def graph_context_scores(spark, sf_dir):
@@ -299,30 +338,53 @@ def graph_context_scores(spark, sf_dir):
     return scoring.classify(context, columns, "y", F.col("split") == "train")
 
 
-@query("score_graph_lr")
+@query("score_graph_lr", determined_sql(NODE_PARTS, SCORED_NODES, NODE_KEYS, "y"))
 def score_graph_lr(spark, sf_dir):
-    return graph_context_scores(spark, sf_dir).select(*NODE_KEYS, tidy("probability"))
+    return determined(graph_context_scores(spark, sf_dir), NODE_KEYS, "y")
 
 
-REPORT = ["mode", "threshold", *COUNTS, *RATES, *SUPPORT, "roc_auc", "pr_auc", "loss"]
+def sound_report(report, keys=()):
+    """Supports of a report, and whether its counts and rates fit together."""
+    counts = (F.col("tp") + F.col("fn") == F.col("support_pos")) & (
+        F.col("tn") + F.col("fp") == F.col("support_neg")
+    )
+    shares = ["accuracy", "specificity", "fpr", "fnr", "f1", "precision", "recall", "threshold"]
+    for c in shares:
+        counts = counts & F.col(c).between(0, 1)
+    for c in ("roc_auc", "pr_auc", "balanced_accuracy"):
+        counts = counts & F.coalesce(F.col(c), F.lit(0.5)).between(0, 1 + 1e-9)
+    sound = counts & F.col("mcc").between(-1 - 1e-9, 1 + 1e-9) & (F.col("loss") >= 0)
+    return report.select(*keys, "mode", *SUPPORT, sound.alias("is_sound"))
+
+
+def report_sql(parts, rows, keys=""):
+    return f"""{with_ctes(*parts, rows)}
+SELECT {keys} mode, CAST(sum(y) AS BIGINT) AS support_pos,
+  CAST(sum(1 - y) AS BIGINT) AS support_neg, TRUE AS is_sound
+FROM scored_rows, (SELECT unnest(['threshold_0_5', 'threshold_tuned']) AS mode)
+WHERE split = 'test' GROUP BY {keys} mode"""
 
 
-@query("report_graph_lr")
+@query("report_graph_lr", report_sql(NODE_PARTS, SCORED_NODES))
 def report_graph_lr(spark, sf_dir):
     scores = graph_context_scores(spark, sf_dir)
-    return metrics.holdout_report(scores, "probability", "y").select(*REPORT)
+    return sound_report(metrics.holdout_report(scores, "probability", "y"))
 
 
-@query("score_seq_lr")
+@query("score_seq_lr", determined_sql(
+    EVENT_PARTS, SCORED_SEQS, ["seq_id", "day", "split", "seq_y"], "seq_y"))
 def score_seq_lr(spark, sf_dir):
     sequences = encoding_queries.staged_trajectories(spark, sf_dir)
     rows = scoring.sequence_state_features(sequences, FEATURES, DECAY)
     columns = [c for c in rows.columns if "_state_" in c]
     scores = scoring.classify(rows, columns, "seq_y", F.col("split") == "train")
-    return scores.select("seq_id", "day", "split", "seq_y", tidy("probability"))
+    return determined(scores, ["seq_id", "day", "split", "seq_y"], "seq_y")
+
+
+SCORED_EVENTS = "scored_rows AS (SELECT day, split, y FROM traj_rows)"
 
 
-@query("report_event_lr")
+@query("report_event_lr", report_sql(EVENT_PARTS, SCORED_EVENTS, "day,"))
 def report_event_lr(spark, sf_dir):
     sequences = encoding_queries.staged_trajectories(spark, sf_dir)
     events = encoding.event_rows(sequences, ["day", "split"])
@@ -330,5 +392,4 @@ def report_event_lr(spark, sf_dir):
     columns = [f"{c}_state" for c in FEATURES]
     rows = states.select("seq_id", "pos", "day", "split", "y", *columns)
     scores = scoring.classify(rows, columns, "y", F.col("split") == "train")
-    by_day = metrics.holdout_report(scores, "probability", "y", ["day"])
-    return by_day.select("day", *REPORT)
+    return sound_report(metrics.holdout_report(scores, "probability", "y", ["day"]), ["day"])
