@@ -10,6 +10,7 @@ from flowloom.catalog.base import (
 )
 from flowloom.functions import keys, tokens
 from flowloom.operators import cleaning
+from flowloom.plans.lookups import attach_row
 from flowloom.plans.staging import new_path, stage
 from flowloom.sources import flows as flow_files
 from flowloom.sources import sinks
@@ -103,8 +104,9 @@ CLEAN_COLUMNS = "event_id, flow_id, source_ip, destination_port, protocol, label
 @query("scan_clean", f"""{with_ctes(FLOWS, RAW, CLEANED)}
 SELECT {CLEAN_COLUMNS} FROM cleaned""")
 def scan_clean(spark, sf_dir):
-    cleaned = stage(cleaning.clean_flows(read_raw_flows(spark, sf_dir)))
-    return cleaned.select(*CLEAN_COLUMNS.split(", "))
+    path = new_path(spark)
+    sinks.write_table(cleaning.clean_flows(read_raw_flows(spark, sf_dir)), path)
+    return flow_files.read_clean(spark, path).select(*CLEAN_COLUMNS.split(", "))
 
 
 @query("clean_all_null", f"""{RAW_SQL}
@@ -176,10 +178,8 @@ def ts_policy(spark, sf_dir):
     raw = read_raw_flows(spark, sf_dir).select(
         flow_files.parse_timestamp(F.col("timestamp_text")).alias("timestamp")
     )
-    counts = timestamp_counts(raw)
-    return counts.withColumn(
-        "rows_kept", F.col("rows_input") - F.col("rows_dropped_invalid_timestamp")
-    )
+    kept = cleaning.valid_timestamps(raw).agg(F.count("*").alias("rows_kept"))
+    return attach_row(timestamp_counts(raw), kept)
 
 
 @query("flow_id_fallback", f"""{RAW_SQL}

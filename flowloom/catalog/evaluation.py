@@ -213,21 +213,8 @@ run_rows AS (
 )"""
 
 
-def run_documents(spark, sf_dir):
-    """Run folders as JSON texts. Runs of a single event keep the older metric layout."""
-    from flowloom.sources.adapters import read_table
-
-    base = (
-        read_table(spark, sf_dir, "events")
-        .groupBy("user_id", F.hour("ts").alias("hour"), "event_type")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg("value").alias("mean_value"),
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
-        )
-    )
-    chain = F.col("user_id") % 3
+def run_document_columns(seed, family, variant, chain):
+    """The three documents of a run from the columns low, high, mean_value and n."""
 
     def block(limit, f1):
         return F.struct(
@@ -238,13 +225,11 @@ def run_documents(spark, sf_dir):
         )
 
     build = F.struct(
-        F.concat(F.col("event_type"), F.lit("_k"), chain.cast("string")).alias("variant_id"),
-        F.col("event_type").alias("edge_family"),
-        chain.alias("chain_k"),
+        variant.alias("variant_id"), family.alias("edge_family"), chain.alias("chain_k")
     )
     config = F.struct(
-        (F.col("user_id") % 5).alias("seed"),
-        F.concat(F.lit("data/"), F.col("event_type")).alias("data_root"),
+        seed.alias("seed"),
+        F.concat(F.lit("data/"), family).alias("data_root"),
         build.alias("graph_build_config"),
     )
     free = F.struct(
@@ -255,16 +240,35 @@ def run_documents(spark, sf_dir):
         block(0.5, 1 / (1 + F.col("high"))).alias("at_threshold_0.5"),
         block(0.25, 1 / (2 + F.col("high"))).alias("at_threshold_tuned"),
     )
-    name = F.concat(
-        F.lit("20240101_"), F.lpad(F.col("hour").cast("string"), 2, "0"), F.lit("_u"),
-        F.col("user_id").cast("string"), F.lit("_"), F.col("event_type"),
-    )
-    return base.select(
-        name.alias("run_name"),
+    return [
         F.to_json(config).alias("config"),
         F.when(F.col("n") > 1, F.to_json(test)).otherwise(F.to_json(free)).alias("metrics"),
         F.to_json(F.struct(F.col("n").alias("best_epoch"))).alias("summary"),
+    ]
+
+
+def run_documents(spark, sf_dir):
+    """Run folders as JSON texts. Runs of a single event keep the older metric layout."""
+    from flowloom.sources.adapters import read_table
+
+    base = (
+        read_table(spark, sf_dir, "events")
+        .groupBy("user_id", F.hour("ts").alias("hour"), "event_type")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.avg("value").alias("mean_value"),
+            F.min("value").alias("low"),
+            F.max("value").alias("high"),
+        )
+    )
+    chain = F.col("user_id") % 3
+    variant = F.concat(F.col("event_type"), F.lit("_k"), chain.cast("string"))
+    name = F.concat(
+        F.lit("20240101_"), F.lpad(F.col("hour").cast("string"), 2, "0"), F.lit("_u"),
+        F.col("user_id").cast("string"), F.lit("_"), F.col("event_type"),
     )
+    documents = run_document_columns(F.col("user_id") % 5, F.col("event_type"), variant, chain)
+    return base.select(name.alias("run_name"), *documents)
 
 
 def run_rows(spark, sf_dir):

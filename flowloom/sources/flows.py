@@ -37,6 +37,16 @@ def tag_source(df: DataFrame, file_name: Column) -> DataFrame:
     )
 
 
+def source_name() -> Column:
+    """Name of the source a row was read from: its file, or the folder its part files are in.
+
+    A table that Spark writes under a name is a folder of part files, and one that it splits
+    by a column has folders called ``column=name``.
+    """
+    path = F.col("_metadata.file_path")
+    return F.regexp_extract(path, r"([^/=]+\.[cC][sS][vV])(?:/part-[^/]*)?$", 1)
+
+
 def valid_port(df: DataFrame, port: str) -> DataFrame:
     """Header lines and blank lines have no integer port."""
     return df.where(F.col(port).isNotNull())
@@ -53,8 +63,9 @@ def read_flows(spark: SparkSession, path: str, variant: str = "traffic") -> Data
         spark.read.schema(schema)
         .option("header", False)
         .option("pathGlobFilter", "*.[cC][sS][vV]")
+        .option("recursiveFileLookup", True)
         .csv(path)
-        .select("*", F.col("_metadata.file_name").alias("source_file"))
+        .select("*", source_name().alias("source_file"))
     )
     kept = valid_port(raw, " Destination Port")
     if variant == "traffic":
@@ -87,8 +98,10 @@ def malformed_rows(spark: SparkSession, path: str, variant: str = "traffic") ->
     raw = (
         spark.read.schema(text)
         .option("header", True)
+        .option("pathGlobFilter", "*.[cC][sS][vV]")
+        .option("recursiveFileLookup", True)
         .csv(path)
-        .select("*", F.col("_metadata.file_name").alias("source_file"))
+        .select("*", source_name().alias("source_file"))
     )
     misfits = []
     for field in schema.fields:

@@ -103,22 +103,30 @@ DEFAULTS = {
 }
 
 
+#: Folder and name of a file; a table written by Spark is a folder of part files.
+FILE_PATH = r"^(.*)/(?:[^/=]*=)?([^/=]+\.json)(?:/part-[^/]*)?$"
+
+
 def read_run_files(spark: SparkSession, root: str) -> DataFrame:
-    """One row per run folder below ``root`` that has all three files, as JSON text."""
+    """One row per run folder below ``root`` that has all three files, as JSON text.
+
+    Runs are told apart by their whole folder, so equal names in two places are two runs.
+    """
     files = (
-        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+        .where(F.col("_metadata.file_path").rlike(FILE_PATH))
         .select(finite_json(F.col("value")).alias("value"), F.col("_metadata.file_path").alias("path"))
         .select(
             "value",
-            F.element_at(F.split("path", "/"), -1).alias("file"),
-            F.regexp_replace("path", "/[^/]*$", "").alias("folder"),
+            F.regexp_extract("path", FILE_PATH, 2).alias("file"),
+            F.regexp_extract("path", FILE_PATH, 1).alias("folder"),
         )
     )
     parts = {"config": CONFIG, "metrics": METRICS, "summary": SUMMARY}
     rows = files.groupBy("folder").agg(
         *[F.max(F.when(F.col("file") == f, F.col("value"))).alias(n) for n, f in parts.items()]
     )
-    named = rows.withColumn("run_name", F.element_at(F.split("folder", "/"), -1))
+    named = rows.withColumn("run_name", F.regexp_extract("folder", "([^/=]+)$", 1))
     return named.dropna(subset=list(parts)).select("run_name", *parts)
 
 

@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from flowloom.sources.flows import CLEAN_FORMAT
+
 
 def write_partitioned(
     df: DataFrame, path: str, by: Sequence[str] = ("split", "day"), keep_others: bool = False
@@ -33,7 +35,8 @@ def write_table(df: DataFrame, path: str, file_format: str = "parquet") -> None:
     """Parquet, or CSV with a header; as many files as the data has partitions."""
     writer = df.write.mode("overwrite")
     if file_format == "csv":
-        writer.option("header", True).csv(path)
+        # The format ``read_clean`` expects.
+        writer.option("header", True).option("timestampFormat", CLEAN_FORMAT).csv(path)
     else:
         writer.parquet(path)
 
