@@ -11,6 +11,7 @@ from flowloom.catalog.base import (
     TOKENS, TRAJECTORIES, query, split_case, tidy, tidy_sql, with_ctes,
 )
 from flowloom.operators import graphs, sequences, splits, validation
+from flowloom.plans.staging import stage
 
 LEGACY_SQL = f"""
 legacy AS (
@@ -300,14 +301,16 @@ def class_coverage(spark, sf_dir):
 @query("split_summary_events", f"""{with_ctes(*EVENT_PARTS, EVENT_SUMMARY)}
 SELECT *, n_attack_events > n_events AS is_impossible FROM event_summary""")
 def split_summary_events(spark, sf_dir):
-    summary = event_summary(spark, sf_dir)
+    summary = stage(event_summary(spark, sf_dir))
     columns = ["n_sequences", "n_attack_sequences", "n_events", "n_attack_events"]
-    return summary.select(
-        "summary_label",
-        "split",
-        "day",
-        *columns,
-        (F.col("n_attack_events") > F.col("n_events")).alias("is_impossible"),
+    wrong = validation.impossible_summary_rows(summary).select(
+        "summary_label", "split", "day", F.lit(True).alias("is_impossible")
+    )
+    # A summary has a row for each day and split.
+    marked = summary.join(wrong, ["summary_label", "split", "day"], "left")
+    return marked.select(
+        "summary_label", "split", "day", *columns,
+        F.coalesce("is_impossible", F.lit(False)).alias("is_impossible"),
     )
 
 

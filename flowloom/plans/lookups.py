@@ -43,6 +43,14 @@ def lookup_join(
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_with_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which a null key meets a null key; the key columns appear once."""
+    names = {c: f"_right_{c}" for c in keys}
+    other = right.withColumnsRenamed(names)
+    same = [left[c].eqNullSafe(other[n]) for c, n in names.items()]
+    return left.join(other, same).drop(*names.values())
+
+
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row table (a global aggregate) to every row."""
     left = df.withColumn("_one", F.lit(1))

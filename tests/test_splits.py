@@ -186,3 +186,15 @@ def test_require_splits(spark):
     )
     with pytest.raises(ValueError, match="train, test"):
         validation.require_splits(df)
+
+
+def test_units_without_a_day_are_kept(spark):
+    rows = [(None if i % 3 == 0 else "Mon", f"g{i}", i % 2, 10 + i) for i in range(60)]
+    df = spark.createDataFrame(rows, "day string, graph_id string, graph_y int, n_nodes long")
+    out = splits.stratified_split(df, "graph_id", "graph_y", 42, "split").collect()
+    assert len(out) == 60 and all(r["split"] for r in out)
+    more = df.withColumn("n_pos_nodes", F.col("graph_y").cast("long"))
+    out = splits.balanced_split(more, splits.GRAPH_RULE).collect()
+    assert len(out) == 60
+    unnamed = [r["split"] for r in out if r["day"] is None]
+    assert len(unnamed) == 20 and set(unnamed) == {"train", "val", "test"}
