@@ -10,6 +10,9 @@ from flowloom.plans.staging import stage
 
 BROADCAST_ROWS_SETTING = "flowloom.broadcastRows"
 DEFAULT_BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
+HEAVY_ROWS_SETTING = "flowloom.heavyRows"
+DEFAULT_HEAVY_ROWS = 1_000_000
 SALTS = 32
 
 
@@ -17,6 +20,46 @@ def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_ROWS_SETTING, str(DEFAULT_BROADCAST_ROWS)))
 
 
+def heavy_rows(spark: SparkSession) -> int:
+    """Facts of one key beyond which the key is spread over several tasks."""
+    return int(spark.conf.get(HEAVY_ROWS_SETTING, str(DEFAULT_HEAVY_ROWS)))
+
+
+def fits_in_memory(table: DataFrame) -> bool:
+    """A stored table small enough, in rows and in bytes, to be sent to every task."""
+    stats = table._jdf.queryExecution().optimizedPlan().stats()
+    small = int(str(stats.sizeInBytes())) <= BROADCAST_BYTES
+    return small and table.count() <= broadcast_rows(table.sparkSession)
+
+
+def spread_lookup(
+    facts: DataFrame, table: DataFrame, keys: Sequence[str], spread: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """``facts`` with a salt, and ``table`` with the salts its rows are wanted under.
+
+    Only keys with many facts have more than one salt. They are counted over all facts, with
+    partial sums, and there is at most one for each ``heavy_rows`` facts.
+    """
+    spark = facts.sparkSession
+    heavy = stage(
+        facts.groupBy(*keys)
+        .agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > heavy_rows(spark))
+        .select(*keys, F.lit(True).alias("_heavy"))
+    )
+    if fits_in_memory(heavy):
+        heavy = F.broadcast(heavy)
+    draw = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
+    salted = facts.join(heavy, keys, "left").withColumn(
+        "_salt", F.when(F.col("_heavy"), draw).otherwise(0)
+    )
+    last = F.when(F.col("_heavy"), SALTS - 1).otherwise(0)
+    copies = table.join(heavy, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), last))
+    )
+    return salted.drop("_heavy"), copies.drop("_heavy")
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -27,19 +70,18 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``facts`` with a ``lookup`` table that is unique on ``on``.
 
-    The lookup is staged and counted; ``staged`` says that it is stored already, or so
-    cheap to derive from a stored table that it may run twice. Up to ``flowloom.broadcastRows`` narrow rows
-    it is broadcast. Beyond that the join is shuffled on ``on`` plus a salt: the
-    salt of a fact row is a hash of its ``spread`` columns, and every lookup row
-    is present under each salt, so one hot key is spread over ``SALTS`` tasks.
+    The lookup is staged and measured; ``staged`` says that it is stored already, or so
+    cheap to derive from a stored table that it may run twice. Up to ``flowloom.broadcastRows``
+    rows and ``BROADCAST_BYTES`` it is broadcast. Beyond that the join is shuffled. Keys with
+    more than ``flowloom.heavyRows`` facts are spread over ``SALTS`` tasks: the salt of such a
+    fact is a hash of its ``spread`` columns, and the key's lookup row is there under each
+    salt. All other keys are joined plainly.
     """
-    spark = facts.sparkSession
     table = lookup if staged else stage(lookup)
     keys = list(on)
-    if table.count() <= broadcast_rows(spark):
+    if fits_in_memory(table):
         return facts.join(F.broadcast(table), keys, how)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted, copies = spread_lookup(facts, table, keys, spread)
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.plans import ordered
-from flowloom.plans.lookups import lookup_join
+from flowloom.plans.lookups import SALTS, lookup_join, spread_lookup
 
 
 def rows(seed=1, n=300):
@@ -113,3 +113,17 @@ def test_salted_lookup_equals_broadcast(spark, table, no_broadcast):
         assert sorted(map(str, got.select(want.columns).collect())) == sorted(
             map(str, want.collect())
         )
+
+
+def test_only_heavy_keys_are_copied(spark, no_broadcast):
+    facts = spark.range(9000).withColumn("k", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")))
+    lookup = spark.range(-1, 9000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    spark.conf.set("flowloom.heavyRows", "100")
+    try:
+        salted, copies = spread_lookup(facts, lookup, ["k"], ["id"])
+        assert copies.count() == 9001 + SALTS - 1
+        assert salted.select("_salt").distinct().count() == SALTS
+        got = lookup_join(facts, lookup, ["k"], spread=["id"])
+        assert got.count() == 9000 and got.where("v <> k * 2").count() == 0
+    finally:
+        spark.conf.unset("flowloom.heavyRows")
