@@ -16,11 +16,11 @@ Rarity comes from a table of counts over all documents, by hash of the shingle.
 the result is the same for any order.
 
 Equal sets are one node. Lists and subsets are not turned into all their pairs: a group of
-thousands of near copies would give millions. In each round every list has a pivot, its members
-are compared with the pivot alone, and what links is one component from then on. After
-``PIVOT_ROUNDS`` the rest is done exactly: in lists that still hold several components, members
-outside the list's largest component meet the members of other components. Pairs inside a component need no
-test, so no link between components is lost, and components are exact.
+thousands of near copies would give millions. In each round the members of a list that are not in
+the list's largest component are compared with a few pivots of the list, and what links is one
+component from then on. After the rounds of ``PIVOTS`` the rest is done exactly: in lists that still
+hold several components, members outside the largest meet all members of other components. Pairs
+inside a component need no test, so no link between components is lost, and components are exact.
 
 A pair goes through filters that never reject a true pair (sizes, position in the order, counts
 of shingles per hash range) and is then compared shingle by shingle, as sorted 40-bit hashes.
@@ -49,7 +49,9 @@ from flowloom.plans.staging import stage
 SKETCH_BITS = 22
 SLOTS = 256
 RANGE_BITS = 7
-PIVOT_ROUNDS = 2
+#: Members of a list that the others are compared with, round by round. In the first round nearly
+#: all members compare, later only those that are not in the list's largest component by then.
+PIVOTS = (4, 32)
 #: Cost of a row met in a list, in rows written.
 MEETING_COST = 0.2
 
@@ -321,30 +323,22 @@ def linked(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     return stage(rows.mapInArrow(run, "a long, b long"))
 
 
-def pivot_pairs(lists: DataFrame, seed: int, like: Likeness) -> DataFrame:
-    """Members of lists with several components, each against its list's pivot."""
-    order = F.struct(F.xxhash64("comp", F.lit(seed)).alias("h"), "comp", "node", "n", "pos")
-    pivot = (
-        lists.groupBy("token")
-        .agg(F.min(order).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        .where("lo < hi")
-        .select("token", "p")
-    )
-    rows = lists.join(pivot, "token").where("comp <> p.comp")
-    ok = like.may_link(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos"))
-    return rows.where(ok).select(
-        F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")
-    )
+def list_pairs(lists: DataFrame, like: Likeness, seed: int, pivots: int | None) -> DataFrame:
+    """Members outside their list's largest component, against members of other components.
 
-
-def remaining_pairs(lists: DataFrame, like: Likeness) -> DataFrame:
-    """Members outside their list's largest component, each against other components' members."""
+    With ``pivots``, against about that many members of the list, drawn by hash; without, against
+    all of them.
+    """
     counted = lists.groupBy("token", "comp").agg(F.count("*").alias("c"))
     largest = (
         counted.groupBy("token")
-        .agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k"))
+        .agg(
+            F.max(F.struct("c", "comp")).alias("top"),
+            F.count("*").alias("k"),
+            F.sum("c").alias("members"),
+        )
         .where("k > 1")
-        .select("token", F.col("top.comp").alias("major"))
+        .select("token", F.col("top.comp").alias("major"), "members")
     )
     several = lists.join(largest, "token")
     minor = several.where("comp <> major").select(
@@ -354,7 +348,10 @@ def remaining_pairs(lists: DataFrame, like: Likeness) -> DataFrame:
         F.col("pos").alias("xp"),
         F.col("comp").alias("xc"),
     )
-    rows = minor.join(several, "token").where((F.col("comp") != F.col("xc")))
+    if pivots is not None:
+        draw = F.pmod(F.xxhash64("node", "token", F.lit(seed)), F.col("members"))
+        several = several.where(draw < pivots)
+    rows = minor.join(several, "token").where(F.col("comp") != F.col("xc"))
     ok = like.may_link(F.col("n"), F.col("xn"), F.col("pos"), F.col("xp"))
     return rows.where(ok).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
 
@@ -383,14 +380,13 @@ def near_components(docs: DataFrame, like: Likeness, text: str = "text", key: st
     sets = stage(sets_of(docs, nodes.join(listed, "node").select("rep", "node"), like))
 
     links, comps = None, None
-    for step in range(PIVOT_ROUNDS + 1):
+    for step, pivots in enumerate([*PIVOTS, None]):
         labels = lists.withColumn("comp", F.col("node"))
         if comps is not None:
             named = comps.withColumnRenamed("comp", "_comp")
             labels = lists.join(named, "node", "left").withColumn("comp", F.coalesce("_comp", "node"))
             labels = labels.drop("_comp")
-        final = step == PIVOT_ROUNDS
-        pairs = remaining_pairs(labels, like) if final else pivot_pairs(labels, step, like)
+        pairs = list_pairs(labels, like, step, pivots)
         new = linked(plausible(pairs.distinct(), nodes, like), sets, like)
         links = new if links is None else links.union(new)
         comps = stage(connected(links))
