@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["cleaning", "graphs", "sequences", "splits", "encoding", "evaluation", "scoring", "files"]
+AREAS = ["cleaning", "graphs", "sequences", "splits", "encoding", "evaluation", "scoring", "files", "variants"]
 
 
 def load_catalog():
