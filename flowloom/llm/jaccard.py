@@ -260,16 +260,22 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
-    """(node, shingles) of the wanted (doc_id, node) rows, packed."""
+    """(node, shingles) of the wanted (doc_id, node) rows, packed.
+
+    Rows that repeat an id lie in one task and give one row there. If such a task is split, a node
+    may come twice; its pairs are then compared twice, which changes nothing.
+    """
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
+        done = set()
         for batch in text_batches(batches):
             nodes, sets = [], []
             wish = batch.column("node").to_pylist()
             for node, shingles in zip(wish, shingle_sets(batch.column("text"), like.width), strict=True):
                 # Rows that share an id may hold other texts.
-                if len(shingles) and node_of(shingles) == node:
+                if node not in done and len(shingles) and node_of(shingles) == node:
+                    done.add(node)
                     nodes.append(node)
                     sets.append(packed(shingles))
             yield pa.RecordBatch.from_arrays(
@@ -277,8 +283,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
             )
 
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("node", "text")
-    found = texts.mapInArrow(run, "node long, shingles binary")
-    return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return texts.mapInArrow(run, "node long, shingles binary")
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
