@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from flowloom.llm.batches import pieces
 from flowloom.llm.hashing import mix, powers
-from flowloom.plans.staging import stage
+from flowloom.plans.staging import new_path
 
 LEVELS = 4
 KEPT = 16
@@ -246,7 +246,10 @@ def fingerprint_table(docs: DataFrame, text: str = "text", key: str = "doc_id")
         if held is not None:
             yield batch_of([[held[0]], [len(held[1])], *blank], part, 1, [held[1]])
 
-    stored = stage(ranged.mapInArrow(run, OUTPUT))
+    # Fingerprints are hex digits, which zstd packs to half.
+    path = new_path(docs.sparkSession)
+    ranged.mapInArrow(run, OUTPUT).write.option("compression", "zstd").parquet(path)
+    stored = docs.sparkSession.read.schema(OUTPUT).parquet(path)
     edges = stored.where("edge IS NOT NULL").select("doc_id", "part", "edge", "text")
     # Two rows per task; the text after a task's last is that of the next task's first.
     by_part = W.orderBy("part", "edge")
