@@ -124,7 +124,8 @@ RULES = (
     FEW_WORDS,
     REPEATS,
     Rule("symbols", ("n_words", "n_symbols"), lambda e: 10 * e["n_symbols"] > e["n_words"]),
-    Rule("dup_lines", ("n_lines", "n_dup_lines"), lambda e: 10 * e["n_dup_lines"] > 3 * e["n_lines"]),
+    # A short text may open and close with the same line, so only a majority counts.
+    Rule("dup_lines", ("n_lines", "n_dup_lines"), lambda e: 2 * e["n_dup_lines"] > e["n_lines"]),
     Rule("upper_case", ("word_chars", "n_upper"), lambda e: 10 * e["n_upper"] > 3 * e["word_chars"]),
     Rule(
         "word_length",

@@ -44,7 +44,7 @@ judged AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed
     OR 10 * n_symbols > n_words
-    OR 10 * n_dup_lines > 3 * n_lines
+    OR 2 * n_dup_lines > n_lines
     OR 10 * n_upper > 3 * word_chars
     OR word_chars < 2 * n_words OR word_chars > 12 * n_words
     OR 10 * n_distinct < n_words) AS kept
