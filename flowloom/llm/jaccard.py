@@ -16,7 +16,7 @@ Rarity comes from a table of counts over all documents, by hash of the shingle.
 the result is the same for any order.
 
 Equal sets are one node. Lists and subsets are not turned into all their pairs: a group of
-thousands of near copies would give millions. In each round the members of a list that are not in
+thousands of near copies would give millions. Short lists are compared in full, once. In each round the members of a longer list that are not in
 the list's largest component are compared with a few pivots of the list, and what links is one
 component from then on. After the rounds of ``PIVOTS`` the rest is done exactly: in lists that still
 hold several components, members outside the largest meet all members of other components. Pairs
@@ -49,7 +49,9 @@ from flowloom.plans.staging import stage
 SKETCH_BITS = 22
 SLOTS = 256
 RANGE_BITS = 7
-#: Members of a list that the others are compared with, round by round. In the first round nearly
+#: Members up to which all pairs of a list are compared at once.
+SHORT_LIST = 8
+#: Members of a longer list that the others are compared with, round by round. In the first round nearly
 #: all members compare, later only those that are not in the list's largest component by then.
 PIVOTS = (4, 32)
 #: Cost of a row met in a list, in rows written.
@@ -328,7 +330,18 @@ def linked(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     return stage(rows.mapInArrow(run, "a long, b long"))
 
 
-def list_pairs(lists: DataFrame, like: Likeness, seed: int, pivots: int | None) -> DataFrame:
+def short_list_pairs(lists: DataFrame, like: Likeness) -> DataFrame:
+    """All pairs of lists of at most ``SHORT_LIST`` members."""
+    short = lists.where(F.col("members") <= SHORT_LIST)
+    other = short.select(
+        "token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp")
+    )
+    ok = like.may_link(F.col("n"), F.col("xn"), F.col("pos"), F.col("xp"))
+    rows = short.join(other, "token").where(F.col("node") < F.col("x")).where(ok)
+    return rows.select(F.col("node").alias("a"), F.col("x").alias("b"))
+
+
+def long_list_pairs(lists: DataFrame, like: Likeness, seed: int, pivots: int | None) -> DataFrame:
     """Members outside their list's largest component, against members of other components.
 
     With ``pivots``, against about that many members of the list, drawn by hash; without, against
@@ -337,13 +350,9 @@ def list_pairs(lists: DataFrame, like: Likeness, seed: int, pivots: int | None)
     counted = lists.groupBy("token", "comp").agg(F.count("*").alias("c"))
     largest = (
         counted.groupBy("token")
-        .agg(
-            F.max(F.struct("c", "comp")).alias("top"),
-            F.count("*").alias("k"),
-            F.sum("c").alias("members"),
-        )
+        .agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k"))
         .where("k > 1")
-        .select("token", F.col("top.comp").alias("major"), "members")
+        .select("token", F.col("top.comp").alias("major"))
     )
     several = lists.join(largest, "token")
     minor = several.where("comp <> major").select(
@@ -381,17 +390,22 @@ def near_components(docs: DataFrame, like: Likeness, text: str = "text", key: st
         .select("token")
     )
     lists = stage(found.join(shared, "token", "left_semi").distinct())
+    members = lists.groupBy("token").agg(F.count("*").alias("members"))
+    lists = stage(lists.join(members, "token"))
+    long_lists = stage(lists.where(F.col("members") > SHORT_LIST))
     listed = lists.select("node").distinct()
     sets = stage(sets_of(docs, nodes.join(listed, "node").select("rep", "node"), like))
 
     links, comps = None, None
     for step, pivots in enumerate([*PIVOTS, None]):
-        labels = lists.withColumn("comp", F.col("node"))
+        labels = long_lists.withColumn("comp", F.col("node"))
         if comps is not None:
             named = comps.withColumnRenamed("comp", "_comp")
-            labels = lists.join(named, "node", "left").withColumn("comp", F.coalesce("_comp", "node"))
-            labels = labels.drop("_comp")
-        pairs = list_pairs(labels, like, step, pivots)
+            labels = long_lists.join(named, "node", "left")
+            labels = labels.withColumn("comp", F.coalesce("_comp", "node")).drop("_comp")
+        pairs = long_list_pairs(labels, like, step, pivots)
+        if step == 0:
+            pairs = pairs.union(short_list_pairs(lists, like))
         new = linked(plausible(pairs.distinct(), nodes, like), sets, like)
         links = new if links is None else links.union(new)
         comps = stage(connected(links))
