@@ -370,6 +370,15 @@ def long_list_pairs(lists: DataFrame, like: Likeness, seed: int, pivots: int | N
     return rows.where(ok).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
 
 
+def release_shuffles(spark) -> None:
+    """Have the files of finished shuffles removed.
+
+    Spark removes them when the driver's garbage is collected, which a driver with little to do
+    puts off, so the disks would hold the shuffles of all steps at once.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def near_components(docs: DataFrame, like: Likeness, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; the component's smallest document id."""
     spark = docs.sparkSession
@@ -391,11 +400,13 @@ def near_components(docs: DataFrame, like: Likeness, text: str = "text", key: st
     )
     lists = stage(found.join(shared, "token", "left_semi").distinct())
     members = lists.groupBy("token").agg(F.count("*").alias("members"))
+    release_shuffles(spark)
     lists = stage(lists.join(members, "token"))
     long_lists = stage(lists.where(F.col("members") > SHORT_LIST))
     listed = lists.select("node").distinct()
     sets = stage(sets_of(docs, nodes.join(listed, "node").select("rep", "node"), like))
 
+    release_shuffles(spark)
     links, comps = None, None
     for step, pivots in enumerate([*PIVOTS, None]):
         labels = long_lists.withColumn("comp", F.col("node"))
@@ -407,6 +418,7 @@ def near_components(docs: DataFrame, like: Likeness, text: str = "text", key: st
         if step == 0:
             pairs = pairs.union(short_list_pairs(lists, like))
         new = linked(plausible(pairs.distinct(), nodes, like), sets, like)
+        release_shuffles(spark)
         links = new if links is None else links.union(new)
         comps = stage(connected(links))
     named = nodes.join(comps, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
