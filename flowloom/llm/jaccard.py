@@ -16,11 +16,12 @@ Rarity comes from a table of counts over all documents, by hash of the shingle.
 the result is the same for any order.
 
 Equal sets are one node. Lists and subsets are not turned into all their pairs: a group of
-thousands of near copies would give millions. Short lists are compared in full, once. In each round the members of a longer list that are not in
-the list's largest component are compared with a few pivots of the list, and what links is one
-component from then on. After the rounds of ``PIVOTS`` the rest is done exactly: in lists that still
-hold several components, members outside the largest meet all members of other components. Pairs
-inside a component need no test, so no link between components is lost, and components are exact.
+thousands of near copies would give millions. First the members of every list are compared with one
+of them, the list's pivot, and what links is one component from then on. Then, in long lists, those
+that are not in the list's largest component are compared with ``PIVOTS`` members. The rest is
+exact: in lists that still hold several components, members outside the largest meet all members of
+other components. Pairs inside a component need no test, so no link between components is lost, and
+components are exact.
 
 A pair goes through filters that never reject a true pair (sizes, position in the order, counts
 of shingles per hash range) and is then compared shingle by shingle, as sorted 40-bit hashes.
@@ -49,11 +50,10 @@ from flowloom.plans.staging import stage
 SKETCH_BITS = 22
 SLOTS = 256
 RANGE_BITS = 7
-#: Members up to which all pairs of a list are compared at once.
+#: Lists up to this length take no part in the second round.
 SHORT_LIST = 8
-#: Members of a longer list that the others are compared with, round by round. In the first round nearly
-#: all members compare, later only those that are not in the list's largest component by then.
-PIVOTS = (4, 32)
+#: Members of a longer list that those outside its largest component are compared with then.
+PIVOTS = 32
 #: Cost of a row met in a list, in rows written.
 MEETING_COST = 0.2
 
@@ -330,18 +330,18 @@ def linked(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     return stage(rows.mapInArrow(run, "a long, b long"))
 
 
-def short_list_pairs(lists: DataFrame, like: Likeness) -> DataFrame:
-    """All pairs of lists of at most ``SHORT_LIST`` members."""
-    short = lists.where(F.col("members") <= SHORT_LIST)
-    other = short.select(
-        "token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp")
+def pivot_pairs(lists: DataFrame, like: Likeness) -> DataFrame:
+    """Members of each list against one of them, its pivot."""
+    order = F.struct(F.xxhash64("node").alias("h"), "node", "n", "pos")
+    pivot = lists.groupBy("token").agg(F.min(order).alias("p"))
+    rows = lists.join(pivot, "token").where("node <> p.node")
+    ok = like.may_link(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos"))
+    return rows.where(ok).select(
+        F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")
     )
-    ok = like.may_link(F.col("n"), F.col("xn"), F.col("pos"), F.col("xp"))
-    rows = short.join(other, "token").where(F.col("node") < F.col("x")).where(ok)
-    return rows.select(F.col("node").alias("a"), F.col("x").alias("b"))
 
 
-def long_list_pairs(lists: DataFrame, like: Likeness, seed: int, pivots: int | None) -> DataFrame:
+def list_pairs(lists: DataFrame, like: Likeness, seed: int, pivots: int | None) -> DataFrame:
     """Members outside their list's largest component, against members of other components.
 
     With ``pivots``, against about that many members of the list, drawn by hash; without, against
@@ -408,15 +408,15 @@ def near_components(docs: DataFrame, like: Likeness, text: str = "text", key: st
 
     release_shuffles(spark)
     links, comps = None, None
-    for step, pivots in enumerate([*PIVOTS, None]):
-        labels = long_lists.withColumn("comp", F.col("node"))
-        if comps is not None:
+    for step in range(3):
+        if step == 0:
+            pairs = pivot_pairs(lists, like)
+        else:
+            members = long_lists if step == 1 else lists
             named = comps.withColumnRenamed("comp", "_comp")
-            labels = long_lists.join(named, "node", "left")
+            labels = members.join(named, "node", "left")
             labels = labels.withColumn("comp", F.coalesce("_comp", "node")).drop("_comp")
-        pairs = long_list_pairs(labels, like, step, pivots)
-        if step == 0:
-            pairs = pairs.union(short_list_pairs(lists, like))
+            pairs = list_pairs(labels, like, step, PIVOTS if step == 1 else None)
         new = linked(plausible(pairs.distinct(), nodes, like), sets, like)
         release_shuffles(spark)
         links = new if links is None else links.union(new)
