@@ -57,6 +57,21 @@ def raw_folder(spark, sf_dir):
     return path
 
 
+def strict_rows(spark, sf_dir):
+    """All raw records, their times in the one format that keeps seconds, read by the strict reader."""
+    one_format = flows.RAW_FORMATS[0]
+    records = file_records(spark, sf_dir).drop("event_id", "source_file")
+    time = F.date_format(flows.parse_timestamp(F.col(" Timestamp")), one_format)
+    path = new_path(spark)
+    records.withColumn(" Timestamp", time).write.option("header", True).csv(path)
+    rows = flows.read_flows_strict(spark, path, survey=False, timestamp_format=one_format)
+    return rows.select(
+        F.col(" Idle Min").cast("bigint").alias("event_id"),
+        F.unix_seconds(F.col(" Timestamp")).alias("ts_unix"),
+        F.col(" Destination Port").alias("destination_port"),
+    )
+
+
 def finite(column):
     value = F.abs(F.col(column))
     return F.when(~F.isnan(value) & (value < float("inf")), F.col(column))
@@ -100,17 +115,9 @@ def files_malformed(spark, sf_dir):
 SELECT CAST(event_id AS BIGINT) AS event_id, CAST(floor(epoch(parsed)) AS BIGINT) AS ts_unix,
   destination_port FROM raw WHERE event_id % 2 = 1 AND event_id % 31 <> 0""")
 def files_strict_scan(spark, sf_dir):
-    """Records in the minute format, all of which fit the schema."""
+    """Every record goes through the strict reader; the selection of the SQL is made of what it read."""
     n = F.col("event_id")
-    records = file_records(spark, sf_dir).where((n % 2 == 1) & (n % 31 != 0))
-    path = new_path(spark)
-    records.drop("event_id", "source_file").write.option("header", True).csv(path)
-    rows = flows.read_flows_strict(spark, path, survey=False)
-    return rows.select(
-        F.col(" Idle Min").cast("bigint").alias("event_id"),
-        F.unix_seconds(F.col(" Timestamp")).alias("ts_unix"),
-        F.col(" Destination Port").alias("destination_port"),
-    )
+    return strict_rows(spark, sf_dir).where((n % 2 == 1) & (n % 31 != 0))
 
 
 CLEAN_WHERE = """trim(label) <> '' AND isfinite(flow_duration) AND source_port IS NOT NULL

@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from flowloom.catalog.files import strict_rows
 from flowloom.operators import cleaning
 from flowloom.sources import flows, runs, sinks
+from flowloom.sources.adapters import read_raw_flows
 from flowloom.sources.schemas import FLOW_STATISTICS, flow_schema
 
 
@@ -63,6 +65,23 @@ def test_strict_read_refuses_bad_records(spark, tmp_path):
     assert (counts["n_malformed"], counts["n_rows"]) == (1, 1)
 
 
+def test_strict_scan_reads_every_event(spark):
+    folder = "/root/testdata/sf0.001"
+    raw = read_raw_flows(spark, folder)
+    wanted = {
+        r["event_id"]: (r["ts_unix"], r["destination_port"])
+        for r in raw.select(
+            F.col("event_id").cast("bigint").alias("event_id"),
+            F.unix_seconds(flows.parse_timestamp(F.col("timestamp_text"))).alias("ts_unix"),
+            "destination_port",
+        ).collect()
+    }
+    rows = strict_rows(spark, folder).collect()
+    assert len(rows) == len(wanted)
+    assert {r["event_id"]: (r["ts_unix"], r["destination_port"]) for r in rows} == wanted
+    assert any(t is None for t, _ in wanted.values()) and any(t and t % 60 for t, _ in wanted.values())
+
+
 def test_clean_table_round_trip(spark, folder, tmp_path):
     named = cleaning.undot_names(flows.read_flows(spark, folder).drop("source_file"))
     assert " Fwd Header Length_1" in named.columns
