@@ -1,7 +1,8 @@
 """Removal of repeated passages by seed and extend on winnowed anchors.
 
 A passage counts as repeated when ``WINDOW`` consecutive words have occurred before: in a document
-with a smaller id, or earlier in the same one. Every word in such a window is removed.
+before it in the order of (id, text hash), or earlier in the same one. Every word in such a window is
+removed.
 
 Seeds: a document's anchors are the least hashes of ``GRAM`` words in each window (winnowing). Equal
 windows choose the same anchor at the same place, so windows can only be equal where anchors are.
@@ -19,9 +20,10 @@ Firsts are found by aggregates that are reduced before the shuffle, so a passage
 documents costs one row per task and class. Ranges of one document are gathered with that document
 only.
 
-Defined results: a null text has no words. An id that is repeated counts as one document whose rows
-share their places, so equal rows get equal answers. A null id comes before all others. A
-text of fewer than ``WINDOW`` words is kept whole. An empty table gives an empty table.
+Defined results: a null text has no words. Different texts under one id, or without an id, are
+documents of their own. Rows of the same id and text are one document and get equal answers. A null
+id comes before all others. A text of fewer than ``WINDOW`` words is kept whole. An empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ GRAM = 6
 #: A place is start * STEP + number of windows of the run.
 STEP = 64
 BEFORE_ALL = -(2**63)
+#: A document: its id and the hash of its text.
+KEY = ["key", "mark"]
 
 
 def window_hashes(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -90,23 +94,23 @@ def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, class, key, place) of every run of every document."""
-    schema = pa.schema([(n, pa.int64()) for n in ("anchor", "class", "key", "place")])
+    """(anchor, class, key, mark, place) of every run of every document."""
+    schema = pa.schema([(n, pa.int64()) for n in ("anchor", "class", *KEY, "place")])
 
     def run(batches):
         for batch in text_batches(batches):
             hashes, firsts = word_hashes(batch.column("text"))
             anchor, kind, text, start, length = runs(hashes, firsts, window, gram)
-            keys = batch.column("key").to_numpy()
-            columns = [anchor.view(np.int64), kind.view(np.int64), keys[text], start * STEP + length]
+            keys = [batch.column(c).to_numpy()[text] for c in KEY]
+            columns = [anchor.view(np.int64), kind.view(np.int64), *keys, start * STEP + length]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
-    return docs.mapInArrow(run, "anchor long, class long, key long, place long")
+    return docs.mapInArrow(run, "anchor long, class long, key long, mark long, place long")
 
 
 def opened(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
-    """(sequence, key, start) of every window of the given runs."""
-    schema = pa.schema([(n, pa.int64()) for n in ("sequence", "key", "start")])
+    """(sequence, key, mark, start) of every window of the given runs."""
+    schema = pa.schema([(n, pa.int64()) for n in ("sequence", *KEY, "start")])
 
     def run(batches):
         for batch in text_batches(batches):
@@ -115,40 +119,43 @@ def opened(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
                 continue
             hashes, firsts = word_hashes(batch.column("text"))
             whole = window_hashes(hashes, window).view(np.int64)
-            for i, (key, wanted) in enumerate(
-                zip(batch.column("key").to_pylist(), batch.column("places"), strict=True)
-            ):
+            keys = zip(*[batch.column(c).to_pylist() for c in KEY], strict=True)
+            for i, (key, wanted) in enumerate(zip(keys, batch.column("places"), strict=True)):
                 place = wanted.values.to_numpy()
                 start, length = place // STEP, place % STEP
                 at = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
                 at = at[at + window <= firsts[i + 1] - firsts[i]]
-                columns = [whole[at + firsts[i]], np.full(len(at), key), at]
+                columns = [whole[at + firsts[i]], *[np.full(len(at), k) for k in key], at]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
     # A left join here and below: both then share one shuffle of the texts.
-    joined = docs.join(places, "key", "left").select("key", "text", "places")
-    return joined.mapInArrow(run, "sequence long, key long, start long")
+    joined = docs.join(places, KEY, "left").select(*KEY, "text", "places")
+    return joined.mapInArrow(run, "sequence long, key long, mark long, start long")
 
 
 def repeated_places(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(key, place) of the repeated runs and windows of (key, text)."""
+    """(key, mark, place) of the repeated runs and windows of (key, mark, text).
+
+    Equal rows find the same places, so places are gathered as sets.
+    """
     found = anchors(docs, window, gram)
     common = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     seeds = stage(found.join(common, "anchor", "left_semi"))
-    firsts = seeds.groupBy("anchor", "class").agg(F.min(F.struct("key", "place")).alias("first"))
-    copies = seeds.join(firsts, ["anchor", "class"]).where(F.struct("key", "place") > F.col("first"))
+    firsts = seeds.groupBy("anchor", "class").agg(F.min(F.struct(*KEY, "place")).alias("first"))
+    copies = seeds.join(firsts, ["anchor", "class"]).where(F.struct(*KEY, "place") > F.col("first"))
     several = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     edges = firsts.join(several, "anchor", "left_semi").select("first.*")
-    places = edges.groupBy("key").agg(F.collect_list("place").alias("places"))
+    places = edges.groupBy(*KEY).agg(F.collect_set("place").alias("places"))
     windows = opened(docs, places, window)
     earliest = (
         windows.groupBy("sequence")
-        .agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("n"))
+        .agg(F.min(F.struct(*KEY, "start")).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
         .select("sequence", "first")
     )
-    later = windows.join(earliest, "sequence").where(F.struct("key", "start") > F.col("first"))
-    return copies.select("key", "place").union(later.select("key", (F.col("start") * STEP + 1).alias("place")))
+    later = windows.join(earliest, "sequence").where(F.struct(*KEY, "start") > F.col("first"))
+    opened_places = later.select(*KEY, (F.col("start") * STEP + 1).alias("place"))
+    return copies.select(*KEY, "place").union(opened_places)
 
 
 def removed_mask(count: int, places: np.ndarray, window: int) -> np.ndarray:
@@ -165,12 +172,14 @@ def without_repeats(
     docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, gram: int = GRAM
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every document; kept words joined by one blank."""
+    words = F.coalesce(F.col(text), F.lit("")).cast("binary")
     keyed = docs.select(
         F.coalesce(F.col(key).cast("long"), F.lit(BEFORE_ALL)).alias("key"),
-        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
+        F.xxhash64(words).alias("mark"),
+        words.alias("text"),
     )
     ranges = (
-        repeated_places(keyed, window, gram).groupBy("key").agg(F.collect_list("place").alias("places"))
+        repeated_places(keyed, window, gram).groupBy(*KEY).agg(F.collect_set("place").alias("places"))
     )
     schema = pa.schema(
         [("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]
@@ -193,7 +202,7 @@ def without_repeats(
             arrays = [c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    joined = keyed.join(ranges, "key", "left").select("key", "text", "places")
+    joined = keyed.join(ranges, KEY, "left").select(*KEY, "text", "places")
     done = joined.mapInArrow(run, "key long, n_words long, n_removed long, kept string")
     return done.select(
         F.when(F.col("key") != BEFORE_ALL, F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept"

@@ -107,6 +107,23 @@ def test_passages_of_odd_rows(odd_docs, odd_rows, no_docs):
     assert without_repeats(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("key", [None, 5])
+def test_passages_of_texts_that_share_an_id(make_docs, key):
+    def words(letter, count):
+        return [f"{letter}{i}" for i in range(count)]
+
+    passage = words("p", 30)
+    texts = [words(c, 25) + passage + words(c + "z", 25) for c in "uv"] + [words("x", 90)]
+    rows = [(key, " ".join(t)) for t in texts] + [(9, " ".join(passage))]
+    got = without_repeats(make_docs(rows)).collect()
+    kept = [r["kept"].split() for r in got if r["doc_id"] == key]
+    # One of the two keeps the passage, and nothing else is lost from any text.
+    assert sorted(map(len, kept)) == [50, 80, 90]
+    for t in texts:
+        assert [w for w in t if w not in passage] in [[w for w in k if w not in passage] for k in kept]
+    assert [(r["n_removed"], r["kept"]) for r in got if r["doc_id"] == 9] == [(30, "")]
+
+
 # ---------------------------------------------------------------- near copies
 
 
