@@ -7,24 +7,28 @@ the same place is not looked at again, which ends cycles. Each character of a la
 characters of the text it comes from, so a hit in any layer is a span of the text.
 
 Escapes are unwrapped line by line with the rest of the line around them, so that a keyword before
-an escaped value still counts. Base64 and compressed data are layers of their own.
+an escaped value still counts. Base64 and compressed data are layers of their own. Base64 in lines is
+unwrapped line by line and as one run over single line breaks (with indents), from every line that
+starts at another place in a group of four. Bytes that are no UTF-8 are kept one by one, and those
+with NULs are read as UTF-16 too. Compressed data may have several members.
 
 Defined results: a null text is an empty text without spans. Rows are scanned one by one, repeated
 rows alike. An empty table gives an empty table. Compressed data that grows beyond
-``MOST_UNPACKED`` bytes is scanned in overlapping windows of that size, each unwrapped in turn; the
-hits of a compressed layer map to its whole span anyway.
+``MOST_UNPACKED`` bytes is scanned in overlapping windows of about that size, each unwrapped in turn;
+a run that is open at the end of a window is held until it ends, so a window has it whole. The hits of
+a compressed layer map to its whole span anyway.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (
@@ -51,8 +55,15 @@ ESCAPE = re.compile(
     r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}"
     r"|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)"
 )
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LEAST_RUN = 16
+DIGITS = re.compile(r"[A-Za-z0-9+/_-]+")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)*+={0,2}")
+LINE_END = re.compile(r"""["'<>)\]},;]?[ \t]*(?:\r?\n|\Z)""")
+#: The end, read backwards, of a run of base64 or escapes that may go on.
+OPEN_END = re.compile(rb"(?:[A-Za-z0-9+/_.=%\\&#;{}\x00-]++|[ \t]*+\n\r?[ \t]*+)*+")
 MOST_UNPACKED = 16 << 20
+#: Compressed bytes given to a decompressor at once.
+FED = 1 << 16
 WINDOW_OVERLAP = 4096
 
 Span = tuple[str, int, int]
@@ -86,7 +97,11 @@ class Layer:
 
 
 def char_widths(text: str) -> list[int]:
-    return [1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in text]
+    """Bytes of each character in UTF-8; a surrogate stands for one byte that is none."""
+    return [
+        1 if c < "\x80" or "\ud800" <= c < "\ue000" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+        for c in text
+    ]
 
 
 def percent_value(m: re.Match) -> list[tuple[str, int, int]] | None:
@@ -146,29 +161,59 @@ def unescaped(layer: Layer, pattern: re.Pattern, value) -> Iterator[Layer]:
         done = last
 
 
-def inflated(data: bytes) -> Iterator[bytes]:
-    """Windows of what compressed data holds; nothing when it is not compressed."""
+def decompressor(data: bytes):
+    """What decompresses the data, by its first bytes; None when it is not compressed."""
     if data[:2] == b"\x1f\x8b":
-        engine = zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
-        engine = zlib.decompressobj(15)
-    elif data[:3] == b"BZh":
-        engine = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        engine = lzma.LZMADecompressor()
-    else:
-        return
-    tail, feed = b"", data
-    try:
-        while not engine.eof:
-            piece = engine.decompress(feed, MOST_UNPACKED)
-            feed = engine.unconsumed_tail if hasattr(engine, "unconsumed_tail") else b""
-            if not piece:
-                break
-            yield tail + piece
-            tail = piece[-WINDOW_OVERLAP:]
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        return
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
+        return zlib.decompressobj(15)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def members(data: bytes, at: int, ends: list[int]) -> Iterator[bytes]:
+    """Pieces of what all members from ``at`` on hold; ``ends`` gets where each member ends."""
+    while engine := decompressor(data[at : at + 6]):
+        try:
+            while not engine.eof:
+                feed = getattr(engine, "unconsumed_tail", b"")
+                if not feed and getattr(engine, "needs_input", True):
+                    feed = data[at : at + FED]
+                    at += len(feed)
+                piece = engine.decompress(feed, MOST_UNPACKED)
+                if piece:
+                    yield piece
+                elif not feed and not engine.eof:
+                    return
+        except (zlib.error, OSError, EOFError, lzma.LZMAError):
+            return
+        at -= len(engine.unused_data)
+        ends.append(at)
+        # Members may have zeros between them.
+        while data[at : at + 1] == b"\0":
+            at += 1
+
+
+def inflated(data: bytes, at: int, ends: list[int]) -> Iterator[bytes]:
+    """Windows of what compressed data from ``at`` on holds; nothing when it is not compressed."""
+    parts: list[bytes] = []
+    size = 0
+    for piece in members(data, at, ends):
+        parts.append(piece)
+        size += len(piece)
+        if size < MOST_UNPACKED or OPEN_END.fullmatch(piece[::-1]):
+            continue
+        window = b"".join(parts)
+        first = len(window) - OPEN_END.match(window[::-1]).end()
+        if first:
+            yield window[:first]
+        parts = [window[max(0, first - WINDOW_OVERLAP) :]]
+        size = 0
+    if window := b"".join(parts):
+        yield window
 
 
 def readable(data: bytes) -> str | None:
@@ -180,33 +225,93 @@ def readable(data: bytes) -> str | None:
     return None if any(c < " " and c not in "\t\n\r\f" for c in text) else text
 
 
+def texts(data: bytes) -> Iterator[tuple[str, list[int]]]:
+    """The bytes as text, and the bytes of each character; with NULs also as UTF-16."""
+    text = data.decode("utf-8", "surrogateescape")
+    yield text, char_widths(text)
+    if b"\0" in data:
+        for name in ("utf-16-le", "utf-16-be"):
+            text = data[: len(data) // 2 * 2].decode(name, "surrogatepass")
+            yield text, [4 if c >= "\U00010000" else 2 for c in text]
+
+
+def from_digits(digits: str) -> bytes:
+    body = digits.replace("-", "+").replace("_", "/")
+    body = body[:-1] if len(body) % 4 == 1 else body
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def text_layers(layer: Layer, data: bytes, where: Sequence[int]) -> Iterator[Layer]:
+    """Texts of bytes whose base64 characters are at the places ``where``."""
+    for text, widths in texts(data):
+        starts, ends, at = [], [], 0
+        for w in widths:
+            # Byte k lies in the base64 characters from 4k/3 on.
+            a = at * 4 // 3
+            b = max(a + 1, min(len(where), -(-(at + w) * 4 // 3)))
+            start, end = layer.origin(where[a], where[b - 1] + 1)
+            starts.append(start)
+            ends.append(end)
+            at += w
+        yield Layer(text, starts, ends)
+
+
+def layers_of(
+    layer: Layer, data: bytes, where: Sequence[int], last: int, lines: Iterable[int] = (0,), whole: int = -1
+) -> Iterator[Layer]:
+    """Layers in decoded base64; compressed data begins at one of the ``lines`` (places in the run)."""
+    if readable(data) is None:
+        packed, done = False, 0
+        for line in lines:
+            at = line * 3 // 4
+            # A line amid what an earlier one began is no beginning.
+            if at < done or decompressor(data[at : at + 6]) is None:
+                continue
+            start, end = layer.origin(where[line], last)
+            ends: list[int] = []
+            for window in inflated(data, at, ends):
+                packed |= line == 0
+                for inner, _ in texts(window):
+                    yield Layer(inner, [start] * len(inner), [end] * len(inner))
+            done = max(ends, default=0)
+        if packed:
+            return
+    if data := data if whole < 0 else data[: whole * 3 // 4]:
+        yield from text_layers(layer, data, where)
+
+
+def joined_lines(layer: Layer, spans: list[tuple[int, int]], last: int) -> Iterator[Layer]:
+    """Layers of base64 that goes on over the lines at ``spans``, up to ``last`` with its padding."""
+    digits = "".join(layer.text[a:b] for a, b in spans)
+    where = [k for a, b in spans for k in range(a, b)]
+    lines = [0, *accumulate(b - a for a, b in spans)]
+    tail, padded = lines[-2], last > spans[-1][1]
+    # A word that begins the next line of prose is no part of the text.
+    sure = padded or LINE_END.match(layer.text, last) is not None
+    tried = set()
+    for first in lines[:-1]:
+        if first % 4 in tried:
+            continue
+        tried.add(first % 4)
+        whole = -1
+        if not sure:
+            cut = tail + (first - tail) % 4
+            if readable(from_digits(digits[cut:])) is None:
+                whole = max(0, tail - first)
+        same = [n - first for n in lines[:-1] if n >= first and n % 4 == first % 4]
+        yield from layers_of(layer, from_digits(digits[first:]), where[first:], last, same, whole)
+
+
 def decoded(layer: Layer) -> Iterator[Layer]:
-    """Layers inside runs of base64, plain or compressed."""
+    """Layers inside runs of base64, plain or compressed, each line alone and all lines as one."""
     for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        text = readable(data)
-        if text:
-            starts, ends, at = [], [], 0
-            for w in char_widths(text):
-                # Byte k lies in the base64 characters from 4k/3 on.
-                a = m.start() + at * 4 // 3
-                b = m.start() + min(len(body), -(-(at + w) * 4 // 3))
-                start, end = layer.origin(a, max(a + 1, b))
-                starts.append(start)
-                ends.append(end)
-                at += w
-            yield Layer(text, starts, ends)
-            continue
-        start, end = layer.origin(m.start(), m.end())
-        for window in inflated(data):
-            inner = window.decode("utf-8", "replace")
-            yield Layer(inner, [start] * len(inner), [end] * len(inner))
+        spans = [d.span() for d in DIGITS.finditer(layer.text, m.start(), m.end())]
+        for a, b in spans:
+            if b - a >= LEAST_RUN and (b - a) % 4 != 1:
+                last = m.end() if b == spans[-1][1] else b
+                yield from layers_of(layer, from_digits(layer.text[a:b]), range(a, b), last)
+        if len(spans) > 1:
+            yield from joined_lines(layer, spans, m.end())
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:

@@ -1,8 +1,11 @@
 """Secrets, encoding, page text, WARC: against plain versions, round trips and odd rows."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
 import struct
 import unicodedata
@@ -12,7 +15,7 @@ import zlib
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from flowloom.llm import warc
+from flowloom.llm import secret_scan, warc
 from flowloom.llm.bpe import PieceEncoder, WordEncoder, encode_documents
 from flowloom.llm.page_text import best_region, extract, main_text
 from flowloom.llm.secret_scan import mask_secrets, masked, scan, secret_spans
@@ -146,6 +149,61 @@ def test_cycles_and_noise_end():
     assert scan("\\u0025" + "%5Cu0025" * 40)[1] == []
 
 
+def lines_of(data, width, indent=""):
+    digits = base64.b64encode(data).decode()
+    return f"\n{indent}".join(digits[a : a + width] for a in range(0, len(digits), width))
+
+
+FILL = " ".join(str(k * 7919) for k in range(300))
+
+
+@pytest.mark.parametrize("width", [64, 70, 76])
+@pytest.mark.parametrize("indent", ["", "  "])
+def test_base64_in_lines(width, indent):
+    for shift in range(0, 60, 7):
+        wrapped = lines_of(("x" * shift + f" {SECRET} ." + "y" * 90).encode(), width, indent)
+        text = f"Content-Transfer-Encoding\n{indent}{wrapped}\nNext words follow"
+        found = scan(text)[1]
+        # A line alone may show the start of the secret; the lines together show all of it.
+        kind, a, b = max(found, key=lambda s: s[2] - s[1])
+        assert kind == "assign" and len(SECRET) * 4 / 3 <= b - a < 2 * len(SECRET)
+        assert all(text.find(wrapped) <= a <= s[1] and s[2] <= b for s in found)
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        wrapped = lines_of(pack(f"{FILL} {SECRET}".encode()), width, indent)
+        assert [s for s in scan(f"see\n{indent}{wrapped}\nThe end")[1] if s[0] == "assign"], pack
+
+
+def test_next_line_adds_nothing():
+    digits = base64.b64encode(b"token=abcd12345678").decode()
+    assert spans_of(f"{digits}\nNext words") == [("assign", digits)]
+
+
+def test_bytes_that_are_no_utf8():
+    for data in (
+        SECRET.encode("utf-16-le"), SECRET.encode("utf-16-be"), SECRET.encode("utf-16"),
+        b"\x1b[0m " + SECRET.encode(), b"\xff\xfe\xfd " + SECRET.encode() + b" \x80",
+    ):
+        wrapped = base64.b64encode(data).decode()
+        assert [k for k, _ in spans_of(f"run {wrapped} now")] == ["assign"], data
+    packed = base64.b64encode(zlib.compress(SECRET.encode("utf-16-le"))).decode()
+    assert spans_of(packed) == [("assign", packed)]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
+def test_later_members(pack):
+    wrapped = base64.b64encode(pack(b"first") + pack(b"") + pack(SECRET.encode())).decode()
+    assert spans_of(wrapped) == [("assign", wrapped)]
+
+
+@pytest.mark.parametrize("before", [900, 4000, 60_000])
+def test_run_over_windows(before, monkeypatch):
+    monkeypatch.setattr(secret_scan, "MOST_UNPACKED", 1000)
+    monkeypatch.setattr(secret_scan, "WINDOW_OVERLAP", 50)
+    inner = base64.b64encode(zlib.compress(random.Random(1).randbytes(5000) + f" {SECRET}".encode())).decode()
+    wrapped = base64.b64encode(zlib.compress((("word " * before)[:before] + inner + " end" * 900).encode())).decode()
+    assert ("assign", wrapped) in spans_of(wrapped)
+
+
 def test_odd_rows_secrets(odd_docs, odd_rows, no_docs, make_docs):
     assert secret_spans(odd_docs).count() == len(odd_rows)
     assert secret_spans(no_docs).count() == 0
