@@ -8,8 +8,9 @@ m - c + 1 shingles (and two of their first n - c + 2 and m - c + 2):
   unrelated sets hardly share.
 * Heavy sets would enumerate too many; they enter each shingle of the start into an inverted
   list. Light sets near the boundary, which may meet heavy partners, enter theirs too.
-* The boundary is the size with the least estimated cost over the histogram of set sizes: rows
-  written, and for lists also the rows of others met there.
+* The boundary is the size with the least cost by a formula of the set size, summed over the
+  histogram of sizes. It reads no list lengths, and comes to at most 6 shingles at 85% and 4 at 80%:
+  but for such very short texts the method is a prefix filter over inverted lists.
 
 Rarity comes from a table of counts over all documents, by hash of the shingle. Its size is fixed
 (``SKETCH_BITS``), so it can be broadcast whatever the corpus; only the order depends on it, and
