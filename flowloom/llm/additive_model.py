@@ -6,15 +6,17 @@ by cyclic boosting: features take turns, each adds a shallow tree on its own bin
 the others leave, at a small rate. Then the pairs whose four-leaf trees would still explain most take
 turns in the same way. A table is the sum of its trees, so scoring adds bin entries only.
 
-The model is fitted on at most ``FIT_ROWS`` labelled rows, chosen by a hash of the id, so the fit has
-the same cost for any corpus. Their ids are a table of that many rows, small enough to be sent to every
-task; features are then computed where the texts are. Scoring covers every row.
+The model is fitted on at most about ``FIT_ROWS`` labelled texts, chosen by a hash of the id and, where
+ids have several texts, of id and text, so the fit has the same cost for any corpus. Their ids are a
+table of that many rows, small enough to be sent to every task; features are then computed where the
+texts are. Scoring covers every row.
 
 Labels are used from rows outside the held-out third only. Scores are made from the text alone.
 
 Defined results: a null text is an empty text, and has a score. A null id is not held out. Without
 labels of both kinds the score is the smoothed share of label 1, 0.5 without any. Repeated rows
-have equal scores. An empty table gives an empty table.
+have equal scores and count once in the fit. An id with several labels has the most frequent one, 1 if
+both are as frequent. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -224,29 +226,39 @@ def held_out(key: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most about ``most`` labelled rows that are not held out.
+    """Features and labels of at most about ``most`` labelled texts that are not held out.
 
-    The labels' ids are thinned by hash to the wanted number, then sent to the tasks.
+    The labels' ids are thinned by hash to the wanted number, then sent to the tasks; so are their
+    texts, by hash of id and text, if they are more.
     """
+
+    def thinned(rows: DataFrame, *by: str) -> DataFrame:
+        """Rows in the places of the hash range that give the wanted number on average."""
+        found = rows.select(*by).distinct().count()
+        part = 1.0 if found <= most else most / found
+        return rows.where(F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < int(part * (1 << 30)))
+
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
     usable = usable.where(F.col("doc_id").isNotNull() & F.col("y").isin(0.0, 1.0) & ~held_out(F.col("doc_id")))
-    found = usable.count()
-    # Places of the hash range that give the wanted number of rows on average.
-    part = 1.0 if found <= most else most / found
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("text", "y")
+    usable = usable.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
+    chosen = F.broadcast(thinned(usable, "doc_id"))
+    texts = docs.join(chosen, "doc_id").select("doc_id", F.xxhash64("text").alias("mark"), "text", "y")
+    texts = thinned(texts, "doc_id", "mark")
     schema = pa.schema([("y", pa.float64()), *[(n, pa.float64()) for n in FEATURES]])
+    keyed = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), *schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 rows = [features(t) for t in piece.column("text").to_pylist()]
-                columns = [piece.column("y"), *[pa.array(c) for c in zip(*rows, strict=True)]]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                named = [piece.column(n) for n in ("doc_id", "mark", "y")]
+                columns = [*named, *[pa.array(c) for c in zip(*rows, strict=True)]]
+                yield pa.RecordBatch.from_arrays(columns, schema=keyed)
 
-    kinds = ", ".join(f"{n} double" for n in schema.names)
+    kinds = ", ".join(["doc_id long", "mark long", *[f"{n} double" for n in schema.names]])
     # Rows come back in no fixed order; sorted, the fit is the same on every run.
-    made = texts.mapInArrow(run, kinds).toPandas().sort_values(schema.names, ignore_index=True)
+    once = texts.mapInArrow(run, kinds).dropDuplicates(["doc_id", "mark"]).select(*schema.names)
+    made = once.toPandas().sort_values(schema.names, ignore_index=True)
     return made[list(FEATURES)].to_numpy(dtype=float).reshape(-1, len(FEATURES)), made["y"].to_numpy(dtype=float)
 
 

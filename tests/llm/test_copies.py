@@ -7,9 +7,10 @@ import zlib
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowloom.llm.additive_model import fit, quality_scores, tree
+from flowloom.llm.additive_model import fit, quality_scores, training_rows, tree
 from flowloom.llm.components import connected
 from flowloom.llm.fingerprint import edited, fingerprint_table, fingerprints, likeness
 from flowloom.llm.jaccard import Likeness, keep_one, near_components, packed, unpacked
@@ -231,6 +232,16 @@ def test_quality_scores(spark, odd_docs, odd_rows, make_docs, no_docs):
     assert quality_scores(no_docs, labels).count() == 0
 
 
+def test_fit_rows_are_bounded_under_one_id(spark, make_docs):
+    labels = spark.createDataFrame([(0, 1), (0, 1), (0, 0)] * 500 + [(1, 0)], "doc_id long, quality int")
+    texts = [(0, prose(i, 12)) for i in range(2000)] + [(0, prose(0, 12))] * 500 + [(1, prose(1, 9))] * 40
+    docs = make_docs(texts).select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows, y = training_rows(docs, labels, "quality", most=100)
+    assert 50 < len(rows) == len(y) < 200
+    everything, y = training_rows(docs, labels, "quality")
+    assert len(everything) == 2001 and y.sum() == 2000
+
+
 # ---------------------------------------------------------------- pipeline
 
 
