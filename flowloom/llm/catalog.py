@@ -6,7 +6,7 @@ from importlib import import_module
 
 from flowloom.llm.registry import ORACLES, QUERIES
 
-AREAS = ["quality_queries", "mixing_queries", "bpe_queries", "secret_queries", "jaccard_queries", "warc_queries", "page_queries", "substring_queries", "fingerprint_queries", "additive_queries", "collocation_queries", "live_digest_queries"]
+AREAS = ["quality_queries", "mixing_queries", "bpe_queries", "secret_queries", "jaccard_queries", "warc_queries", "page_queries", "substring_queries", "fingerprint_queries", "additive_queries", "collocation_queries", "live_digest_queries", "turn_queries"]
 
 
 def load_catalog():
