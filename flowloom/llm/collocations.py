@@ -2,22 +2,26 @@
 
 Rabin-Karp fingerprints: prefix polynomials modulo 2**64 over the bytes give the hash of every word,
 and prefix polynomials over the word hashes the hash of every n-gram, each by one subtraction and one
-multiplication, all in numpy. Three passes over the texts, each with sums made before its shuffle:
+multiplication, all in numpy. Passes over the texts, each with sums made before its shuffle:
 
-1. Fingerprints of words and pairs are counted.
-2. Fingerprints of three to five words are counted where every pair inside is frequent. The frequent
-   pairs are known by a bit table of fixed size (``FILTER_BITS``): false hits cost work, not results.
-3. Occurrences whose fingerprint is frequent are verified against the text: each is compared byte by
-   byte with the one its group points to, groups of unequal texts are taken apart, and only then a
-   phrase is written out, with its count and a pointer to one occurrence. Counts are sums over texts,
-   so a collision of fingerprints can't change any.
+1. Fingerprints of words are counted, then of pairs of frequent words, then of three to five words
+   where every pair inside is frequent. What is frequent is known by a bit table of fixed size
+   (``FILTER_BITS``): false hits cost work, not results. With its count a fingerprint carries the
+   least and the greatest mark of its occurrences: a check of 16 bits, from a polynomial of its own
+   over the bytes, and 16 bits of the occurrence's text and word number. So the least mark points to
+   an occurrence, and checks that differ show in the two.
+2. The occurrences pointed at are read from the texts, and only they become phrases.
+
+A fingerprint whose check values differ belongs to several phrases. Those are taken apart by the text:
+a further pass, made only if there are any, compares all their occurrences byte by byte and counts the
+phrases themselves. What a check does not tell apart has 80 equal bits.
 
 Scores are products of 19-digit decimals, which are exact, and whole divisions.
 
 Defined results: a null text is empty, a null language is ``und``. Repeated rows count each time.
 Equal scores are ordered by count, then phrase. An empty table gives an empty table. Very long texts
-are one array of words; only columns ``text`` and ``lang`` (and the pointer's ``doc_id``) are read,
-so other columns may have any names. Ids may be null or repeat.
+are one array of words; only columns ``text`` and ``lang`` are read, so other columns may have any
+names, and ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -36,12 +40,16 @@ from flowloom.plans.staging import stage
 
 LONGEST = 5
 BASE = np.uint64(0x9E3779B97F4A7C15)
-UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
+CHECK_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bits of a fingerprint. Fewer of them make collisions, for tests.
+PRINT_BITS = 64
 #: Bits of the table of frequent fingerprints, and the parts it is made in.
 FILTER_BITS = 26
 PARTS = 64
 #: Different fingerprints a task holds before it passes their counts on.
-HELD = 2_000_000
+HELD = 1_000_000
+#: Bytes of text hashed at once.
+PIECE = 1 << 20
 #: Tasks that rank one language before its best are ranked together.
 RANK_SALTS = 64
 
@@ -63,13 +71,21 @@ class Words:
     piece: np.ndarray  # number of the piece each word lies in
     row: np.ndarray  # text of each word
     hashes: np.ndarray
+    checks: np.ndarray
+    places: np.ndarray  # hash of the text and the word's number in it
+
 
+class Prefixes:
+    """Prefix polynomials of an array: sums of ``values[j] * base**j`` before each place."""
 
-def prefix_sums(values: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
-    """Sums of ``values[j] * base**j`` before each place."""
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers(len(values), base), out=out[1:])
-    return out
+    def __init__(self, values: np.ndarray, base: np.uint64 = BASE):
+        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * powers(len(values), base), out=self.sums[1:])
+        self.unpowers = powers(len(values) + 1, np.uint64(pow(int(base), -1, 1 << 64)))
+
+    def between(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The polynomial of each slice, whatever its place."""
+        return (self.sums[ends] - self.sums[starts]) * self.unpowers[starts]
 
 
 def words_of(texts: pa.Array) -> Words:
@@ -86,29 +102,32 @@ def words_of(texts: pa.Array) -> Words:
     row = np.searchsorted(offsets, starts, side="right") - 1
     passed = np.zeros(len(raw) + 1, dtype=np.int64)
     np.cumsum(cut, out=passed[1:])
-    sums = prefix_sums(raw.astype(np.uint64) + np.uint64(1))
-    unpowers = powers(len(raw) + 1, UNBASE)
-    hashes = mix((sums[ends] - sums[starts]) * unpowers[starts] + mix((ends - starts).astype(np.uint64)))
-    return Words(raw, starts, ends, passed[starts] + row, row, hashes)
+    values, lengths = raw.astype(np.uint64) + np.uint64(1), mix((ends - starts).astype(np.uint64))
+    prefixes = Prefixes(values)
+    hashes = mix(prefixes.between(starts, ends) + lengths)
+    checks = mix(Prefixes(values, CHECK_BASE).between(starts, ends) ^ lengths)
+    texts_at = mix(prefixes.between(offsets[:-1], offsets[1:]) + mix(np.diff(offsets).astype(np.uint64)))
+    number = np.arange(len(starts)) - np.searchsorted(starts, offsets)[row] if len(row) else row
+    places = mix(texts_at[row] + number.astype(np.uint64))
+    return Words(raw, starts, ends, passed[starts] + row, row, hashes, checks, places)
 
 
 def language_salts(langs: pa.Array) -> np.ndarray:
     """A number for each row's language, the same in every task."""
     raw, offsets = joined_bytes(langs)
-    sums = prefix_sums(raw.astype(np.uint64) + np.uint64(1))
-    unpowers = powers(len(raw) + 1, UNBASE)
-    at, end = offsets[:-1], offsets[1:]
-    return mix((sums[end] - sums[at]) * unpowers[at] + mix((end - at).astype(np.uint64)))
+    prefixes = Prefixes(raw.astype(np.uint64) + np.uint64(1))
+    return mix(prefixes.between(offsets[:-1], offsets[1:]) + mix(np.diff(offsets).astype(np.uint64)))
 
 
 class Grams:
-    """Fingerprints of the n-grams of a batch."""
+    """Fingerprints and check values of the n-grams of a batch."""
 
-    def __init__(self, words: Words, salts: np.ndarray):
+    def __init__(self, words: Words, salts: np.ndarray, bits: int = 64):
         self.words = words
-        self.sums = prefix_sums(words.hashes)
-        self.unpowers = powers(len(words.hashes) + 1, UNBASE)
+        self.prefixes = Prefixes(words.hashes)
+        self.checked = Prefixes(words.checks, CHECK_BASE)
         self.salt = salts[words.row] if len(words.row) else np.zeros(0, np.uint64)
+        self.drop = np.uint64(64 - bits)
 
     def whole(self, n: int) -> np.ndarray:
         """For each start, whether n words from there lie in one piece."""
@@ -117,12 +136,18 @@ class Grams:
         return piece[:count] == piece[n - 1 :][:count]
 
     def fingerprints(self, n: int, starts: np.ndarray) -> np.ndarray:
-        value = (self.sums[starts + n] - self.sums[starts]) * self.unpowers[starts]
-        return mix(mix(value + np.uint64(n)) ^ self.salt[starts])
+        value = self.prefixes.between(starts, starts + n)
+        return mix(mix(value + np.uint64(n)) ^ self.salt[starts]) >> self.drop << self.drop
+
+    def marks(self, n: int, starts: np.ndarray) -> np.ndarray:
+        """Check and pointer of each occurrence, the check above."""
+        check = mix(self.checked.between(starts, starts + n) ^ self.salt[starts]) >> np.uint64(48)
+        place = self.words.places[starts] >> np.uint64(48)
+        return (check << np.uint64(16) | place).astype(np.uint32).view(np.int32)
 
 
 class Frequent:
-    """Bit table of frequent fingerprints; has() may say yes to others, never no to one of them."""
+    """Bit table of hashes; has() may say yes to others, never no to one of them."""
 
     def __init__(self, table: np.ndarray):
         self.table = table
@@ -139,14 +164,14 @@ class Frequent:
         return found
 
 
-def frequent_table(counted: DataFrame) -> Frequent:
-    """The bit table of a stored (print) column. 2**FILTER_BITS bits come to the driver, no more."""
+def frequent_table(counted: DataFrame, column: str = "print") -> Frequent:
+    """The bit table of a stored column. 2**FILTER_BITS bits come to the driver, no more."""
     each = (1 << FILTER_BITS) // PARTS
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << FILTER_BITS, dtype=bool)
         for batch in batches:
-            for place in Frequent.places(batch.column("print").to_numpy().view(np.uint64)):
+            for place in Frequent.places(batch.column(column).to_numpy().view(np.uint64)):
                 table[place] = True
         for part, piece in enumerate(np.split(table, PARTS)):
             if piece.any():
@@ -168,68 +193,133 @@ def frequent_table(counted: DataFrame) -> Frequent:
     return Frequent(table.reshape(-1))
 
 
-def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words, Grams]]:
+def text_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[pa.RecordBatch, Grams]]:
     for batch in batches:
-        for piece in pieces(batch, "text"):
-            words = words_of(piece.column("text"))
-            yield piece, words, Grams(words, language_salts(piece.column("lang")))
+        for piece in pieces(batch, "text", PIECE):
+            yield piece, Grams(words_of(piece.column("text")), language_salts(piece.column("lang")), bits)
 
 
-def summed(prints: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate(prints), return_inverse=True)
-    return keys, np.bincount(at, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
+#: Columns of counted fingerprints, and how those of one fingerprint are put together.
+COUNTED = {"c": np.add, "lo": np.minimum, "hi": np.maximum}
 
 
-def count_prints(docs: DataFrame, sizes: tuple[int, ...], pairs=None) -> DataFrame:
-    """(print, c): parts of the counts of the fingerprints of n-grams of these sizes.
+def combined(prints: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
+    """One row for each fingerprint, sorted."""
+    order = np.argsort(prints)
+    prints = prints[order]
+    first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])) if len(prints) else order
+    if not len(prints):
+        return [prints, *columns]
+    return [
+        prints[first],
+        *(put.reduceat(c[order], first) for put, c in zip(COUNTED.values(), columns, strict=True)),
+    ]
 
-    With ``pairs``, the broadcast table of frequent pairs, only n-grams made of such pairs count.
+
+def count_prints(docs: DataFrame, sizes: tuple[int, ...], inner=None, bits: int = 64) -> DataFrame:
+    """(print, c, lo, hi): parts of the counts of the fingerprints of n-grams of these sizes.
+
+    ``inner`` is (k, broadcast table of frequent k-grams): n-grams made of such k-grams alone count.
     """
 
     def starts_of(grams: Grams) -> Iterator[tuple[int, np.ndarray]]:
-        if pairs is None:
-            for n in sizes:
-                yield n, np.flatnonzero(grams.whole(n))
-            return
-        good = np.zeros(max(0, len(grams.words.piece) - 1), dtype=bool)
-        at = np.flatnonzero(grams.whole(2))
-        good[at[pairs.value.has(grams.fingerprints(2, at))]] = True
+        good, k = np.ones(len(grams.words.piece), dtype=bool), 1
+        if inner is not None:
+            k, table = inner
+            at = np.flatnonzero(grams.whole(k))
+            good[:] = False
+            good[at[table.value.has(grams.fingerprints(k, at))]] = True
         for n in sizes:
-            held = grams.whole(n)
-            for k in range(n - 1):
-                held = held & good[k : k + len(held)]
-            yield n, np.flatnonzero(held)
+            inside = grams.whole(n)
+            for j in range(n - k + 1):
+                inside = inside & good[j : j + len(inside)]
+            yield n, np.flatnonzero(inside)
 
     def run(batches):
-        prints, counts, held = [], [], 0
-        for _, _, grams in text_batches(batches):
+        parts: list[list[np.ndarray]] = []
+        held = 0
+        for _, grams in text_batches(batches, bits):
             for n, starts in starts_of(grams):
-                found, times = np.unique(grams.fingerprints(n, starts), return_counts=True)
-                prints.append(found)
-                counts.append(times)
-                held += len(found)
+                marks = grams.marks(n, starts)
+                columns = [np.ones(len(starts), dtype=np.int64), marks, marks]
+                parts.append(combined(grams.fingerprints(n, starts), columns))
+                held += len(parts[-1][0])
             if held > HELD:
-                prints, counts = [[x] for x in summed(prints, counts)]
-                held = len(prints[0])
+                parts = [merged(parts)]
+                held = len(parts[0][0])
                 if held > HELD // 2:
-                    yield from rows(prints[0], counts[0])
-                    prints, counts, held = [], [], 0
-        if prints:
-            yield from rows(*summed(prints, counts))
+                    yield from rows(parts[0])
+                    parts, held = [], 0
+        if parts:
+            yield from rows(merged(parts))
 
-    def rows(prints, counts):
-        for at in range(0, len(prints), 100_000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(prints[at : at + 100_000].view(np.int64)), pa.array(counts[at : at + 100_000])],
-                names=["print", "c"],
-            )
+    def merged(parts):
+        whole = [np.concatenate(columns) for columns in zip(*parts, strict=True)]
+        return combined(whole[0], whole[1:])
 
-    return docs.mapInArrow(run, "print long, c long")
+    def rows(columns):
+        arrays = [pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])]
+        whole = pa.RecordBatch.from_arrays(arrays, names=["print", *COUNTED])
+        for a in range(0, whole.num_rows, 100_000):
+            yield whole.slice(a, 100_000)
+
+    return docs.mapInArrow(run, "print long, c long, lo int, hi int")
+
+
+def pointer_hash(prints: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    return mix(prints ^ mix(marks.view(np.uint32).astype(np.uint64) + np.uint64(1)))
 
 
 def frequent_prints(parts: DataFrame, least: int) -> DataFrame:
-    counted = parts.groupBy("print").agg(F.sum("c").alias("c"))
-    return stage(counted.where(F.col("c") >= least).select("print"))
+    """Stored (print, c, at, mixed, pointer) of fingerprints that occur often enough."""
+    counted = (
+        parts.groupBy("print")
+        .agg(F.sum("c").alias("c"), F.min("lo").alias("at"), F.max("hi").alias("hi"))
+        .select("print", "c", "at", (F.shiftright("at", 16) != F.shiftright("hi", 16)).alias("mixed"))
+    )
+
+    def point(batches):
+        for batch in batches:
+            prints, at = batch.column("print").to_numpy().view(np.uint64), batch.column("at").to_numpy()
+            yield batch.append_column("pointer", pa.array(pointer_hash(prints, at).view(np.int64)))
+
+    kinds = "print long, c long, at int, mixed boolean, pointer long"
+    return stage(counted.where(F.col("c") >= least).mapInArrow(point, kinds))
+
+
+def materialised(docs: DataFrame, pointers, bits: int) -> DataFrame:
+    """(lang, size, phrase, c, print, at): phrases at the occurrences pointed at; size 0: the words of
+    a language in one task. ``pointers`` broadcasts the bit table of pointers."""
+    names = ["lang", "size", "phrase", "c", "print", "at"]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names
+        )
+
+    def run(batches):
+        totals: dict[str, int] = {}
+        for batch, grams in text_batches(batches, bits):
+            words = grams.words
+            langs = batch.column("lang").to_pylist()
+            for lang, count in zip(langs, np.bincount(words.row, minlength=len(langs)).tolist(), strict=True):
+                totals[lang] = totals.get(lang, 0) + count
+            data, out = words.raw.tobytes(), []
+            for n in range(1, LONGEST + 1):
+                starts = np.flatnonzero(grams.whole(n))
+                prints, at = grams.fingerprints(n, starts), grams.marks(n, starts)
+                wanted = np.flatnonzero(pointers.value.has(pointer_hash(prints, at)))
+                for i in wanted.tolist():
+                    s = int(starts[i])
+                    ends = zip(words.starts[s : s + n].tolist(), words.ends[s : s + n].tolist(), strict=True)
+                    phrase = b" ".join(data[a:b] for a, b in ends).decode("utf-8")
+                    name = prints[i].view(np.int64).item()
+                    out.append((langs[int(words.row[s])], n, phrase, 0, name, int(at[i])))
+            yield batch_of(out)
+        yield batch_of([(lang, 0, "", count, None, None) for lang, count in totals.items()])
+
+    return docs.mapInArrow(run, "lang string, size int, phrase string, c long, print long, at int")
 
 
 def word_numbers(words: Words) -> np.ndarray:
@@ -268,71 +358,73 @@ def verified_groups(numbers: np.ndarray, n: int, starts: np.ndarray, prints: np.
     return starts[first], np.bincount(group, minlength=len(first))
 
 
-def phrase_parts(docs: DataFrame, frequent) -> DataFrame:
-    """(lang, size, phrase, c, doc, at): verified phrases of every task; size 0: the words of a language.
+def phrases_of_prints(docs: DataFrame, prints, bits: int) -> DataFrame:
+    """(lang, size, phrase, c): parts of the counts of all phrases of some fingerprints, by text.
 
-    ``frequent`` broadcasts the tables of frequent fingerprints by size.
+    ``prints`` broadcasts the bit table of those fingerprints.
     """
-    names = ["lang", "size", "phrase", "c", "doc", "at"]
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["lang", "size", "phrase", "c"]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64()]
 
     def run(batches):
-        for batch, words, grams in text_batches(batches):
+        for batch, grams in text_batches(batches, bits):
+            words = grams.words
             langs = batch.column("lang").to_pylist()
-            ids = batch.column("doc_id").to_pylist()
-            data = words.raw.tobytes()
-            out = [[] for _ in names]
-            per_row = np.bincount(words.row, minlength=len(langs))
-            totals: dict[str, int] = {}
-            for lang, count in zip(langs, per_row.tolist(), strict=True):
-                totals[lang] = totals.get(lang, 0) + count
-            for lang, count in totals.items():
-                for column, value in zip(out, (lang, 0, "", count, None, None), strict=True):
-                    column.append(value)
-            numbers = word_numbers(words)
-            begins, ends, rows = words.starts.tolist(), words.ends.tolist(), words.row.tolist()
-            # Languages are told apart by number, too.
-            tongue = {lang: i for i, lang in enumerate(totals)}
+            tongue = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
             tongues = np.array([tongue[lang] for lang in langs], dtype=np.int64)
-            marked = numbers * max(1, len(tongue)) + tongues[words.row] if len(numbers) else numbers
+            numbers = word_numbers(words)
+            numbers = numbers * max(1, len(tongue)) + tongues[words.row] if len(numbers) else numbers
+            data, out = words.raw.tobytes(), []
             for n in range(1, LONGEST + 1):
                 starts = np.flatnonzero(grams.whole(n))
-                prints = grams.fingerprints(n, starts)
-                keep = frequent.value[n].has(prints)
-                starts, prints = starts[keep], prints[keep]
-                if not len(starts):
-                    continue
-                firsts, counts = verified_groups(marked, n, starts, prints)
+                values = grams.fingerprints(n, starts)
+                keep = prints.value.has(values)
+                firsts, counts = verified_groups(numbers, n, starts[keep], values[keep])
                 for s, c in zip(firsts.tolist(), counts.tolist(), strict=True):
-                    phrase = b" ".join(data[begins[k] : ends[k]] for k in range(s, s + n)).decode("utf-8")
-                    row = rows[s]
-                    for column, value in zip(out, (langs[row], n, phrase, c, ids[row], s), strict=True):
-                        column.append(value)
-            whole = pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names
+                    phrase = b" ".join(data[words.starts[k] : words.ends[k]] for k in range(s, s + n))
+                    out.append((langs[int(words.row[s])], n, phrase.decode("utf-8"), c))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=names
             )
-            for at in range(0, whole.num_rows, 50_000):
-                yield whole.slice(at, 50_000)
 
-    return docs.mapInArrow(run, "lang string, size int, phrase string, c long, doc long, at long")
+    return docs.mapInArrow(run, "lang string, size int, phrase string, c long")
 
 
-def count_phrases(docs: DataFrame, least: int = 100) -> DataFrame:
-    """Stored (lang, size, phrase, f, doc): exact counts of all phrases of one to five words that
-    occur ``least`` times in their language, and under size 0 the number of its words. ``doc`` points
-    to a document with the phrase."""
-    spark = docs.sparkSession
+def count_phrases(docs: DataFrame, least: int = 100, bits: int = PRINT_BITS) -> DataFrame:
+    """Stored (lang, size, phrase, f): exact counts of all phrases of one to five words that occur
+    ``least`` times in their language, and under size 0 the number of its words."""
+    send = docs.sparkSession.sparkContext.broadcast
     texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"),
         F.coalesce("lang", F.lit("und")).alias("lang"),
     )
-    short = spark.sparkContext.broadcast(frequent_table(frequent_prints(count_prints(texts, (1, 2)), least)))
-    long = frequent_table(frequent_prints(count_prints(texts, tuple(range(3, LONGEST + 1)), short), least))
-    tables = {n: short.value if n < 3 else long for n in range(1, LONGEST + 1)}
-    found = phrase_parts(texts, spark.sparkContext.broadcast(tables))
-    counted = found.groupBy("lang", "size", "phrase").agg(F.sum("c").alias("f"), F.min("doc").alias("doc"))
-    return stage(counted.where((F.col("size") == 0) | (F.col("f") >= least)))
+    inner, both = None, None
+    for sizes in ((1,), (2,), tuple(range(3, LONGEST + 1))):
+        frequent = frequent_prints(count_prints(texts, sizes, inner, bits), least)
+        both = frequent if both is None else both.union(frequent)
+        if len(sizes) == 1:
+            inner = (sizes[0], send(frequent_table(frequent)))
+    both = stage(both)
+    found = stage(materialised(texts, send(frequent_table(both, "pointer")), bits))
+    totals = found.where("size = 0").groupBy("lang").agg(F.sum("c").alias("f"))
+    # Copies of a text give a pointer's phrase several times.
+    clear = (
+        found.where("size > 0")
+        .join(both.where("NOT mixed").select("print", "at", F.col("c").alias("f")), ["print", "at"])
+        .groupBy("print")
+        .agg(*[F.min(c).alias(c) for c in ("lang", "size", "phrase", "f")])
+        .select("lang", "size", "phrase", "f")
+    )
+    counted = totals.select("lang", F.lit(0).alias("size"), F.lit("").alias("phrase"), "f").union(clear)
+    mixed = both.where("mixed")
+    if not mixed.isEmpty():
+        table = frequent_table(mixed)
+        parts = phrases_of_prints(texts, send(table), bits)
+        exact = parts.groupBy("lang", "size", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+        # The table may let other fingerprints through; their phrases are known already.
+        known = clear.select("lang", "phrase")
+        counted = counted.union(exact.join(known, ["lang", "phrase"], "left_anti").select(counted.columns))
+    return stage(counted)
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFrame:

@@ -237,8 +237,17 @@ def test_collocations_equal_plain_counts(spark, least, top):
     assert got == plain_collocations(rows, least, top)
 
 
-def test_colliding_fingerprints_change_nothing(spark, monkeypatch):
-    """With hashes of a few bits nearly all collide; the verification tells them apart."""
+def test_colliding_fingerprints_change_nothing(spark):
+    """With fingerprints of a few bits nearly all collide; they are taken apart by the text."""
+    rows = phrase_rows(6, 60)
+    table = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    want, totals = plain_counts(rows, 4)
+    for bits in (4, 9, 64):
+        found = {(r["lang"], r["phrase"]): r["f"] for r in count_phrases(table, 4, bits).collect()}
+        assert found == {(lang, " ".join(w)): c for (lang, w), c in want.items()} | {(lang, ""): c for lang, c in totals.items()}
+
+
+def test_words_of_equal_hashes_are_compared():
     rows = phrase_rows(5, 40)
     batch = phrases.pa.array([t for t, _ in rows])
     words = phrases.words_of(batch)
