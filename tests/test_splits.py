@@ -93,6 +93,33 @@ def test_balanced_in_small_blocks_and_chunks(spark, small_tasks, monkeypatch):
     assert {(r["day"], r["split_group_id"]): r["split"] for r in out} == greedy(units, TOKEN_RULE)
 
 
+def test_balanced_in_stored_segments(spark):
+    """A day walked in segments of five runs, each from the totals of the one before."""
+    units = random_units(TOKEN_RULE, 90, 9, 4)
+    spark.conf.set("flowloom.segmentRuns", "5")
+    try:
+        out = splits.balanced_split(frame(spark, units, TOKEN_RULE), TOKEN_RULE).collect()
+    finally:
+        spark.conf.unset("flowloom.segmentRuns")
+    assert {(r["day"], r[TOKEN_RULE.unit]): r["split"] for r in out} == greedy(units, TOKEN_RULE)
+
+
+def test_many_different_sizes_in_one_day(spark):
+    """A walk of 50,000 runs, one unit each, takes seconds."""
+    import time
+
+    rule = GRAPH_RULE
+    sizes = [F.floor(F.xxhash64("id", F.lit(i)) % 50_000 + 60_000).cast("long").alias(m) for i, m in enumerate(rule.measures)]
+    df = spark.range(50_000).select(
+        F.col("id").cast("string").alias(rule.unit), F.lit("Monday").alias("day"),
+        (F.col("id") % 2).cast("int").alias(rule.target), *sizes,
+    )
+    start = time.time()
+    counts = {r["split"]: r["count"] for r in splits.balanced_split(df, rule).groupBy("split").count().collect()}
+    assert time.time() - start < 60
+    assert abs(counts["train"] - 35_000) < 100 and abs(counts["val"] - 7_500) < 100
+
+
 def test_balanced_does_not_depend_on_partitions(spark):
     units = random_units(EVENT_RULE, 120, 3, seed=4)
     results = []
