@@ -41,11 +41,22 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._staged_at = path
+    return stored
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``stage``, once all that was derived from them is stored."""
+    for table in tables:
+        remove(table.sparkSession, table._staged_at)
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete what this application staged, once nothing reads it any more."""
-    jvm, context = spark._jvm, spark.sparkContext
-    folder = jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    remove(spark, staging_folder(spark))
