@@ -36,11 +36,23 @@ def new_path(spark: SparkSession) -> str:
     return f"{staging_folder(spark)}/{uuid.uuid4().hex}"
 
 
+#: Spark deletes the shuffle files of an execution when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as parquet below the checkpoint folder and read it back."""
+    """Write ``df`` as parquet below the checkpoint folder and read it back.
+
+    What was shuffled for it is deleted at once, as only the table is read from then on.
+    """
     spark = df.sparkSession
     path = new_path(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._staged_at = path
     return stored
