@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowloom.plans.staging import stage
+from flowloom.plans.staging import discard, stage
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -12,7 +12,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates two steps until nothing changes: every node's larger neighbours are hung below its
     smallest neighbour, then the same for its smaller ones. The number of rounds grows with the
-    logarithm of the longest path. Each round is stored; nothing is collected. A node with many
+    logarithm of the longest path. Each round is stored and the one before deleted; nothing is collected. A node with many
     neighbours is reduced by partial aggregates and joined back, never gathered in one row.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
@@ -25,11 +25,13 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = (
             around.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        links = stage(large.where("u <> v").distinct())
+        before, links = links, stage(large.where("u <> v").distinct())
+        discard(before)
         # Small step: u and its neighbours below go to the smallest of them.
         low = links.groupBy("u").agg(F.min("v").alias("m"))
         moved = links.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = stage(low.select("u", F.col("m").alias("v")).union(moved).distinct())
+        before, links = links, stage(low.select("u", F.col("m").alias("v")).union(moved).distinct())
+        discard(before)
         mark = links.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
         ).first()

@@ -25,7 +25,11 @@ other components. Pairs inside a component need no test, so no link between comp
 components are exact.
 
 A pair goes through filters that never reject a true pair (sizes, position in the order, counts
-of shingles per hash range) and is then compared shingle by shingle, as sorted 40-bit hashes.
+of shingles per hash range) and is then compared shingle by shingle, as sorted 64-bit hashes.
+
+Sets travel by node, not by document id, so rows that share an id, or have none, meet nothing but
+their own node. The entries are shuffled once, by token: there lists are counted, and those of one
+node dropped. What is stored for a step is deleted when the next has what it needs.
 
 Defined results: a null or empty text has an empty set and is linked with nothing. Repeated rows
 are equal sets. A null id stays null and never names a component with other ids. An empty table gives an empty
@@ -41,12 +45,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from flowloom.llm.batches import pieces
 from flowloom.llm.components import connected
 from flowloom.llm.hashing import mix, sequence_hashes, word_hashes
-from flowloom.plans.staging import stage
+from flowloom.plans.staging import discard, stage
 
 SKETCH_BITS = 22
 SLOTS = 256
@@ -57,6 +62,8 @@ SHORT_LIST = 8
 PIVOTS = 32
 #: Cost of a row met in a list, in rows written.
 MEETING_COST = 0.2
+#: Stands for a missing id.
+NO_ID = -(2**63)
 
 
 @dataclass(frozen=True)
@@ -196,7 +203,7 @@ def light_boundary(nodes: DataFrame, like: Likeness) -> int:
 
 
 def entries(docs: DataFrame, like: Likeness, levels, boundary: int) -> DataFrame:
-    """(token, node, n, pos): list entries of heavy sets and subsets of light ones."""
+    """(token, node, n, pos): list entries of heavy sets and subsets of light ones, once a task."""
     schema = pa.schema(
         [("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())]
     )
@@ -225,15 +232,18 @@ def entries(docs: DataFrame, like: Likeness, levels, boundary: int) -> DataFrame
 
     def run(batches):
         table = levels.value
+        done: set[int] = set()
         for batch in text_batches(batches):
             tokens, nodes, sizes, places = [], [], [], []
             for shingles in shingle_sets(batch.column("text"), like.width):
-                if not len(shingles):
+                node = node_of(shingles) if len(shingles) else None
+                if node is None or node in done:
                     continue
+                done.add(node)
                 t, p = of_set(shingles, table)
                 tokens.append(t)
                 places.append(p)
-                nodes.append(np.full(len(t), node_of(shingles), dtype=np.int64))
+                nodes.append(np.full(len(t), node, dtype=np.int64))
                 sizes.append(np.full(len(t), len(shingles), dtype=np.int32))
             if tokens:
                 columns = [
@@ -249,44 +259,33 @@ def entries(docs: DataFrame, like: Likeness, levels, boundary: int) -> DataFrame
     return docs.mapInArrow(run, "token long, node long, n int, pos int")
 
 
-def packed(shingles: np.ndarray) -> bytes:
-    """Sorted 40-bit hashes, five bytes each."""
-    top = shingles >> np.uint64(24)
-    return top.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), dtype=np.uint8)
-    out[:, :5] = raw
-    return out.view("<u8").reshape(-1)
+def inverted_lists(found: DataFrame) -> DataFrame:
+    """Stored (token, node, n, pos, members) of the lists with several nodes, from one shuffle."""
+    once = found.repartition("token").groupBy("token", "node").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
+    members = F.count("*").over(W.partitionBy("token"))
+    return stage(once.withColumn("members", members).where("members > 1"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
-    """(node, shingles) of the wanted (doc_id, node) rows, packed.
-
-    Rows that repeat an id lie in one task and give one row there. If such a task is split, a node
-    may come twice; its pairs are then compared twice, which changes nothing.
-    """
+    """Stored (node, shingles) of the wanted nodes: sorted 64-bit hashes, eight bytes each."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
-        done = set()
+        done: set[int] = set()
         for batch in text_batches(batches):
             nodes, sets = [], []
-            wish = batch.column("node").to_pylist()
-            for node, shingles in zip(wish, shingle_sets(batch.column("text"), like.width), strict=True):
-                # Rows that share an id may hold other texts.
-                if node not in done and len(shingles) and node_of(shingles) == node:
+            for shingles in shingle_sets(batch.column("text"), like.width):
+                node = node_of(shingles) if len(shingles) else None
+                if node is not None and node not in done:
                     done.add(node)
                     nodes.append(node)
-                    sets.append(packed(shingles))
+                    sets.append(shingles.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], schema=schema
             )
 
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("node", "text")
-    return texts.mapInArrow(run, "node long, shingles binary")
+    made = docs.mapInArrow(run, "node long, shingles binary").repartition("node")
+    return stage(made.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
@@ -318,7 +317,7 @@ def linked(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                a, b = unpacked(x.as_py()), unpacked(y.as_py())
+                a, b = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (x, y))
                 both = np.concatenate([a, b])
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
@@ -371,19 +370,12 @@ def list_pairs(lists: DataFrame, like: Likeness, seed: int, pivots: int | None)
     return rows.where(ok).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
 
 
-def release_shuffles(spark) -> None:
-    """Have the files of finished shuffles removed.
+def components(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
+    """For (doc_id, text) rows: stored (doc_id, n, node) of each, and (node, rep, comp) of each node.
 
-    Spark removes them when the driver's garbage is collected, which a driver with little to do
-    puts off, so the disks would hold the shuffles of all steps at once.
+    ``rep`` is the smallest id of a node, ``comp`` names the node's component.
     """
-    spark.sparkContext._jvm.System.gc()
-
-
-def near_components(docs: DataFrame, like: Likeness, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; the component's smallest document id."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     surveyed = survey(docs, like)
     ids = surveyed.where("slot IS NULL").select("doc_id", "n", "node", "ranges")
     nodes = stage(
@@ -392,64 +384,78 @@ def near_components(docs: DataFrame, like: Likeness, text: str = "text", key: st
         .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ranges").alias("ranges"))
     )
     levels = spark.sparkContext.broadcast(rarity(surveyed))
-    found = stage(entries(docs, like, levels, light_boundary(nodes, like)))
-    shared = (
-        found.groupBy("token")
-        .agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-        .where("lo < hi")
-        .select("token")
-    )
-    lists = stage(found.join(shared, "token", "left_semi").distinct())
-    members = lists.groupBy("token").agg(F.count("*").alias("members"))
-    release_shuffles(spark)
-    lists = stage(lists.join(members, "token"))
-    long_lists = stage(lists.where(F.col("members") > SHORT_LIST))
-    listed = lists.select("node").distinct()
-    sets = stage(sets_of(docs, nodes.join(listed, "node").select("rep", "node"), like))
-
-    release_shuffles(spark)
+    lists = inverted_lists(entries(docs, like, levels, light_boundary(nodes, like)))
+    rows = stage(ids.drop("ranges"))
+    discard(surveyed)
+    sets = sets_of(docs, lists.select("node").distinct(), like)
+
     links, comps = None, None
     for step in range(3):
         if step == 0:
             pairs = pivot_pairs(lists, like)
         else:
-            members = long_lists if step == 1 else lists
+            members = lists.where(F.col("members") > SHORT_LIST) if step == 1 else lists
             named = comps.withColumnRenamed("comp", "_comp")
             labels = members.join(named, "node", "left")
             labels = labels.withColumn("comp", F.coalesce("_comp", "node")).drop("_comp")
             pairs = list_pairs(labels, like, step, PIVOTS if step == 1 else None)
+        # What links is known from its component; a pair compared once is not met again.
         new = linked(plausible(pairs.distinct(), nodes, like), sets, like)
-        release_shuffles(spark)
-        links = new if links is None else links.union(new)
+        before = comps
+        known = None if before is None else before.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+        links = new if known is None else known.union(new)
         comps = stage(connected(links))
+        discard(new, *([] if before is None else [before]))
+    discard(lists, sets)
     named = nodes.join(comps, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
+    return rows, named
+
+
+def texts_of(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+
+
+def near_components(docs: DataFrame, like: Likeness, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; the component's smallest document id."""
+    rows, named = components(texts_of(docs, text, key), like)
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     answer = named.join(smallest, "comp").select("node", "component_id")
-    return (
-        ids.join(answer, "node", "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.coalesce("component_id", "doc_id").alias("component_id"),
-        )
+    return rows.join(answer, "node", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
     )
 
 
 def keep_one(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """One document of each group of near copies: the rows with the group's smallest id.
+    """One row of each group of near copies: that with the group's smallest id.
 
-    Rows that repeat an id and text are one document and stay once. Rows without an id stay where
-    no row of their group has one.
+    Rows without an id come last; among those, the node decides. Rows of the same id and shingles
+    are one document and stay once, whichever it is. Rows without shingles are in no group: all
+    stay, those that repeat an id and text once.
     """
-    groups = near_components(docs, like)
-    none = F.lit(-(2**63))
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.coalesce("doc_id", none).alias("_key")
-    )
+    rows, named = components(texts_of(docs), like)
+    best = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node"))
+    kept = named.groupBy("comp").agg(best.alias("b")).select(F.col("b.node").alias("_node"), F.col("b.rep").alias("_rep"))
+    kept = stage(kept.withColumn("_rep", F.coalesce("_rep", F.lit(NO_ID))))
+
+    def run(batches):
+        for batch in batches:
+            text = pc.struct_field(batch.column("row"), "text")
+            at = 0
+            for piece in pieces(pa.RecordBatch.from_arrays([text], names=["text"]), "text", 1 << 20):
+                nodes = [node_of(s) if len(s) else None for s in shingle_sets(piece.column("text"), like.width)]
+                part = batch.slice(at, piece.num_rows)
+                at += piece.num_rows
+                yield part.append_column("_node", pa.array(nodes, pa.int64()))
+
     # The row is carried as one value, so its columns may have any names.
     packed_rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    keyed = packed_rows.withColumn("_key", F.coalesce(F.col("row")["doc_id"].cast("long"), none))
-    rows = keyed.join(kept.distinct(), "_key", "left_semi").withColumn(
-        "_text", F.xxhash64(F.col("row")["text"])
+    schema = T.StructType([*packed_rows.schema.fields, T.StructField("_node", T.LongType())])
+    marked = packed_rows.mapInArrow(run, schema).withColumn(
+        "_rep", F.coalesce(F.col("row")["doc_id"].cast("long"), F.lit(NO_ID))
     )
-    return rows.dropDuplicates(["_key", "_text"]).select("row.*")
+    grouped = marked.join(kept, ["_node", "_rep"], "left_semi").dropDuplicates(["_node", "_rep"])
+    alone = marked.where("_node IS NULL").withColumn("_text", F.xxhash64(F.col("row")["text"]))
+    alone = alone.dropDuplicates(["_rep", "_text"]).drop("_text")
+    return grouped.select("row.*").union(alone.select("row.*"))

@@ -13,7 +13,7 @@ import corpus_pipeline
 from flowloom.llm.additive_model import fit, quality_scores, training_rows, tree
 from flowloom.llm.components import connected
 from flowloom.llm.fingerprint import edited, fingerprint_table, fingerprints, likeness
-from flowloom.llm.jaccard import Likeness, keep_one, near_components, packed, unpacked
+from flowloom.llm.jaccard import Likeness, keep_one, near_components
 from flowloom.llm.substrings import without_repeats
 
 # ---------------------------------------------------------------- fingerprints
@@ -104,7 +104,8 @@ def test_passages_of_odd_rows(odd_docs, odd_rows, no_docs):
     assert by_id[6]["n_removed"] == by_id[6]["n_words"] == 120 and by_id[6]["kept"] == ""
     # Repeated rows are one document.
     assert by_id[1]["n_removed"] == 0 and by_id[2]["n_words"] == 0
-    assert by_id[10]["n_removed"] == 120 and by_id[7]["n_removed"] == 120
+    # Two first windows, "Ha ha ..." and "ha Ha ...": their first words are in no later window.
+    assert by_id[10]["n_removed"] == 118 and by_id[7]["n_removed"] == 120
     assert without_repeats(no_docs).count() == 0
 
 
@@ -192,10 +193,25 @@ def test_components_of_chains(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@given(st.sets(st.integers(0, 2**64 - 1), max_size=50))
-def test_packed_sets(values):
-    x = np.array(sorted(values), dtype=np.uint64)
-    assert (unpacked(packed(x)) == x >> np.uint64(24)).all()
+def plain_kept(rows, width, percent):
+    """Kept (id, text) rows: one of each group, by smallest id, rows without one last."""
+    near = plain_components(list(enumerate(t for _, t in rows)), width, percent)
+    groups = {}
+    for at, (i, text) in enumerate(rows):
+        groups.setdefault(near[at][1] if near[at][0] else ("none", i, text), []).append((i is None, i or 0))
+    return sorted(min(ids) for ids in groups.values())
+
+
+def test_keep_one_of_null_and_repeated_ids(make_docs):
+    a, b, c, d = (prose(i, 60) for i in range(4))
+    rows = [(1, a), (None, a + " word"), (None, b), (5, b + " word"), (5, "word " + c), (3, c), (None, d)]
+    got = keep_one(make_docs(rows).repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == [("1", a), ("3", c), ("5", b + " word"), ("None", d)]
+    rng = random.Random(4)
+    texts = family(5, 30, 60) + family(6, 20, 40) + [prose(i, 30) for i in range(20)] + [None, "", " ", "one"]
+    rows = [(rng.choice([None, *range(12)]), rng.choice(texts)) for _ in range(150)]
+    got = keep_one(make_docs(rows).repartition(5)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == plain_kept(rows, 5, 80)
 
 
 # ---------------------------------------------------------------- quality model
