@@ -3,7 +3,10 @@
 In byte-pair encoding the tokens of a word's prefix are fixed by the prefix alone: its last token,
 and before that the tokens of the prefix that is left. So each trie node needs one state, its last
 token. A token can follow another when encoding both strings joined gives the two tokens again; of
-the tokens that end at a node, exactly one can follow the state of the node where it starts.
+the tokens that end at a node, exactly one can follow the state of the node where it starts. Tokens
+that end at a node are found in a trie of reversed tokens. Whether one can follow another is read off
+the merges at the seam between them, as far as merges build on earlier ones only (else both strings
+are merged anew).
 Distinct words are visited in sorted order, which is a depth-first walk of their trie: states of a
 prefix shared with the word before are still on the stack and are not computed again. The last
 symbol of a word carries the vocabulary's word end, so the end has a state of its own below the
@@ -11,7 +14,8 @@ node.
 
 Texts are split at white space first. No token spans it, so the pieces of a text are encoded on
 their own and equal pieces have equal tokens. Pieces seen by a Python worker are remembered up to
-``CACHE_PIECES`` and then forgotten together; that saves work and changes no result.
+``CACHE_PIECES``, and then all but those of the batch at hand are forgotten; that saves work and
+changes no result.
 
 Defined results: a null text is an empty text with no tokens. Rows are encoded one by one, repeated
 rows alike. An empty table gives an empty table. A character the vocabulary lacks gives no token,
@@ -23,17 +27,24 @@ from __future__ import annotations
 import json
 import re
 import struct
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from flowloom.llm.batches import map_batches
 
-CACHE_PIECES = 400_000
-CACHE_PAIRS = 400_000
-#: Letters and then signs, all ASCII: two words at most, whatever the tokenizer's pattern.
-PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?#*$%&|]*)")
+CACHE_PIECES = 200_000
+CACHE_PAIRS = 200_000
+#: Letters and then signs, all ASCII. Most tokenizers lower-case the letters and cut the signs off;
+#: whether a file's does is tried on ``PROBES`` when it is loaded.
+PLAIN = re.compile(r"^([A-Za-z]+)([.,;:!?#*$%&|]*)$", re.ASCII | re.MULTILINE)
+SIGNS = ".,;:!?#*$%&|"
+PROBES = [
+    "a", "Z", "abc", "ABC", "aBcDeF", "it", "The", "don", "x" * 40, f"end{SIGNS}", f"End{SIGNS[::-1]}",
+    *(f"word{a}" for a in SIGNS), *(f"Word{a}{a}" for a in SIGNS),
+    *(f"w{a}{b}" for a in SIGNS for b in SIGNS),
+]
 
 
 class WordEncoder:
@@ -43,60 +54,116 @@ class WordEncoder:
         self.vocab, self.end = vocab, end
         self.ranks = {tuple(m): i for i, m in enumerate(merges)}
         # Only tokens that encode to themselves ever appear in an encoding.
-        symbols = {s for m in merges for s in m} | set(vocab)
-        self.longest = max((len(s.removesuffix(end)) for s in symbols), default=1)
-        self.whole: dict[str, bool] = {}
+        self.made: dict[str, tuple[int, str, str] | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        first: dict[str, int] = {}
+        for i, (a, b) in enumerate(merges):
+            first.setdefault(a + b, i)
+        self.ordered = all(first.get(x, -1) < i for i, m in enumerate(merges) for x in m)
+        # Reversed tokens, those that end a word apart; a token stands under the empty string.
+        self.inner: dict = {}
+        self.final: dict = {} if end else self.inner
+        for token in vocab:
+            closing = bool(end) and token.endswith(end)
+            node = self.final if closing else self.inner
+            for c in reversed(token.removesuffix(end) if closing else token):
+                node = node.setdefault(c, {})
+            node[""] = token
 
     def merge(self, parts: list[str]) -> list[str]:
         """Plain merging: the pair of lowest rank first, the leftmost of equals."""
         while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = self.ranks.get((parts[i], parts[i + 1]))
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
+            best, at = self.lowest(parts)
             if best is None:
                 break
             parts = [*parts[:at], parts[at] + parts[at + 1], *parts[at + 2 :]]
         return parts
 
+    def lowest(self, parts: list[str]) -> tuple[int | None, int]:
+        best, at = None, -1
+        for i in range(len(parts) - 1):
+            rank = self.ranks.get((parts[i], parts[i + 1]))
+            if rank is not None and (best is None or rank < best):
+                best, at = rank, i
+        return best, at
+
     def symbols(self, token: str) -> list[str]:
         if self.end and token.endswith(self.end):
             body = token[: -len(self.end)]
             return [*body[:-1], body[-1] + self.end]
         return list(token)
 
-    def stands(self, token: str) -> bool:
-        """The token is what its own symbols are encoded to."""
-        known = self.whole.get(token)
-        if known is None:
-            known = self.whole[token] = self.merge(self.symbols(token)) == [token]
-        return known
+    def making(self, token: str) -> tuple[int, str, str] | None:
+        """(rank, left, right) of the merge that makes a token from its own symbols, a rank of -1 for
+        a symbol; None for a token that its symbols do not merge to."""
+        if token not in self.made:
+            parts, last = self.symbols(token), (-1, "", "")
+            while len(parts) > 1:
+                best, at = self.lowest(parts)
+                if best is None:
+                    break
+                last = (best, parts[at], parts[at + 1])
+                parts = [*parts[:at], parts[at] + parts[at + 1], *parts[at + 2 :]]
+            self.made[token] = last if parts == [token] else None
+        return self.made[token]
 
     def follows(self, first: str, second: str) -> bool:
+        """Encoding both joined gives the two tokens again."""
         known = self.pairs.get((first, second))
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            joined = self.merge([*first, *self.symbols(second)])
-            known = self.pairs[first, second] = joined == [first, second]
+            if self.ordered:
+                known = self.seam_holds(first, second)
+            else:
+                known = self.merge([*self.symbols(first), *self.symbols(second)]) == [first, second]
+            self.pairs[first, second] = known
         return known
 
-    def state(self, word: str, length: int, states: list[str], ending: bool) -> str:
+    def seam_holds(self, left: str, right: str) -> bool:
+        """No merge joins the two sides of the seam at any time.
+
+        Merges happen in order of rank. Going back in time, the parts beside the seam are those whose
+        making is undone, the later one first (of one rank, the right one is made later). A pair of
+        parts stands at the seam until either is merged away from it; a merge of the pair must not
+        come before, and on a tie the leftmost merge comes first.
+        """
+        ends = [float("inf"), float("inf")]
+        while True:
+            rank = self.ranks.get((left, right))
+            if rank is not None and rank < ends[0] and rank <= ends[1]:
+                return False
+            a, b = self.making(left), self.making(right)
+            if a[0] < 0 and b[0] < 0:
+                return True
+            if a[0] > b[0]:
+                ends[0], left = a[0], a[2]
+            else:
+                ends[1], right = b[0], b[1]
+
+    def state(self, word: str, length: int, states: list[str], trie: dict) -> str:
         """Last token of the first ``length`` symbols, given those of all shorter prefixes."""
-        suffix = self.end if ending else ""
-        for size in range(min(length, self.longest), 0, -1):
-            token = word[length - size : length] + suffix
-            if token in self.vocab and self.stands(token):
-                if size == length or self.follows(states[length - size], token):
-                    return token
+        found, node, made, pairs = [], trie, self.made, self.pairs
+        for start in range(length - 1, -1, -1):
+            node = node.get(word[start])
+            if node is None:
+                break
+            if "" in node:
+                found.append((start, node[""]))
+        for start, token in reversed(found):
+            if (made[token] if token in made else self.making(token)) is None:
+                continue
+            if not start:
+                return token
+            known = pairs.get((states[start], token))
+            if known or known is None and self.follows(states[start], token):
+                return token
         raise ValueError(f"no token ends {word[:length]!r}")
 
-    def encode_words(self, distinct: Iterable[str]) -> dict[str, list[str]]:
-        """Tokens of each of the distinct words."""
-        out: dict[str, list[str]] = {}
+    def encode_words(self, distinct: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
+        """(word, tokens) of each of the distinct words."""
         states, before = [""], ""
+        state, inner, final, end = self.state, self.inner, self.final, self.end
         for word in sorted(distinct):
             shared = 0
             limit = min(len(before), len(word), len(states) - 1)
@@ -105,15 +172,14 @@ class WordEncoder:
             del states[shared + 1 :]
             # The last symbol is met as a node only by longer words.
             for length in range(shared + 1, len(word)):
-                states.append(self.state(word, length, states, False))
-            last = self.state(word, len(word), states, True)
-            tokens, left = [last], len(word) - len(last.removesuffix(self.end))
+                states.append(state(word, length, states, inner))
+            last = state(word, len(word), states, final)
+            tokens, left = [last], len(word) - len(last.removesuffix(end))
             while left:
                 tokens.append(states[left])
                 left -= len(states[left])
-            out[word] = tokens[::-1]
             before = word
-        return out
+            yield word, tokens[::-1]
 
 
 class PieceEncoder:
@@ -130,16 +196,25 @@ class PieceEncoder:
             self.vocab, spec["model"]["merges"], spec["model"].get("end_of_word_suffix") or ""
         )
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.numbers = self.vocab | self.added
         names = sorted(self.added, key=len, reverse=True)
         self.split_added = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-        self.ids: dict[bytes, bytes] = {}
-        self.text: dict[bytes, str] = {}
+        self.known: dict[bytes, tuple[bytes, str]] = {}
+        probes = [p.encode() for p in PROBES]
+        self.plain = self.plain_parts(probes) == {p: self.parts(p) for p in probes}
+
+    @staticmethod
+    def plain_parts(pieces: Iterable[bytes]) -> dict[bytes, list[tuple[str, bool]]]:
+        """Words of those pieces that are letters and then signs."""
+        # Other pieces are of no matter here, so their bytes may be read as anything.
+        found = PLAIN.findall(b"\n".join(pieces).decode("latin-1"))
+        return {
+            (word + signs).encode(): [(word.lower(), False), (signs, False)] if signs else [(word.lower(), False)]
+            for word, signs in found
+        }
 
     def parts(self, piece: bytes) -> list[tuple[str, bool]]:
         """Words of a piece in the vocabulary's symbols, and added tokens (True)."""
-        if plain := PLAIN.fullmatch(piece):
-            word, signs = plain[1].decode().lower(), plain[2].decode()
-            return [(word, False), (signs, False)] if signs else [(word, False)]
         text, out = piece.decode("utf-8", "replace"), []
         for i, part in enumerate(self.split_added.split(text) if self.split_added else [text]):
             if i % 2:
@@ -150,22 +225,30 @@ class PieceEncoder:
         return out
 
     def learn(self, pieces: set[bytes]) -> None:
-        new = {p: self.parts(p) for p in pieces if p not in self.ids}
-        tokens = self.words.encode_words({w for ws in new.values() for w, added in ws if not added})
+        fresh = pieces.difference(self.known)
+        new = self.plain_parts(fresh) if self.plain else {}
+        new |= {p: self.parts(p) for p in fresh.difference(new)}
+        words = {}
+        for word, tokens in self.words.encode_words({w for ws in new.values() for w, added in ws if not added}):
+            words[word] = struct.pack(f"<{len(tokens)}I", *map(self.numbers.__getitem__, tokens)), " ".join(tokens)
         for piece, ws in new.items():
-            made = [t for w, added in ws for t in ([w] if added else tokens[w])]
-            ids = [self.added[t] if t in self.added else self.vocab[t] for t in made]
-            self.ids[piece] = struct.pack(f"<{len(ids)}I", *ids)
-            self.text[piece] = " ".join(made)
+            if len(ws) == 1 and not ws[0][1]:
+                self.known[piece] = words[ws[0][0]]
+                continue
+            made = [(struct.pack("<I", self.added[w]), w) if added else words[w] for w, added in ws]
+            self.known[piece] = b"".join([i for i, _ in made]), " ".join([t for _, t in made])
 
     def encode(self, texts: list[bytes]) -> tuple[list[bytes], list[str]]:
-        if len(self.ids) > CACHE_PIECES:
-            self.ids.clear()
-            self.text.clear()
         split = [t.split() for t in texts]  # bytes split at ASCII white space alone
-        self.learn({p for s in split for p in s})
-        ids = [b"".join(map(self.ids.__getitem__, s)) for s in split]
-        shown = [" ".join(filter(None, map(self.text.__getitem__, s))) for s in split]
+        pieces = {p for s in split for p in s}
+        if len(self.known) > CACHE_PIECES:
+            self.known = {p: self.known[p] for p in pieces.intersection(self.known)}
+        self.learn(pieces)
+        ids, shown = [], []
+        for s in split:
+            found = [self.known[p] for p in s]
+            ids.append(b"".join([i for i, _ in found]))
+            shown.append(" ".join([t for _, t in found if t]))
         return ids, shown
 
 

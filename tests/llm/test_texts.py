@@ -71,11 +71,28 @@ def test_last_token_states_equal_merging(words):
     merges = [("a", "b"), ("ab", "c"), ("b", "c"), ("a", "a"), ("aa", "b_"), ("ab", "c_"), ("c", "a")]
     vocab = {t: i for i, t in enumerate(["a", "b", "c", "a_", "b_", "c_", *["".join(m) for m in merges]])}
     enc = WordEncoder(vocab, merges, "_")
-    got = enc.encode_words(words)
+    got = dict(enc.encode_words(words))
     for w in words:
         assert got[w] == enc.merge([*w[:-1], w[-1] + "_"])
 
 
+def test_seams_equal_merging(encoder):
+    """A seam holds where merging both strings gives the two tokens, for tokens of the vocabulary."""
+    words = encoder.words
+    assert words.ordered and encoder.plain
+    rng = random.Random(5)
+    tokens = [t for t in rng.sample(sorted(encoder.vocab), 400) if words.making(t) and not t.endswith("</w>")][:60]
+    for a in tokens:
+        for b in tokens[::3]:
+            assert words.seam_holds(a, b) == (words.merge([*words.symbols(a), *words.symbols(b)]) == [a, b])
+
+
+def test_forgetting_pieces_changes_nothing(encoder, library, monkeypatch):
+    monkeypatch.setattr("flowloom.llm.bpe.CACHE_PIECES", 20)
+    for i in range(5):
+        same_as_library(encoder, library, [f"alpha{i} beta Gamma. x{i}y the end{i % 2}" for i in range(i, i + 30)])
+
+
 def test_encode_odd_rows(odd_docs, odd_rows, library):
     rows = encode_documents(odd_docs, VOCABULARY).collect()
     assert len(rows) == len(odd_rows)
