@@ -190,21 +190,59 @@ def sized(docs: DataFrame, seed: int, relative: Column | None = None) -> DataFra
     )
 
 
+def level_chances(sizes: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """``targets`` with ``weighted_size`` lowered until expected words add up to the target.
+
+    Documents whose expected copies reach ``most`` stop there, and what they leave is shared by the
+    others of their source, until no further one stops. Each round sums over the different relative
+    weights of a source.
+    """
+    levels = stage(sizes.groupBy("source", "relative").agg(F.sum("size").alias("words")))
+    stopped = -1
+    while True:
+        right = targets.withColumnRenamed("source", "_source")
+        over = F.col("target") * F.col("relative") >= most * F.col("weighted_size")
+        summed = (
+            levels.join(right, same_source(levels, right))
+            .groupBy("source", "source_size", "target", "weighted_size")
+            .agg(
+                F.sum(F.when(over, F.col("words")).otherwise(0)).alias("sure"),
+                F.sum(F.when(over, 0.0).otherwise(F.col("words") * F.col("relative"))).alias("rest"),
+                F.count_if(over).alias("over"),
+            )
+        )
+        left = F.col("target") - most * F.col("sure")
+        lower = F.when((F.col("rest") > 0) & (left > 0), F.col("target") * F.col("rest") / left)
+        weighted = F.coalesce(lower, F.col("weighted_size")).alias("weighted_size")
+        leveled = stage(summed.select("source", "source_size", "target", weighted, "over"))
+        now = leveled.agg(F.sum("over")).first()[0] or 0
+        targets = leveled.drop("over")
+        if now == stopped:
+            return targets
+        stopped = now
+
+
 def plan_mix(
-    sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MAX_COPIES
+    sizes: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = SHARE,
+    most: int = MAX_COPIES,
+    uneven: bool = False,
 ) -> DataFrame:
-    """The stored table of cuts for stored ``sizes``."""
+    """The stored table of cuts for stored ``sizes``; ``uneven``: their relative weights differ."""
     weighted = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("relative")).alias("weighted_size"))
     other = weighted.withColumnRenamed("source", "_source")
     targets = source_targets(sizes, weights, share, most)
-    targets = targets.join(other, same_source(targets, other)).drop("_source")
-    return stage(cuts(sizes, stage(targets), most))
+    targets = stage(targets.join(other, same_source(targets, other)).drop("_source"))
+    if uneven:
+        targets = level_chances(sizes, targets, most)
+    return stage(cuts(sizes, targets, most))
 
 
 def mix_table(docs: DataFrame, seed: int = 11, relative: Column | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document."""
     sizes = stage(sized(docs, seed, relative))
-    rows = decide(sizes, plan_mix(sizes))
+    rows = decide(sizes, plan_mix(sizes, uneven=relative is not None))
     return rows.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
