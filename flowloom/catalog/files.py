@@ -245,6 +245,24 @@ def files_scores(spark, sf_dir):
     return spark.read.parquet(path).select(F.col("event_id").cast("bigint").alias("event_id"), "day", "y")
 
 
+@query("files_scores_by_split", f"""{with_ctes(FLOWS)}
+SELECT CAST(event_id AS BIGINT) AS event_id, split, y FROM (
+  SELECT event_id, y, CASE event_id % 3 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split
+  FROM flows) WHERE split <> 'test' OR y = 1""")
+def files_scores_by_split(spark, sf_dir):
+    """Scores in a folder per split; whole splits, and one class of another, read back."""
+    split = F.expr("CASE event_id % 3 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END")
+    scores = score_table(read_flows(spark, sf_dir)).withColumn("split", split).withColumnRenamed("y", "seq_y")
+    path = new_path(spark)
+    sinks.write_partitioned(scores, path, by=["split"])
+    columns = ["event_id", "split", "seq_y"]
+    parts = [sinks.read_slice(spark, path, name, columns=columns) for name in ("train", "val")]
+    parts.append(sinks.read_slice(spark, path, "test", seq_y=1, columns=columns))
+    return flows.union_sources(parts).select(
+        F.col("event_id").cast("bigint").alias("event_id"), "split", F.col("seq_y").alias("y")
+    )
+
+
 @query("files_manifest", f"""{with_ctes(FLOWS)}
 SELECT '{{"seed": {SEED}, "window_seconds": 300}}' AS config, count(*) AS rows_input FROM flows""")
 def files_manifest(spark, sf_dir):

@@ -11,7 +11,8 @@ from flowloom.catalog.base import (
     TOKENS, TRAJECTORIES, query, split_case, tidy, tidy_sql, with_ctes,
 )
 from flowloom.operators import graphs, sequences, splits, validation
-from flowloom.plans.staging import stage
+from flowloom.plans.staging import new_path, stage
+from flowloom.sources import sinks
 
 LEGACY_SQL = f"""
 legacy AS (
@@ -199,6 +200,17 @@ def split_summary(spark, sf_dir):
     )
 
 
+@query("files_split_summary", f"""{with_ctes(*TOKEN_PARTS)}
+{_summary('token_split', 'split', splits.TEMPORAL)}""")
+def files_split_summary(spark, sf_dir):
+    """The summary written as CSV and read back, and a build without one, which adds no row."""
+    summary = split_summary(spark, sf_dir)
+    path = new_path(spark)
+    sinks.write_table(summary, path, "csv")
+    there = sinks.read_split_summary(spark, path, summary.schema)
+    return there.unionByName(sinks.read_split_summary(spark, f"{path}-none", summary.schema))
+
+
 @query("split_summary_graphs", f"""{with_ctes(FLOWS, GRAPHS, GRAPH_SPLIT)}
 SELECT '{splits.LEGACY_GRAPHS}' AS summary_label, split, coalesce(day, 'ALL') AS day,
   count(*) AS n_graphs, count(*) FILTER (WHERE graph_y = 1) AS n_attack_graphs,
