@@ -4,9 +4,9 @@ In byte-pair encoding the tokens of a word's prefix are fixed by the prefix alon
 and before that the tokens of the prefix that is left. So each trie node needs one state, its last
 token. A token can follow another when encoding both strings joined gives the two tokens again; of
 the tokens that end at a node, exactly one can follow the state of the node where it starts. Tokens
-that end at a node are found in a trie of reversed tokens. Whether one can follow another is read off
-the merges at the seam between them, as far as merges build on earlier ones only (else both strings
-are merged anew).
+that end at a node are found in a trie of reversed tokens, for many nodes at once. Whether one can
+follow another is read off the merges at the seam between them, as far as merges build on earlier
+ones only (else both strings are merged anew).
 Distinct words are visited in sorted order, which is a depth-first walk of their trie: states of a
 prefix shared with the word before are still on the stack and are not computed again. The last
 symbol of a word carries the vocabulary's word end, so the end has a state of its own below the
@@ -29,13 +29,18 @@ import re
 import struct
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from flowloom.llm.batches import map_batches
 
-CACHE_PIECES = 200_000
+CACHE_PIECES = 50_000
 CACHE_PAIRS = 200_000
+#: Words whose nodes are laid out, and nodes whose tokens are looked up, in one go.
+BLOCK_WORDS = 16_384
+BLOCK_NODES = 65_536
+CHARACTER_BITS = 21
 #: Letters and then signs, all ASCII. Most tokenizers lower-case the letters and cut the signs off;
 #: whether a file's does is tried on ``PROBES`` when it is loaded.
 PLAIN = re.compile(r"^([A-Za-z]+)([.,;:!?#*$%&|]*)$", re.ASCII | re.MULTILINE)
@@ -47,6 +52,45 @@ PROBES = [
 ]
 
 
+class EndingTokens:
+    """Tokens that end at given places of a text, by a trie of reversed tokens."""
+
+    def __init__(self, tokens: Iterable[tuple[str, int]]):
+        steps: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        for body, number in tokens:
+            node = 0
+            for c in reversed(body):
+                node = steps.setdefault(node << CHARACTER_BITS | ord(c), len(steps) + 1)
+            ends[node] = number
+        keys = np.fromiter(steps, np.int64, len(steps))
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.children = np.append(order + 1, 0)
+        self.tokens = np.full(len(steps) + 1, -1, np.int64)
+        self.tokens[list(ends)] = list(ends.values())
+
+    def find(self, codes: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(index into ``ends``, start, token) by index, the longest token first; a token lies
+        between ``first`` and its end."""
+        which, place, node = np.arange(len(ends)), ends, np.zeros(len(ends), np.int64)
+        found = [(which[:0], place[:0], node[:0])]
+        while len(which):
+            place = place - 1
+            step = node << CHARACTER_BITS | codes[place]
+            at = np.searchsorted(self.keys, step)
+            hit = self.keys[at] == step
+            which, place, node = which[hit], place[hit], self.children[at[hit]]
+            token = self.tokens[node]
+            whole = token >= 0
+            found.append((which[whole], place[whole], token[whole]))
+            more = place > first[which]
+            which, place, node = which[more], place[more], node[more]
+        which, place, token = (np.concatenate(c) for c in zip(*reversed(found), strict=True))
+        order = np.argsort(which, kind="stable")
+        return which[order], place[order], token[order]
+
+
 class WordEncoder:
     """Tokens of words (strings of the vocabulary's symbols) by last-token states."""
 
@@ -55,20 +99,25 @@ class WordEncoder:
         self.ranks = {tuple(m): i for i, m in enumerate(merges)}
         # Only tokens that encode to themselves ever appear in an encoding.
         self.made: dict[str, tuple[int, str, str] | None] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         first: dict[str, int] = {}
         for i, (a, b) in enumerate(merges):
             first.setdefault(a + b, i)
         self.ordered = all(first.get(x, -1) < i for i, m in enumerate(merges) for x in m)
-        # Reversed tokens, those that end a word apart; a token stands under the empty string.
-        self.inner: dict = {}
-        self.final: dict = {} if end else self.inner
-        for token in vocab:
+        self.size = max(vocab.values(), default=-1) + 1
+        self.names = [""] * self.size
+        self.lengths = [0] * self.size
+        #: Whether a token encodes to itself; -1 until it is met.
+        self.sound = np.full(self.size, -1, np.int8)
+        inner, final = [], []
+        for token, number in vocab.items():
             closing = bool(end) and token.endswith(end)
-            node = self.final if closing else self.inner
-            for c in reversed(token.removesuffix(end) if closing else token):
-                node = node.setdefault(c, {})
-            node[""] = token
+            body = token.removesuffix(end) if closing else token
+            self.names[number], self.lengths[number] = token, len(body)
+            (final if closing else inner).append((body, number))
+        # Tokens that end a word stand apart.
+        self.inner = EndingTokens(inner)
+        self.final = EndingTokens(final) if end else self.inner
 
     def merge(self, parts: list[str]) -> list[str]:
         """Plain merging: the pair of lowest rank first, the leftmost of equals."""
@@ -107,17 +156,19 @@ class WordEncoder:
             self.made[token] = last if parts == [token] else None
         return self.made[token]
 
-    def follows(self, first: str, second: str) -> bool:
+    def follows(self, first: int, second: int) -> bool:
         """Encoding both joined gives the two tokens again."""
-        known = self.pairs.get((first, second))
+        pair = first * self.size + second
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
+            a, b = self.names[first], self.names[second]
             if self.ordered:
-                known = self.seam_holds(first, second)
+                known = self.seam_holds(a, b)
             else:
-                known = self.merge([*self.symbols(first), *self.symbols(second)]) == [first, second]
-            self.pairs[first, second] = known
+                known = self.merge([*self.symbols(a), *self.symbols(b)]) == [a, b]
+            self.pairs[pair] = known
         return known
 
     def seam_holds(self, left: str, right: str) -> bool:
@@ -141,45 +192,73 @@ class WordEncoder:
             else:
                 ends[1], right = b[0], b[1]
 
-    def state(self, word: str, length: int, states: list[str], trie: dict) -> str:
-        """Last token of the first ``length`` symbols, given those of all shorter prefixes."""
-        found, node, made, pairs = [], trie, self.made, self.pairs
-        for start in range(length - 1, -1, -1):
-            node = node.get(word[start])
-            if node is None:
-                break
-            if "" in node:
-                found.append((start, node[""]))
-        for start, token in reversed(found):
-            if (made[token] if token in made else self.making(token)) is None:
-                continue
-            if not start:
+    def candidates(
+        self, trie: EndingTokens, codes: np.ndarray, ends: np.ndarray, first: np.ndarray
+    ) -> Iterator[tuple[range, list[int], list[int]]]:
+        """Of each node in turn: where its tokens stand in the lists of starts and of tokens."""
+        for low in range(0, len(ends), BLOCK_NODES):
+            some = slice(low, low + BLOCK_NODES)
+            which, start, token = trie.find(codes, ends[some], first[some])
+            for number in np.unique(token[self.sound[token] < 0]).tolist():
+                self.sound[number] = self.making(self.names[number]) is not None
+            sound = self.sound[token] == 1
+            which, start, token = which[sound], start[sound], token[sound]
+            starts, tokens = (start - first[some][which]).tolist(), token.tolist()
+            bounds = np.searchsorted(which, np.arange(len(ends[some]) + 1)).tolist()
+            for at in map(range, bounds, bounds[1:]):
+                yield at, starts, tokens
+
+    def state(self, found: tuple[range, list[int], list[int]], states: list[int]) -> int:
+        """Last token of a node, given the states above it."""
+        at, starts, tokens = found
+        pairs, size = self.pairs, self.size
+        for i in at:
+            token, before = tokens[i], states[starts[i]]
+            if before < 0:
                 return token
-            known = pairs.get((states[start], token))
-            if known or known is None and self.follows(states[start], token):
+            known = pairs.get(before * size + token)
+            if known or known is None and self.follows(before, token):
                 return token
-        raise ValueError(f"no token ends {word[:length]!r}")
+        raise ValueError("no token ends a prefix of the word")
+
+    def encode_ids(self, distinct: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """(word, token ids) of each of the distinct words."""
+        states, before = [-1], ""
+        state, lengths = self.state, self.lengths
+        ordered = sorted(distinct)
+        for low in range(0, len(ordered), BLOCK_WORDS):
+            words = ordered[low : low + BLOCK_WORDS]
+            shared = []
+            for word in words:
+                # The last symbol is met as a node only by longer words.
+                limit, n = min(len(before) - 1, len(word)), 0
+                while n < limit and before[n] == word[n]:
+                    n += 1
+                shared.append(n)
+                before = word
+            codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+            ends = np.cumsum([len(w) for w in words])
+            first = np.concatenate([[0], ends[:-1]])
+            new = ends - first - 1 - shared
+            nth = np.arange(new.sum()) - np.repeat(np.cumsum(new) - new, new)
+            inner_ends = np.repeat(first + shared + 1, new) + nth
+            inner = self.candidates(self.inner, codes, inner_ends, np.repeat(first, new))
+            final = self.candidates(self.final, codes, ends, first)
+            for word, common, count in zip(words, shared, new.tolist(), strict=True):
+                del states[common + 1 :]
+                for _ in range(count):
+                    states.append(state(next(inner), states))
+                last = state(next(final), states)
+                tokens, left = [last], len(word) - lengths[last]
+                while left:
+                    tokens.append(states[left])
+                    left -= lengths[states[left]]
+                yield word, tokens[::-1]
 
     def encode_words(self, distinct: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
         """(word, tokens) of each of the distinct words."""
-        states, before = [""], ""
-        state, inner, final, end = self.state, self.inner, self.final, self.end
-        for word in sorted(distinct):
-            shared = 0
-            limit = min(len(before), len(word), len(states) - 1)
-            while shared < limit and before[shared] == word[shared]:
-                shared += 1
-            del states[shared + 1 :]
-            # The last symbol is met as a node only by longer words.
-            for length in range(shared + 1, len(word)):
-                states.append(state(word, length, states, inner))
-            last = state(word, len(word), states, final)
-            tokens, left = [last], len(word) - len(last.removesuffix(end))
-            while left:
-                tokens.append(states[left])
-                left -= len(states[left])
-            before = word
-            yield word, tokens[::-1]
+        for word, tokens in self.encode_ids(distinct):
+            yield word, [self.names[t] for t in tokens]
 
 
 class PieceEncoder:
@@ -196,7 +275,6 @@ class PieceEncoder:
             self.vocab, spec["model"]["merges"], spec["model"].get("end_of_word_suffix") or ""
         )
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.numbers = self.vocab | self.added
         names = sorted(self.added, key=len, reverse=True)
         self.split_added = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.known: dict[bytes, tuple[bytes, str]] = {}
@@ -228,9 +306,9 @@ class PieceEncoder:
         fresh = pieces.difference(self.known)
         new = self.plain_parts(fresh) if self.plain else {}
         new |= {p: self.parts(p) for p in fresh.difference(new)}
-        words = {}
-        for word, tokens in self.words.encode_words({w for ws in new.values() for w, added in ws if not added}):
-            words[word] = struct.pack(f"<{len(tokens)}I", *map(self.numbers.__getitem__, tokens)), " ".join(tokens)
+        words, names = {}, self.words.names
+        for word, tokens in self.words.encode_ids({w for ws in new.values() for w, added in ws if not added}):
+            words[word] = struct.pack(f"<{len(tokens)}I", *tokens), " ".join([names[t] for t in tokens])
         for piece, ws in new.items():
             if len(ws) == 1 and not ws[0][1]:
                 self.known[piece] = words[ws[0][0]]
