@@ -47,5 +47,7 @@ def map_batches(
                     for f in arrow
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        # The worker lives on beside those of later stages.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

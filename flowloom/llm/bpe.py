@@ -24,9 +24,12 @@ as the vocabulary has no unknown token (byte vocabularies cover every character)
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import struct
+from array import array
+from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -269,7 +272,9 @@ class PieceEncoder:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.library = Tokenizer.from_file(path)
+        # Only the splitting into words is left to the library, so it needs no vocabulary.
+        bare = {"type": "BPE", "vocab": {}, "merges": []}
+        self.library = Tokenizer.from_str(json.dumps({**spec, "model": bare, "added_tokens": []}))
         self.vocab = spec["model"]["vocab"]
         self.words = WordEncoder(
             self.vocab, spec["model"]["merges"], spec["model"].get("end_of_word_suffix") or ""
@@ -317,16 +322,15 @@ class PieceEncoder:
             self.known[piece] = b"".join([i for i, _ in made]), " ".join([t for _, t in made])
 
     def encode(self, texts: list[bytes]) -> tuple[list[bytes], list[str]]:
-        split = [t.split() for t in texts]  # bytes split at ASCII white space alone
-        pieces = {p for s in split for p in s}
+        # Bytes split at ASCII white space alone; a batch is held as numbers of its distinct pieces.
+        numbers: dict[bytes, int] = defaultdict(itertools.count().__next__)
+        numbered = [array("I", map(numbers.__getitem__, t.split())) for t in texts]
         if len(self.known) > CACHE_PIECES:
-            self.known = {p: self.known[p] for p in pieces.intersection(self.known)}
-        self.learn(pieces)
-        ids, shown = [], []
-        for s in split:
-            found = [self.known[p] for p in s]
-            ids.append(b"".join([i for i, _ in found]))
-            shown.append(" ".join([t for _, t in found if t]))
+            self.known = {p: self.known[p] for p in numbers.keys() & self.known.keys()}
+        self.learn(set(numbers))
+        packed, names = zip(*map(self.known.__getitem__, numbers), strict=True) if numbers else ((), ())
+        ids = [b"".join(map(packed.__getitem__, n)) for n in numbered]
+        shown = [" ".join(filter(None, map(names.__getitem__, n))) for n in numbered]
         return ids, shown
 
 
