@@ -14,9 +14,15 @@ with NULs are read as UTF-16 too. Compressed data may have several members.
 
 Defined results: a null text is an empty text without spans. Rows are scanned one by one, repeated
 rows alike. An empty table gives an empty table. Compressed data that grows beyond
-``MOST_UNPACKED`` bytes is scanned in overlapping windows of about that size, each unwrapped in turn;
-a run that is open at the end of a window is held until it ends, so a window has it whole. The hits of
-a compressed layer map to its whole span anyway.
+``MOST_UNPACKED`` bytes is scanned in overlapping windows of about that size, each unwrapped in turn.
+A run that is open at the end of a window is held until it ends, so a window has it whole, unless it
+grows beyond that size and beyond ``HELD`` times the compressed data. Such a run is cut at a whole group
+of base64 digits, with an overlap; so a decompression bomb takes a few windows of memory, and all
+of it is scanned. Only compressed data inside such a cut run is read up to the cut. The hits of
+a compressed layer map to its whole span.
+
+The worklist is a stack of iterators, each with its next layer at hand; one that has no further layer
+is dropped before its last layer is unwrapped, so long chains of layers keep none of their parents.
 """
 
 from __future__ import annotations
@@ -27,8 +33,8 @@ import hashlib
 import lzma
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import accumulate
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (
@@ -61,7 +67,10 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++
 LINE_END = re.compile(r"""["'<>)\]},;]?[ \t]*(?:\r?\n|\Z)""")
 #: The end, read backwards, of a run of base64 or escapes that may go on.
 OPEN_END = re.compile(rb"(?:[A-Za-z0-9+/_.=%\\&#;{}\x00-]++|[ \t]*+\n\r?[ \t]*+)*+")
-MOST_UNPACKED = 16 << 20
+#: The digits, read backwards, that a run of base64 ends with.
+DIGITS_END = re.compile(rb"[A-Za-z0-9+/_-]*+")
+MOST_UNPACKED = 4 << 20
+HELD = 2
 #: Compressed bytes given to a decompressor at once.
 FED = 1 << 16
 WINDOW_OVERLAP = 4096
@@ -81,12 +90,20 @@ def matches(text: str) -> Iterator[Span]:
 
 
 class Layer:
-    """A text and where each of its characters comes from (none given: from itself)."""
+    """A text and where it comes from: each character, or all of them from one span (none: itself)."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(
+        self,
+        text: str,
+        starts: array | None = None,
+        ends: array | None = None,
+        whole: tuple[int, int] | None = None,
+    ):
+        self.text, self.starts, self.ends, self.whole = text, starts, ends, whole
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
+        if self.whole is not None:
+            return self.whole
         if self.starts is None:
             return start, end
         return min(self.starts[start:end]), max(self.ends[start:end])
@@ -96,12 +113,17 @@ class Layer:
         return (digest.digest(), *(self.origin(0, len(self.text)) if self.text else (0, 0)))
 
 
-def char_widths(text: str) -> list[int]:
+def places(values: Iterable[int] = ()) -> array:
+    """Places in a text, four bytes each."""
+    return array("i", values)
+
+
+def char_widths(text: str) -> bytes:
     """Bytes of each character in UTF-8; a surrogate stands for one byte that is none."""
-    return [
+    return bytes(
         1 if c < "\x80" or "\ud800" <= c < "\ue000" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
         for c in text
-    ]
+    )
 
 
 def percent_value(m: re.Match) -> list[tuple[str, int, int]] | None:
@@ -111,7 +133,7 @@ def percent_value(m: re.Match) -> list[tuple[str, int, int]] | None:
     text = raw.decode("utf-8", "replace")
     if "\ufffd" in text:
         text = raw.decode("latin-1")
-        widths = [1] * len(raw)
+        widths = bytes([1]) * len(raw)
     else:
         widths = char_widths(text)
     for c, w in zip(text, widths, strict=True):
@@ -135,11 +157,12 @@ def unescaped(layer: Layer, pattern: re.Pattern, value) -> Iterator[Layer]:
         last = text.find("\n", found.end())
         last = len(text) if last < 0 else last
         chars: list[str] = []
-        starts: list[int] = []
-        ends: list[int] = []
+        starts, ends = places(), places()
 
         def copy(a: int, b: int, chars=chars, starts=starts, ends=ends) -> None:
             chars.append(text[a:b])
+            if layer.whole is not None:
+                return
             starts.extend(layer.starts[a:b] if layer.starts is not None else range(a, b))
             ends.extend(layer.ends[a:b] if layer.ends is not None else range(a + 1, b + 1))
 
@@ -150,14 +173,16 @@ def unescaped(layer: Layer, pattern: re.Pattern, value) -> Iterator[Layer]:
                 continue
             copy(at, m.start())
             for c, a, b in made:
-                start, end = layer.origin(m.start() + a, m.start() + b)
                 chars.append(c)
+                if layer.whole is not None:
+                    continue
+                start, end = layer.origin(m.start() + a, m.start() + b)
                 starts.append(start)
                 ends.append(end)
             at, changed = m.end(), True
         copy(at, last)
         if changed:
-            yield Layer("".join(chars), starts, ends)
+            yield Layer("".join(chars), starts, ends, layer.whole)
         done = last
 
 
@@ -199,19 +224,28 @@ def members(data: bytes, at: int, ends: list[int]) -> Iterator[bytes]:
 
 def inflated(data: bytes, at: int, ends: list[int]) -> Iterator[bytes]:
     """Windows of what compressed data from ``at`` on holds; nothing when it is not compressed."""
+    held = max(MOST_UNPACKED, HELD * len(data))
     parts: list[bytes] = []
     size = 0
     for piece in members(data, at, ends):
         parts.append(piece)
         size += len(piece)
-        if size < MOST_UNPACKED or OPEN_END.fullmatch(piece[::-1]):
+        if size < MOST_UNPACKED or (size < held and OPEN_END.fullmatch(piece[::-1])):
             continue
         window = b"".join(parts)
-        first = len(window) - OPEN_END.match(window[::-1]).end()
-        if first:
-            yield window[:first]
-        parts = [window[max(0, first - WINDOW_OVERLAP) :]]
-        size = 0
+        back = window[::-1]
+        tail = OPEN_END.match(back).end()
+        if tail < held:
+            first = len(window) - tail
+            if first:
+                yield window[:first]
+            rest = window[max(0, first - WINDOW_OVERLAP) :]
+        else:
+            # The next window begins a group of four digits, if it begins amid digits.
+            more = max(0, DIGITS_END.match(back).end() - WINDOW_OVERLAP) % 4
+            yield window
+            rest = window[-WINDOW_OVERLAP - more :]
+        parts, size = [rest], len(rest)
     if window := b"".join(parts):
         yield window
 
@@ -225,14 +259,12 @@ def readable(data: bytes) -> str | None:
     return None if any(c < " " and c not in "\t\n\r\f" for c in text) else text
 
 
-def texts(data: bytes) -> Iterator[tuple[str, list[int]]]:
-    """The bytes as text, and the bytes of each character; with NULs also as UTF-16."""
-    text = data.decode("utf-8", "surrogateescape")
-    yield text, char_widths(text)
+def texts(data: bytes) -> Iterator[tuple[str, bool]]:
+    """The bytes as text, with NULs also as UTF-16 (marked so)."""
+    yield data.decode("utf-8", "surrogateescape"), False
     if b"\0" in data:
         for name in ("utf-16-le", "utf-16-be"):
-            text = data[: len(data) // 2 * 2].decode(name, "surrogatepass")
-            yield text, [4 if c >= "\U00010000" else 2 for c in text]
+            yield data[: len(data) // 2 * 2].decode(name, "surrogatepass"), True
 
 
 def from_digits(digits: str) -> bytes:
@@ -243,8 +275,12 @@ def from_digits(digits: str) -> bytes:
 
 def text_layers(layer: Layer, data: bytes, where: Sequence[int]) -> Iterator[Layer]:
     """Texts of bytes whose base64 characters are at the places ``where``."""
-    for text, widths in texts(data):
-        starts, ends, at = [], [], 0
+    for text, wide in texts(data):
+        if layer.whole is not None:
+            yield Layer(text, whole=layer.whole)
+            continue
+        widths = bytes(4 if c >= "\U00010000" else 2 for c in text) if wide else char_widths(text)
+        starts, ends, at = places(), places(), 0
         for w in widths:
             # Byte k lies in the base64 characters from 4k/3 on.
             a = at * 4 // 3
@@ -267,12 +303,12 @@ def layers_of(
             # A line amid what an earlier one began is no beginning.
             if at < done or decompressor(data[at : at + 6]) is None:
                 continue
-            start, end = layer.origin(where[line], last)
+            span = layer.origin(where[line], last)
             ends: list[int] = []
             for window in inflated(data, at, ends):
                 packed |= line == 0
                 for inner, _ in texts(window):
-                    yield Layer(inner, [start] * len(inner), [end] * len(inner))
+                    yield Layer(inner, whole=span)
             done = max(ends, default=0)
         if packed:
             return
@@ -280,16 +316,19 @@ def layers_of(
         yield from text_layers(layer, data, where)
 
 
-def joined_lines(layer: Layer, spans: list[tuple[int, int]], last: int) -> Iterator[Layer]:
-    """Layers of base64 that goes on over the lines at ``spans``, up to ``last`` with its padding."""
-    digits = "".join(layer.text[a:b] for a, b in spans)
-    where = [k for a, b in spans for k in range(a, b)]
-    lines = [0, *accumulate(b - a for a, b in spans)]
-    tail, padded = lines[-2], last > spans[-1][1]
+def joined_lines(layer: Layer, begins: array, stops: array, last: int) -> Iterator[Layer]:
+    """Layers of base64 that goes on over the lines at those places, up to ``last`` with its padding."""
+    digits = "".join(layer.text[a:b] for a, b in zip(begins, stops, strict=True))
+    where = places(k for a, b in zip(begins, stops, strict=True) for k in range(a, b))
+    lines = places([0])
+    for a, b in zip(begins, stops, strict=True):
+        lines.append(lines[-1] + b - a)
+    lines.pop()
+    tail, padded = lines[-1], last > stops[-1]
     # A word that begins the next line of prose is no part of the text.
     sure = padded or LINE_END.match(layer.text, last) is not None
     tried = set()
-    for first in lines[:-1]:
+    for first in lines:
         if first % 4 in tried:
             continue
         tried.add(first % 4)
@@ -298,20 +337,23 @@ def joined_lines(layer: Layer, spans: list[tuple[int, int]], last: int) -> Itera
             cut = tail + (first - tail) % 4
             if readable(from_digits(digits[cut:])) is None:
                 whole = max(0, tail - first)
-        same = [n - first for n in lines[:-1] if n >= first and n % 4 == first % 4]
+        same = places(n - first for n in lines if n >= first and n % 4 == first % 4)
         yield from layers_of(layer, from_digits(digits[first:]), where[first:], last, same, whole)
 
 
 def decoded(layer: Layer) -> Iterator[Layer]:
     """Layers inside runs of base64, plain or compressed, each line alone and all lines as one."""
     for m in BASE64.finditer(layer.text):
-        spans = [d.span() for d in DIGITS.finditer(layer.text, m.start(), m.end())]
-        for a, b in spans:
+        begins, stops = places(), places()
+        for d in DIGITS.finditer(layer.text, m.start(), m.end()):
+            begins.append(d.start())
+            stops.append(d.end())
+        for a, b in zip(begins, stops, strict=True):
             if b - a >= LEAST_RUN and (b - a) % 4 != 1:
-                last = m.end() if b == spans[-1][1] else b
+                last = m.end() if b == stops[-1] else b
                 yield from layers_of(layer, from_digits(layer.text[a:b]), range(a, b), last)
-        if len(spans) > 1:
-            yield from joined_lines(layer, spans, m.end())
+        if len(begins) > 1:
+            yield from joined_lines(layer, begins, stops, m.end())
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
@@ -330,16 +372,23 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
 
     base = sorted(matches(text), key=order)
     found, seen = set(base), set()
-    work = list(unwrap(Layer(text)))
+    work: list[tuple[Layer, Iterator[Layer]]] = []
+
+    def add(layers: Iterator[Layer]) -> None:
+        if (following := next(layers, None)) is not None:
+            work.append((following, layers))
+
+    add(unwrap(Layer(text)))
     while work:
-        layer = work.pop()
+        layer, others = work.pop()
+        add(others)
         key = layer.key()
         if key in seen:
             continue
         seen.add(key)
         for kind, start, end in matches(layer.text):
             found.add((kind, *layer.origin(start, end)))
-        work.extend(unwrap(layer))
+        add(unwrap(layer))
     return base, sorted(found, key=order)
 
 

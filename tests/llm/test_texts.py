@@ -8,6 +8,9 @@ import lzma
 import random
 import re
 import struct
+import subprocess
+import sys
+import tracemalloc
 import unicodedata
 import urllib.parse
 import zlib
@@ -221,6 +224,87 @@ def test_run_over_windows(before, monkeypatch):
     assert ("assign", wrapped) in spans_of(wrapped)
 
 
+def plain_layers(text):
+    """All layers of a text, each decoder applied to each match until nothing new comes: no places."""
+    found, todo = set(), [text]
+    while todo:
+        layer = todo.pop()
+        if layer in found:
+            continue
+        found.add(layer)
+        todo.append(urllib.parse.unquote(layer))
+        todo.append(re.sub(r"\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)), layer))
+        todo.append(re.sub(r"&#([0-9]{1,7});", lambda m: chr(int(m[1])), layer))
+        for m in re.finditer(r"[A-Za-z0-9+/]{16,}", layer):
+            run = m[0] if len(m[0]) % 4 != 1 else ""
+            data = base64.b64decode(run + "=" * (-len(run) % 4))
+            for unpack in (zlib.decompress, gzip.decompress, bytes):
+                try:
+                    todo.append(unpack(data).decode())
+                except (zlib.error, OSError, EOFError, UnicodeDecodeError):
+                    continue
+    return found
+
+
+def test_random_nestings():
+    """The hits of a text are those of a plain loop over its layers, each within what hides it."""
+    draw = random.Random(7)
+    secrets = {
+        "assign": lambda: f"token = {draw.randbytes(6).hex()}.x",
+        "access": lambda: "AKIA" + "".join(draw.choices("ABCDEFGHIJ0123456789", k=16)),
+        "hex": lambda: draw.randbytes(18).hex(),
+        "none": lambda: "plain words only",
+    }
+    for _ in range(300):
+        parts, at, hidden = [], 0, []
+        for _ in range(draw.randint(1, 3)):
+            kind = draw.choice(list(secrets))
+            value = f"it is {secrets[kind]()} ."
+            for name in draw.choices(list(LAYERS), k=draw.randint(1, 4)):
+                value = LAYERS[name](value)
+                if draw.random() < 0.3:
+                    value = f"so {value} é"
+            hidden.append((kind, at, at + len(value)))
+            parts.append(value)
+            at += len(value) + 3
+        text = " - ".join(parts)
+        spans = scan(text)[1]
+        plain = {k for layer in plain_layers(text) for k, _, _ in secret_scan.matches(layer)}
+        assert {k for k, _, _ in spans} == plain, text
+        for kind, first, end in hidden:
+            assert kind == "none" or any(k == kind and first <= a < b <= end for k, a, b in spans), text
+        assert all(any(first <= a < b <= end for _, first, end in hidden) for _, a, b in spans), text
+
+
+BOMB = """
+import base64, resource, sys, zlib
+from flowloom.llm.secret_scan import scan
+engine, unit = zlib.compressobj(9), eval(sys.argv[1])
+packed = [engine.compress(unit) for _ in range((200 << 20) // len(unit))]
+packed += [engine.compress(b" password = hunter2hunter2 "), engine.flush()]
+text = base64.b64encode(b"".join(packed)).decode()
+assert scan(text)[1] == [("assign", 0, len(text))]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+
+
+@pytest.mark.parametrize("unit", ["bytes(1 << 20)", "b'some words and a line\\n' * 40000"])
+def test_bombs_take_little_memory(unit):
+    """200 MB unpacked, as one open run or as lines, below 500 MB; the end is scanned too."""
+    made = subprocess.run([sys.executable, "-c", BOMB, unit], capture_output=True, text=True, check=True)
+    assert int(made.stdout) < 500
+
+
+def test_long_chain_of_layers():
+    """Layers of a long chain do not stay: 400 layers of 800 characters, nine bytes each."""
+    text = "%" + "25" * 400 + "41"
+    tracemalloc.start()
+    assert scan(text)[0] == [("hex", 1, len(text))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20
+
+
 def test_odd_rows_secrets(odd_docs, odd_rows, no_docs, make_docs):
     assert secret_spans(odd_docs).count() == len(odd_rows)
     assert secret_spans(no_docs).count() == 0
