@@ -22,7 +22,7 @@ of it is scanned. Only compressed data inside such a cut run is read up to the c
 a compressed layer map to its whole span.
 
 The worklist is a stack of iterators, each with its next layer at hand; one that has no further layer
-is dropped before its last layer is unwrapped, so long chains of layers keep none of their parents.
+is dropped before its last layer is unwrapped, so a long chain of escapes keeps none of its parents.
 """
 
 from __future__ import annotations
@@ -357,11 +357,12 @@ def decoded(layer: Layer) -> Iterator[Layer]:
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
+    """Layers right below; escapes, which make the longest chains, come last."""
+    yield from decoded(layer)
     if "%" in layer.text:
         yield from unescaped(layer, PERCENT, percent_value)
     if "\\" in layer.text or "&#" in layer.text:
         yield from unescaped(layer, ESCAPE, escape_value)
-    yield from decoded(layer)
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:
