@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowloom.operators.encoding import event_rows, pool_sequences
 from flowloom.operators.metrics import positive_weight
-from flowloom.plans.lookups import attach_row, lookup_join
+from flowloom.plans.lookups import attach_row, fits_in_memory, lookup_join
 from flowloom.plans.ordered import first_rows, percentiles
-from flowloom.plans.staging import stage
+from flowloom.plans.staging import stage, stage_measured
 
 START = "[CLS]"
 CANDIDATES = 9
@@ -51,18 +51,27 @@ def next_token_scores(
     sequences: DataFrame, train_benign: DataFrame, g: int = CANDIDATES, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Share of tokens that are no benign candidate, and mean add-one log-loss."""
-    counts = stage(transition_counts(train_benign))
+    counts, found = stage_measured(transition_counts(train_benign))
     words = counts.select(F.count_distinct("token").alias("n_words"))
-    candidates = benign_candidates(counts, g).select(
-        "prev", "token", F.lit(True).alias("is_candidate")
-    )
-    pairs = counts.join(candidates, ["prev", "token"], "left")
-    before = counts.groupBy("prev").agg(F.sum("n_pair").alias("n_prev"))
     steps = transitions(sequences, keep)
-    known = lookup_join(steps, pairs, ["prev", "token"], spread=["seq_id", "pos"], how="left")
-    known = lookup_join(
-        known, before, ["prev"], spread=["seq_id", "pos"], how="left", staged=True
-    )
+    if fits_in_memory(counts, found["rows"]):
+        # Both lookups come from one window and have at most the rows measured.
+        prev = Window.partitionBy("prev")
+        rank = F.row_number().over(prev.orderBy(F.desc("n_pair"), "token"))
+        pairs = counts.withColumn("is_candidate", rank <= g)
+        before = counts.groupBy("prev").agg(F.sum("n_pair").alias("n_prev"))
+        known = steps.join(F.broadcast(pairs), ["prev", "token"], "left")
+        known = known.join(F.broadcast(before), "prev", "left")
+    else:
+        candidates = benign_candidates(counts, g).select(
+            "prev", "token", F.lit(True).alias("is_candidate")
+        )
+        pairs = counts.join(candidates, ["prev", "token"], "left")
+        before = counts.groupBy("prev").agg(F.sum("n_pair").alias("n_prev"))
+        known = lookup_join(steps, pairs, ["prev", "token"], spread=["seq_id", "pos"], how="left")
+        known = lookup_join(
+            known, before, ["prev"], spread=["seq_id", "pos"], how="left", staged=True
+        )
     known = attach_row(known, words)
     seen = F.coalesce("n_pair", F.lit(0)) + 1
     loss = -F.ln(seen / (F.coalesce("n_prev", F.lit(0)) + F.col("n_words") + 1))
@@ -112,13 +121,12 @@ def distance_score(stats_mean: Column, stats_std: Column) -> Column:
 
 def benign_score_stats(benign: DataFrame, fraction: float = BENIGN_FRACTION) -> DataFrame:
     """Thresholds from benign training scores, and mean and spread of the distance."""
-    moments = benign.agg(
-        F.avg("distance").alias("distance_mean"), F.stddev_pop("distance").alias("_std")
-    ).select(
-        "distance_mean",
-        F.when(F.col("_std") > 0, F.col("_std")).otherwise(F.lit(1e-12)).alias("distance_std"),
-    )
-    scored = with_composite(benign, moments)
+    mean, spread = benign.agg(F.avg("distance"), F.stddev_pop("distance")).first()
+    moments = {
+        "distance_mean": F.lit(mean).cast("double"),
+        "distance_std": F.lit(spread if spread and spread > 0 else 1e-12),
+    }
+    scored = _composite(benign, *moments.values())
     # One pass for the three columns: long form keyed by score name.
     names = ["error_ratio", "distance", "composite_score"]
     long = scored.select(F.explode(_named(names)).alias("s")).select("s.name", "s.value")
@@ -129,7 +137,7 @@ def benign_score_stats(benign: DataFrame, fraction: float = BENIGN_FRACTION) ->
             for n in names
         ]
     )
-    return attach_row(limits, moments)
+    return limits.withColumns(moments)
 
 
 def _named(names: Sequence[str]) -> Column:
@@ -138,16 +146,17 @@ def _named(names: Sequence[str]) -> Column:
     )
 
 
+def _composite(scores: DataFrame, mean: Column, std: Column) -> DataFrame:
+    return scores.withColumn("distance_z", distance_score(mean, std)).withColumn(
+        "composite_score", F.col("error_ratio") + F.col("distance_z")
+    )
+
+
 def with_composite(scores: DataFrame, stats: DataFrame) -> DataFrame:
     """Error ratio plus the positive part of the standardised distance."""
     moments = stats.select("distance_mean", "distance_std")
-    z = distance_score(F.col("distance_mean"), F.col("distance_std"))
-    return (
-        attach_row(scores, moments)
-        .withColumn("distance_z", z)
-        .withColumn("composite_score", F.col("error_ratio") + F.col("distance_z"))
-        .drop("distance_mean", "distance_std")
-    )
+    both = attach_row(scores, moments)
+    return _composite(both, F.col("distance_mean"), F.col("distance_std")).drop(*moments.columns)
 
 
 def either_rule(ratio_limit: Column, distance_limit: Column, use_distance: bool = True) -> Column:
@@ -185,14 +194,17 @@ def score_summary(scores: DataFrame, columns: Sequence[str] = tuple(SCORE_COLUMN
         F.avg(F.when(y == 0, F.col("value"))).alias("benign_mean"),
         F.avg(F.when(y == 1, F.col("value"))).alias("attack_mean"),
     )
+    # Every score counts overall and in its class; all percentiles come from one pass.
+    classes = F.array(F.lit("all"), F.when(y == 0, "benign").when(y == 1, "attack"))
+    each = table.select("name", F.explode(classes).alias("part"), "value")
     wanted = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    overall = percentiles(table, ["name"], "value", wanted)
-    by_class = percentiles(table, ["name", "seq_y"], "value", {"p95": 0.95})
-    classes = by_class.groupBy("name").agg(
-        F.max(F.when(y == 0, F.col("p95"))).alias("benign_p95"),
-        F.max(F.when(y == 1, F.col("p95"))).alias("attack_p95"),
+    found = percentiles(each, ["name", "part"], "value", wanted, staged=True)
+    shown = [("all", p, p) for p in wanted]
+    shown += [(part, "p95", f"{part}_p95") for part in ("benign", "attack")]
+    limits = found.groupBy("name").agg(
+        *[F.max(F.when(F.col("part") == part, F.col(p))).alias(n) for part, p, n in shown]
     )
-    return moments.join(overall, "name").join(classes, "name")
+    return moments.join(limits, "name")
 
 
 #: Fading beyond exp(-40), below the precision of a double, restarts the running sums.

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.plans.staging import stage
+from flowloom.plans.staging import stage, stage_measured
 
 BROADCAST_ROWS_SETTING = "flowloom.broadcastRows"
 DEFAULT_BROADCAST_ROWS = 200_000
@@ -25,11 +25,12 @@ def heavy_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HEAVY_ROWS_SETTING, str(DEFAULT_HEAVY_ROWS)))
 
 
-def fits_in_memory(table: DataFrame) -> bool:
+def fits_in_memory(table: DataFrame, rows: int | None = None) -> bool:
     """A stored table small enough, in rows and in bytes, to be sent to every task."""
     stats = table._jdf.queryExecution().optimizedPlan().stats()
-    small = int(str(stats.sizeInBytes())) <= BROADCAST_BYTES
-    return small and table.count() <= broadcast_rows(table.sparkSession)
+    if int(str(stats.sizeInBytes())) > BROADCAST_BYTES:
+        return False
+    return (table.count() if rows is None else rows) <= broadcast_rows(table.sparkSession)
 
 
 def spread_lookup(
@@ -41,13 +42,13 @@ def spread_lookup(
     partial sums, and there is at most one for each ``heavy_rows`` facts.
     """
     spark = facts.sparkSession
-    heavy = stage(
+    heavy, found = stage_measured(
         facts.groupBy(*keys)
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") > heavy_rows(spark))
         .select(*keys, F.lit(True).alias("_heavy"))
     )
-    if fits_in_memory(heavy):
+    if fits_in_memory(heavy, found["rows"]):
         heavy = F.broadcast(heavy)
     draw = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
     salted = facts.join(heavy, keys, "left").withColumn(
@@ -77,9 +78,9 @@ def lookup_join(
     fact is a hash of its ``spread`` columns, and the key's lookup row is there under each
     salt. All other keys are joined plainly.
     """
-    table = lookup if staged else stage(lookup)
+    table, found = (lookup, {}) if staged else stage_measured(lookup)
     keys = list(on)
-    if fits_in_memory(table):
+    if fits_in_memory(table, found.get("rows")):
         return facts.join(F.broadcast(table), keys, how)
     salted, copies = spread_lookup(facts, table, keys, spread)
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -21,8 +21,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from flowloom.plans.lookups import attach_row, lookup_join
-from flowloom.plans.staging import stage
+from flowloom.plans.lookups import fits_in_memory
+from flowloom.plans.staging import stage, stage_measured
 
 TASK_ROWS_SETTING = "flowloom.taskRows"
 DEFAULT_TASK_ROWS = 2_000_000
@@ -49,10 +49,16 @@ def running_totals(
     keys: Sequence[str],
     order: Sequence[Column],
     totals: Mapping[str, Column],
+    rows: int | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums of ``totals`` within ``keys`` along ``order``."""
+    """Add inclusive running sums of ``totals`` within ``keys`` along ``order``.
+
+    A table known to have few ``rows`` is not measured.
+    """
     limit = task_rows(df.sparkSession)
-    largest, rows = group_sizes(df, keys)
+    largest = rows
+    if rows is None or rows > limit:
+        largest, rows = group_sizes(df, keys)
     if largest <= limit:
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in totals.items()])
@@ -101,9 +107,11 @@ def _chunked_totals(df, keys, order, totals, chunks):
     )
 
 
-def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+def positions(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, rows: int | None = None
+) -> DataFrame:
     """Number the rows of each group from 0 along ``order``."""
-    counted = running_totals(df, keys, order, {name: F.lit(1)})
+    counted = running_totals(df, keys, order, {name: F.lit(1)}, rows)
     return counted.withColumn(name, F.col(name) - 1)
 
 
@@ -188,35 +196,141 @@ def order_inputs(df: DataFrame, keys: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c not in set(keys)] or list(keys)
 
 
+#: Parts of a doubling that the first histogram of values tells apart, and of an interval later.
+LOG_PARTS = 256
+PARTS = 1 << 16
+#: Beyond the logarithm of any finite double, in those parts.
+FAR = 1100 * LOG_PARTS
+
+
+def log_bin(value: Column) -> Column:
+    """Number of a value's bin; a larger value never has a smaller number, NaN has the largest."""
+    v = value.cast("double")
+    size = F.abs(v)
+    part = F.when(size == float("inf"), 2 * FAR).otherwise(FAR + F.floor(F.log2(size) * LOG_PARTS))
+    return (
+        F.when(F.isnan(v), 3 * FAR).when(v == 0, 0).when(v > 0, part).otherwise(-part).cast("long")
+    )
+
+
+def ranks(fraction: float) -> tuple[Column, Column, Column]:
+    """Whole ranks around a percentile in ``_total`` values, and the part of the way between."""
+    rank = (F.col("_total") - 1) * F.lit(float(fraction))
+    return F.floor(rank), F.ceil(rank), rank - F.floor(rank)
+
+
+def _intervals(bins: DataFrame, group: list[str], within: list[str], wanted) -> DataFrame:
+    """Bins that hold a wanted rank: least and largest value, rows, rows before, rows of the group.
+
+    ``bins`` has ``_bin``, ``_n``, ``_low``, ``_high``; bins inside an interval have its ``_base`` and
+    ``_total`` too.
+    """
+    upto = Window.partitionBy(*group, *within).orderBy("_bin")
+    upto = upto.rowsBetween(Window.unboundedPreceding, 0)
+    before = F.sum("_n").over(upto) - F.col("_n")
+    if within:
+        before = before + F.col("_base")
+    else:
+        bins = bins.withColumn("_total", F.sum("_n").over(Window.partitionBy(*group)))
+    placed = bins.withColumn("_before", before)
+    inside = [
+        (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_n"))
+        for fraction in wanted.values()
+        for rank in ranks(fraction)[:2]
+    ]
+    return placed.where(reduce(lambda a, b: a | b, inside)).select(
+        *group, "_low", "_high", "_n", F.col("_before").alias("_base"), "_total"
+    )
+
+
+def _inside(rows: DataFrame, group: list[str], value: str, intervals: DataFrame) -> DataFrame:
+    """Rows with a value in one of their group's intervals, with its ``_low``, ``_high``, ``_base``, ``_total``.
+
+    A group has at most two intervals a percentile, and they do not overlap.
+    """
+    table = intervals.drop("_n")
+    if fits_in_memory(table):
+        table = F.broadcast(table)
+    return rows.join(table, group).where(F.col(value).between(F.col("_low"), F.col("_high")))
+
+
+def _narrowed(rows: DataFrame, group: list[str], value: str, wanted) -> tuple[DataFrame, int]:
+    """Intervals of values that hold the wanted ranks, and the rows of the largest one.
+
+    A histogram finds the bins with the ranks, and those with too many rows for one task are
+    cut into finer ones, until they are small or hold one value only.
+    """
+    limit = task_rows(rows.sparkSession)
+    figures = [
+        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high"),
+    ]
+    bins = rows.groupBy(*group, log_bin(F.col(value)).alias("_bin")).agg(*figures)
+    most = F.max(F.when(F.col("_low") < F.col("_high"), F.col("_n")))
+    found, seen = stage_measured(_intervals(bins, group, [], wanted), most=most)
+    largest, last = seen["most"] or 0, None
+    while largest > limit and largest != last:
+        low, high = F.col("_low").cast("double"), F.col("_high").cast("double")
+        part = F.when(low < high, F.floor((F.col(value).cast("double") - low) / (high - low) * PARTS))
+        inner = _inside(rows, group, value, found).select(
+            *group, value, F.col("_low").alias("_from"), "_base", "_total",
+            F.coalesce(part, F.lit(0)).alias("_bin"),
+        )
+        bins = inner.groupBy(*group, "_from", "_base", "_total", "_bin").agg(*figures)
+        found, seen = stage_measured(_intervals(bins, group, ["_from"], wanted), most=most)
+        largest, last = seen["most"] or 0, largest
+    return found, largest
+
+
 def percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    wanted: Mapping[str, float],
+    staged: bool = False,
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per group.
 
-    Works on (value, count) pairs, so no task holds the values of a whole group. Groups
-    with a null key are left out.
-    ``wanted`` maps output names to fractions in [0, 1].
+    Tables of up to ``flowloom.taskRows`` rows are ordered as they are. In larger ones, histograms
+    with map-side sums find the narrow intervals of values that hold the wanted ranks, for all
+    groups and percentiles at once, and only the values inside them are ordered. Groups
+    with a null key are left out. NaN counts as the largest value.
+    ``wanted`` maps output names to fractions in [0, 1]; ``staged`` says that ``df`` is stored.
     """
     group = list(keys) or ["_all"]
     rows = df if keys else df.withColumn("_all", F.lit(1))
-    counted = stage(
-        rows.where(F.col(value).isNotNull())
-        .groupBy(*group, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    running = running_totals(counted, group, [F.col(value)], {"_upto": F.col("_n")})
-    totals = counted.groupBy(*group).agg(F.sum("_n").alias("_total"))
-    if keys:
-        ranked = lookup_join(running, totals, group, spread=[value], staged=True)
+    rows = rows.select(*group, value).dropna("any", subset=group).where(F.col(value).isNotNull())
+    if not staged:
+        rows = stage(rows)
+    limit = task_rows(df.sparkSession)
+    ordered = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    if (df if staged else rows).count() <= limit:
+        counted = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+        ranked = counted.select(
+            *group,
+            value,
+            F.sum("_n").over(ordered.partitionBy(*group)).alias("_upto"),
+            F.sum("_n").over(Window.partitionBy(*group)).alias("_total"),
+        )
     else:
-        ranked = attach_row(running, totals.select("_total"))
+        intervals, largest = _narrowed(rows, group, value, wanted)
+        within = [*group, "_low", "_base", "_total"]
+        counted = (
+            _inside(rows, group, value, intervals)
+            .groupBy(*within, value)
+            .agg(F.count(F.lit(1)).alias("_n"))
+        )
+        if largest <= limit:
+            placed = counted.withColumn("_upto", F.sum("_n").over(ordered.partitionBy(*within)))
+        else:
+            placed = running_totals(stage(counted), within, [F.col(value)], {"_upto": F.col("_n")})
+        ranked = placed.withColumn("_upto", F.col("_upto") + F.col("_base"))
     picks, results = [], []
     for name, fraction in wanted.items():
-        rank = (F.col("_total") - 1) * F.lit(float(fraction))
+        below, above, part = ranks(fraction)
         picks += [
-            F.min(F.when(F.col("_upto") > F.floor(rank), F.col(value))).alias(f"_lo_{name}"),
-            F.min(F.when(F.col("_upto") > F.ceil(rank), F.col(value))).alias(f"_hi_{name}"),
-            F.max(rank - F.floor(rank)).alias(f"_part_{name}"),
+            F.min(F.when(F.col("_upto") > below, F.col(value))).alias(f"_lo_{name}"),
+            F.min(F.when(F.col("_upto") > above, F.col(value))).alias(f"_hi_{name}"),
+            F.max(part).alias(f"_part_{name}"),
         ]
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         results.append((low + (high - low) * F.col(f"_part_{name}")).alias(name))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowloom.plans import ordered
 from flowloom.plans.lookups import SALTS, lookup_join, spread_lookup
+from flowloom.plans.staging import stage_measured
 
 
 def rows(seed=1, n=300):
@@ -104,6 +105,70 @@ def test_percentiles(spark, table, limit):
     assert whole["p95"] == pytest.approx(np.percentile([r[1] for r in data], 95))
 
 
+def wide_values(draw, n):
+    """Values of many magnitudes and signs, ties, zeros, a narrow heap, and two infinities."""
+    makers = [
+        lambda: draw.choice([-1, 1]) * 10 ** draw.uniform(-300, 300),
+        lambda: float(draw.randrange(-3, 4)),
+        lambda: 0.75 + draw.random() * 1e-9,
+        lambda: 0.75,
+        lambda: draw.choice([0.0, -0.0, 5e-324, -5e-324]),
+    ]
+    return [float("inf"), float("-inf"), *[draw.choice(makers)() for _ in range(n)]]
+
+
+@pytest.mark.parametrize("limit", ["5", "40", None])
+def test_percentiles_of_wide_values(spark, limit):
+    """Refined histograms, the values left over in order, and the plain window agree with a sort."""
+    draw = random.Random(3)
+    data = {"hot": wide_values(draw, 900), "few": [2.5], "same": [0.1] * 60, "odd": wide_values(draw, 301)}
+    pairs = [(k, v) for k, values in data.items() for v in values] + [("few", None), (None, 1.0)]
+    df = spark.createDataFrame(pairs, "k string, v double").repartition(7)
+    wanted = {f"p{k}": k / 100 for k in (1, 25, 50, 60, 90, 99)}
+    if limit:
+        spark.conf.set("flowloom.taskRows", limit)
+    try:
+        got = {r["k"]: r for r in ordered.percentiles(df, ["k"], "v", wanted).collect()}
+    finally:
+        spark.conf.unset("flowloom.taskRows")
+    assert set(got) == set(data)
+    for key, values in data.items():
+        ranked = sorted(values)
+        for name, share in wanted.items():
+            rank = (len(ranked) - 1) * share
+            low, high = ranked[int(rank)], ranked[-int(-rank // 1)]
+            assert got[key][name] == low + (high - low) * (rank - int(rank)), (key, name)
+
+
+def test_bins_follow_the_order(spark):
+    """A larger value never has a smaller bin, also next to powers of two and at the ends."""
+    near = [np.nextafter(2.0**e, d) for e in range(-60, 60, 7) for d in (0, 1e300)]
+    ends = [5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf")]
+    values = sorted([*near, *ends, 0.0, *[-v for v in near], *[-v for v in ends]]) + [float("nan")]
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
+    bins = [r["b"] for r in df.select("i", ordered.log_bin(F.col("v")).alias("b")).sort("i").collect()]
+    assert bins == sorted(bins) and bins[-1] > bins[-2] > bins[-3]
+
+
+def test_large_tables_order_few_values(spark):
+    """Beyond the limit only values of the intervals with the ranks are put in order."""
+    df = spark.range(20_000).select((F.col("id") * 0.37 % 100).alias("v"), F.lit("k").alias("k"))
+    spark.conf.set("flowloom.taskRows", "1000")
+    try:
+        found, largest = ordered._narrowed(df, ["k"], "v", {"p95": 0.95, "p99": 0.99})
+        rows = found.collect()
+    finally:
+        spark.conf.unset("flowloom.taskRows")
+    assert largest <= 1000 and len(rows) <= 4 and sum(r["_n"] for r in rows) < 1000
+
+
+def test_observed_rows(spark):
+    table, found = stage_measured(spark.range(100).where("id % 3 = 0"), most=F.max("id"))
+    assert found == {"rows": 34, "most": 99} and table.count() == 34
+    _, empty = stage_measured(spark.range(100).where("id < 0").groupBy("id").count())
+    assert empty == {"rows": 0}
+
+
 def test_salted_lookup_equals_broadcast(spark, table, no_broadcast):
     data, df = table
     lookup = spark.createDataFrame([("hot", 1), ("a", 2)], "k string, w int")
