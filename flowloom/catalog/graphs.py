@@ -23,9 +23,21 @@ def keyed(spark, sf_dir):
 
 
 def nodes(spark, sf_dir):
+    return nodes_with_largest(spark, sf_dir)[0]
+
+
+def nodes_with_largest(spark, sf_dir):
+    """Numbered nodes, and the size of the largest graph, which is measured once."""
     columns = ["graph_id", "day", "window_id", "timestamp", "flow_id", "source_ip",
                "destination_ip", "destination_port", "protocol", "y", *FEATURES]
-    return graphs.number_nodes(keyed(spark, sf_dir).select(*columns))
+    flows = keyed(spark, sf_dir).select(*columns)
+    largest = graphs.largest_graph(flows)
+    return graphs.number_nodes(flows, largest), largest
+
+
+def edges_of_nodes(spark, sf_dir, **options):
+    numbered, largest = nodes_with_largest(spark, sf_dir)
+    return graphs.graph_edges(numbered, largest=largest, **options)
 
 
 def stored_nodes(spark, sf_dir):
@@ -81,7 +93,7 @@ for _name in graphs.CHAINS:
 
 @query("graph_edges", f"{EDGE_SQL} SELECT graph_id, src, dst FROM edges")
 def graph_edges(spark, sf_dir):
-    return graphs.graph_edges(nodes(spark, sf_dir), k=EDGE_K)
+    return edges_of_nodes(spark, sf_dir, k=EDGE_K)
 
 
 @query("graphs_with_split", f"""{SPLIT_SQL}
@@ -103,7 +115,7 @@ def graph_nodes(spark, sf_dir):
 SELECT e.graph_id, e.src, e.dst, s.day, s.window_id, s.split
 FROM edges e JOIN graph_split s USING (graph_id)""")
 def graph_edges_split(spark, sf_dir):
-    edges = graphs.graph_edges(nodes(spark, sf_dir), k=EDGE_K)
+    edges = edges_of_nodes(spark, sf_dir, k=EDGE_K)
     return graphs.edge_table(edges, graphs_split(spark, sf_dir))
 
 

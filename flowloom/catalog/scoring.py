@@ -332,7 +332,8 @@ def score_node_lr(spark, sf_dir):
 
 def graph_context_scores(spark, sf_dir):
     numbered, rows = split_nodes(spark, sf_dir)
-    edges = stage(graphs.graph_edges(numbered, k=graph_queries.EDGE_K))
+    largest = graphs.largest_graph(numbered)
+    edges = stage(graphs.graph_edges(numbered, k=graph_queries.EDGE_K, largest=largest))
     context = graphs.neighbour_mean_two_hops(rows, edges, FEATURES)
     columns = [*FEATURES, *[f"{hop}_{c}" for hop in ("nb1", "nb2") for c in FEATURES]]
     return scoring.classify(context, columns, "y", F.col("split") == "train")

@@ -28,7 +28,7 @@ def _edge_family(name, family, k):
     )
 
     def run(spark, sf_dir):
-        return graphs.graph_edges(graph_queries.nodes(spark, sf_dir), family=family, k=k)
+        return graph_queries.edges_of_nodes(spark, sf_dir, family=family, k=k)
 
     sql = f"{with_ctes(FLOWS, GRAPHS, *parts)} SELECT DISTINCT graph_id, src, dst FROM ({both})"
     query(name, sql)(run)

@@ -2,13 +2,14 @@
 
 A plain window function sorts each partition of the window in one task. That is
 the best plan while groups are small, and the wrong one when a single graph,
-day or score column holds a third of all rows. Every function here measures the
-largest group first (a narrow count with map-side combine). Below
-``flowloom.taskRows`` it uses one window. Above it, rows are range partitioned
-on (group, order) into chunks, each chunk is processed on its own, and the
-totals of the chunks before it are added. A chunk can continue only the one
+day or score column holds a third of all rows. Every function here counts the
+groups first (a narrow count with map-side combine). Groups of up to
+``flowloom.taskRows`` rows take one window. Larger ones, and only their rows, are
+range partitioned on (group, order) into chunks, each chunk is processed on its own,
+and the totals of the chunks before it are added. A chunk can continue only the one
 group that its predecessor ended with, so the table of carried totals has at
-most one row per chunk and is safe to broadcast.
+most one row per chunk. There are at most ``MOST_CHUNKS`` chunks, whatever the
+size of the table, so that table may be broadcast.
 
 The order given must be total, apart from rows that may be swapped freely.
 """
@@ -27,6 +28,7 @@ from flowloom.plans.staging import stage, stage_measured
 TASK_ROWS_SETTING = "flowloom.taskRows"
 DEFAULT_TASK_ROWS = 2_000_000
 SALTS = 64
+MOST_CHUNKS = 20_000
 
 
 def task_rows(spark: SparkSession) -> int:
@@ -49,23 +51,39 @@ def running_totals(
     keys: Sequence[str],
     order: Sequence[Column],
     totals: Mapping[str, Column],
-    rows: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of ``totals`` within ``keys`` along ``order``.
 
-    A table known to have few ``rows`` is not measured.
+    Nothing is measured when the caller knows that the ``largest`` group is small enough.
     """
     limit = task_rows(df.sparkSession)
-    largest = rows
-    if rows is None or rows > limit:
-        largest, rows = group_sizes(df, keys)
-    if largest <= limit:
-        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in totals.items()])
-    return _chunked_totals(df, list(keys), list(order), totals, 1 + math.ceil(2 * rows / limit))
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = [F.sum(c).over(upto).alias(n) for n, c in totals.items()]
+    if largest is not None and largest <= limit:
+        return df.select("*", *sums)
+    if not keys:
+        rows = df.count()
+        return _chunked_totals(df, [], list(order), totals, rows) if rows > limit else df.select("*", *sums)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    large, found = stage_measured(sizes, rows_inside=F.sum("_n"))
+    if not found["rows"]:
+        return df.select("*", *sums)
+    other = large.select(*[F.col(k).alias(f"_large_{k}") for k in keys])
+    if fits_in_memory(other, found["rows"]):
+        other = F.broadcast(other)
+    same = reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in keys]
+    )
+    small = df.join(other, same, "left_anti").select("*", *sums)
+    chunked = df.join(other, same, "left_semi")
+    return small.unionByName(
+        _chunked_totals(chunked, list(keys), list(order), totals, found["rows_inside"])
+    )
 
 
-def _chunked_totals(df, keys, order, totals, chunks):
+def _chunked_totals(df, keys, order, totals, size):
+    chunks = min(1 + math.ceil(2 * size / task_rows(df.sparkSession)), MOST_CHUNKS)
     by = [F.col(k) for k in keys] + order
     inputs = {f"_in_{name}": c for name, c in totals.items()}
     # Staged, because both reads below must see the same chunk numbers.
@@ -108,10 +126,10 @@ def _chunked_totals(df, keys, order, totals, chunks):
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, largest: int | None = None
 ) -> DataFrame:
     """Number the rows of each group from 0 along ``order``."""
-    counted = running_totals(df, keys, order, {name: F.lit(1)}, rows)
+    counted = running_totals(df, keys, order, {name: F.lit(1)}, largest)
     return counted.withColumn(name, F.col(name) - 1)
 
 

@@ -55,6 +55,32 @@ def test_running_totals_in_chunks(table, small_tasks):
     check_sums(*table)
 
 
+def test_only_large_groups_are_cut(spark, table):
+    """With one hot group all others keep the plain window, and chunks hold the hot rows only."""
+    data, df = table
+    order, totals = [F.col("t"), F.col("id")], {"s": F.col("v")}
+    seen = []
+    inner = ordered._chunked_totals
+    spark.conf.set("flowloom.taskRows", "90")
+    try:
+        ordered._chunked_totals = lambda rows, *rest: seen.append((rows, rest[-1])) or inner(rows, *rest)
+        out = ordered.running_totals(df, ["k"], order, totals)
+        assert {r["id"]: r["s"] for r in out.collect()} == expected_sums(data)
+        few = ordered.running_totals(df.where("k <> 'hot'"), ["k"], order, totals)
+        known = ordered.running_totals(df.where("k <> 'hot'"), ["k"], order, totals, largest=80)
+        assert sorted(map(str, few.collect())) == sorted(map(str, known.collect()))
+    finally:
+        ordered._chunked_totals = inner
+        spark.conf.unset("flowloom.taskRows")
+    [(rows, size)] = seen
+    assert size == rows.count() == 100 and rows.where("k <> 'hot'").count() == 0
+
+
+def test_chunks_are_bounded(table, small_tasks, monkeypatch):
+    monkeypatch.setattr(ordered, "MOST_CHUNKS", 3)
+    check_sums(*table)
+
+
 def test_running_totals_without_keys(table, small_tasks):
     data, df = table
     out = ordered.positions(df, [], [F.col("v").desc(), F.col("id")], "pos")
@@ -162,7 +188,7 @@ def test_large_tables_order_few_values(spark):
     assert largest <= 1000 and len(rows) <= 4 and sum(r["_n"] for r in rows) < 1000
 
 
-def test_observed_rows(spark):
+def test_stage_measured(spark):
     table, found = stage_measured(spark.range(100).where("id % 3 = 0"), most=F.max("id"))
     assert found == {"rows": 34, "most": 99} and table.count() == 34
     _, empty = stage_measured(spark.range(100).where("id < 0").groupBy("id").count())
