@@ -9,6 +9,7 @@ from flowloom.catalog.base import (
     with_ctes,
 )
 from flowloom.operators import graphs, splits
+from flowloom.plans.ordered import group_sizes
 from flowloom.plans.staging import stage
 from flowloom.sources.adapters import lineitems_as_flows, read_flows, read_table
 
@@ -23,26 +24,27 @@ def keyed(spark, sf_dir):
 
 
 def nodes(spark, sf_dir):
-    return nodes_with_largest(spark, sf_dir)[0]
+    return nodes_with_sizes(spark, sf_dir)[0]
 
 
-def nodes_with_largest(spark, sf_dir):
-    """Numbered nodes, and the size of the largest graph, which is measured once."""
+def nodes_with_sizes(spark, sf_dir):
+    """Numbered nodes, and the flows of the largest graph and of all, which are measured once."""
     columns = ["graph_id", "day", "window_id", "timestamp", "flow_id", "source_ip",
                "destination_ip", "destination_port", "protocol", "y", *FEATURES]
     flows = keyed(spark, sf_dir).select(*columns)
-    largest = graphs.largest_graph(flows)
-    return graphs.number_nodes(flows, largest), largest
+    sizes = group_sizes(flows, ["graph_id"])
+    return graphs.number_nodes(graphs.by_graph(flows, sizes), sizes[0]), sizes
 
 
 def edges_of_nodes(spark, sf_dir, **options):
-    numbered, largest = nodes_with_largest(spark, sf_dir)
-    return graphs.graph_edges(numbered, largest=largest, **options)
+    numbered, sizes = nodes_with_sizes(spark, sf_dir)
+    return graphs.graph_edges(numbered, largest=sizes[0], **options)
 
 
 def stored_nodes(spark, sf_dir):
-    """Node numbers are needed several times, so the table is written once."""
-    return stage(nodes(spark, sf_dir))
+    """Node numbers are needed several times, so the table is written once; and its sizes."""
+    numbered, sizes = nodes_with_sizes(spark, sf_dir)
+    return stage(numbered), sizes
 
 
 def graphs_split(spark, sf_dir):
@@ -130,8 +132,9 @@ edge_blocks AS (SELECT graph_id, src // {BLOCK} AS block,
 SELECT graph_id, CAST(block AS BIGINT) AS block, nodes, coalesce(edges, '') AS edges
 FROM node_blocks LEFT JOIN edge_blocks USING (graph_id, block)""")
 def graph_assemble(spark, sf_dir):
-    numbered = stored_nodes(spark, sf_dir)
-    edges = graphs.graph_edges(numbered, k=EDGE_K)
+    numbered, sizes = stored_nodes(spark, sf_dir)
+    numbered = graphs.by_graph(numbered, sizes)
+    edges = graphs.graph_edges(numbered, k=EDGE_K, largest=sizes[0])
     blocks = graphs.assemble_graphs(numbered, edges, BLOCK)
     return blocks.select(
         "graph_id",
@@ -167,9 +170,9 @@ SELECT n.graph_id, n.node_id, {tidy_sql('h.nb1_value')} AS nb_value,
   {tidy_sql('h.nb1_k')} AS nb_k
 FROM nodes n LEFT JOIN hop1 h USING (graph_id, node_id)""")
 def neighbour_mean(spark, sf_dir):
-    numbered = stored_nodes(spark, sf_dir)
-    edges = stage(graphs.graph_edges(numbered, k=EDGE_K))
-    means = graphs.neighbour_mean(numbered, edges, FEATURES)
+    numbered, sizes = stored_nodes(spark, sf_dir)
+    means = graphs.context_means(numbered, FEATURES, sizes, hops=1, k=EDGE_K)
+    means = means.withColumnsRenamed({f"nb1_{c}": f"nb_{c}" for c in FEATURES})
     return means.select(
         "graph_id", "node_id", *[tidy(f"nb_{c}") for c in FEATURES]
     )
@@ -185,8 +188,7 @@ SELECT n.graph_id, n.node_id, {tidy_sql('a.nb1_value')} AS nb1_value,
 FROM nodes n LEFT JOIN hop1 a USING (graph_id, node_id)
 LEFT JOIN hop2 b USING (graph_id, node_id)""")
 def neighbour_mean_2hop(spark, sf_dir):
-    numbered = stored_nodes(spark, sf_dir)
-    edges = stage(graphs.graph_edges(numbered, k=EDGE_K))
-    means = graphs.neighbour_mean_two_hops(numbered, edges, FEATURES)
+    numbered, sizes = stored_nodes(spark, sf_dir)
+    means = graphs.context_means(numbered, FEATURES, sizes, k=EDGE_K)
     names = [f"{hop}_{c}" for hop in ("nb1", "nb2") for c in FEATURES]
     return means.select("graph_id", "node_id", *[tidy(c) for c in names])

@@ -277,9 +277,8 @@ def decayed_state_fast(spark, sf_dir):
 
 
 def split_nodes(spark, sf_dir):
-    numbered = stage(graph_queries.nodes(spark, sf_dir))
-    graph_rows = graph_queries.graphs_split(spark, sf_dir)
-    return numbered, graphs.node_table(numbered, graph_rows, FEATURES)
+    numbered, _ = graph_queries.stored_nodes(spark, sf_dir)
+    return graphs.node_table(numbered, graph_queries.graphs_split(spark, sf_dir), FEATURES)
 
 
 NODE_KEYS = ["graph_id", "node_id", "split", "y"]
@@ -325,17 +324,16 @@ scored_rows AS (SELECT seq_id, day, split, seq_y FROM split_trajs)"""
 
 @query("score_node_lr", determined_sql(NODE_PARTS, SCORED_NODES, NODE_KEYS, "y"))
 def score_node_lr(spark, sf_dir):
-    _, rows = split_nodes(spark, sf_dir)
+    rows = split_nodes(spark, sf_dir)
     scores = scoring.classify(rows, FEATURES, "y", F.col("split") == "train")
     return determined(scores, NODE_KEYS, "y")
 
 
 def graph_context_scores(spark, sf_dir):
-    numbered, rows = split_nodes(spark, sf_dir)
-    largest = graphs.largest_graph(numbered)
-    edges = stage(graphs.graph_edges(numbered, k=graph_queries.EDGE_K, largest=largest))
-    context = graphs.neighbour_mean_two_hops(rows, edges, FEATURES)
+    numbered, sizes = graph_queries.stored_nodes(spark, sf_dir)
     columns = [*FEATURES, *[f"{hop}_{c}" for hop in ("nb1", "nb2") for c in FEATURES]]
+    means = graphs.context_means(numbered, FEATURES, sizes, k=graph_queries.EDGE_K)
+    context = graphs.node_table(means, graph_queries.graphs_split(spark, sf_dir), columns)
     return scoring.classify(context, columns, "y", F.col("split") == "train")
 
 

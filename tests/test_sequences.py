@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.operators import encoding, graphs, scoring, sequences, validation
+from flowloom.plans.ordered import group_sizes
+from flowloom.plans.staging import stage
 
 FLOW_SCHEMA = (
     "flow_id string, source_ip string, source_port int, destination_ip string,"
@@ -82,6 +84,39 @@ def test_neighbour_means(spark):
     }
 
 
+def test_chain_means_are_neighbour_means(spark, task_limit):
+    """Windows alone give the means over the edges; a neighbour of several chains counts once."""
+    flows = [flow(i, 7 * i, src="ac"[i % 2], dst="bx"[i % 3 == 0], port=80 + i % 2) for i in range(9)]
+    flows += [flow(20, 400, src="a"), flow(21, 900)]
+    nodes = stage(graphs.number_nodes(graphs.keyed_flows(flow_frame(spark, flows), 300)).withColumn(
+        "v", F.when(F.col("node_id") != 2, F.col("node_id") * 10.0)
+    ))
+    edges = graphs.graph_edges(nodes, k=2)
+    want = graphs.neighbour_mean_two_hops(nodes, edges, ["v"])
+    got = graphs.context_means(nodes, ["v"], group_sizes(nodes, ["graph_id"]), k=2)
+    columns = ["graph_id", "node_id", "nb1_v", "nb2_v"]
+    rows = [[(*r[:2], *(v and round(v, 9) for v in r[2:])) for r in df.select(*columns).collect()]
+            for df in (got, want)]
+    assert len(rows[0]) == 11 and sorted(rows[0], key=str) == sorted(rows[1], key=str)
+
+
+def test_work_in_graphs_has_partitions_by_rows(spark):
+    """Partitions of nodes follow from their number and are not merged by their compressed bytes."""
+    table = spark.range(1000).select(F.lit("g").alias("graph_id"), "id")
+    text = graphs.by_graph(table, (1_000_000, 40 * graphs.TASK_NODES))._jdf.queryExecution().toString()
+    assert ", 40), REPARTITION_BY_NUM" in text
+    edges = graphs.graph_edges(
+        spark.createDataFrame(
+            [("g", None, 0, "a", "b", 1, 6)],
+            "graph_id string, timestamp timestamp, node_id int, source_ip string, "
+            "destination_ip string, destination_port int, protocol int",
+        ), largest=1,
+    )
+    # No table of distinct edges is kept in memory.
+    lines = edges._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Aggregate" in line and "dst#" in line for line in lines)
+
+
 def measured(df):
     names = [
         "flow_duration", "total_fwd_packets", "total_backward_packets",
