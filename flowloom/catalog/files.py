@@ -8,7 +8,7 @@ from flowloom.catalog.base import FLOWS, RAW, SEED, query, tidy, tidy_sql, with_
 from flowloom.catalog.evaluation import run_document_columns
 from flowloom.operators import cleaning, validation
 from flowloom.operators.sequences import dataset_counts
-from flowloom.plans.staging import new_path
+from flowloom.plans.staging import new_path, stage
 from flowloom.sources import flows, runs, sinks
 from flowloom.sources.adapters import read_flows, read_raw_flows, read_table, score_table
 from flowloom.sources.schemas import ENDPOINTS, FLOW_STATISTICS, flow_schema
@@ -129,7 +129,8 @@ FROM raw, (SELECT unnest(['csv', 'parquet']) AS file_format) WHERE {CLEAN_WHERE}
 def files_clean_table(spark, sf_dir):
     """Raw files cleaned, written in both formats and read back."""
     rows = flows.read_flows(spark, raw_folder(spark, sf_dir)).drop("source_file")
-    cleaned = cleaning.clean_flows(cleaning.undot_names(rows), " Label")
+    # Stored, so that the raw text is parsed once and not for the audit and for each format.
+    cleaned = stage(cleaning.clean_flows(cleaning.undot_names(rows), " Label"))
     cleaned = cleaning.drop_duplicate_column(cleaned, " Fwd Header Length", " Fwd Header Length_1")
     both = []
     for kind in ("parquet", "csv"):

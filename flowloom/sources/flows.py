@@ -18,8 +18,18 @@ DAY_PARTS = ["Morning", "Afternoon"]
 
 
 def parse_timestamp(text: Column, formats: Sequence[str] = tuple(RAW_FORMATS)) -> Column:
-    """First format that fits; null if none does."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in formats])
+    """First format that fits; null if none does.
+
+    A format of numbers only fits texts with as many colons as it has. Others are not tried with
+    it, as a text that doesn't fit costs an exception.
+    """
+    colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
+    parsed = []
+    for fmt in formats:
+        value = F.try_to_timestamp(text, F.lit(fmt))
+        numbers_only = set(fmt) <= set("yMdHms/-.: ")
+        parsed.append(F.when(colons == fmt.count(":"), value) if numbers_only else value)
+    return F.coalesce(*parsed)
 
 
 def first_word(text: Column, words: Sequence[str], default: str) -> Column:

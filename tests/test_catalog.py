@@ -68,3 +68,15 @@ def test_graph_summary_reads_three_columns(spark):
     text = plan(QUERIES["graph_summary"](spark, SF_DIR))
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string>" in text
     assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_clean_table_parses_the_raw_files_once(spark, monkeypatch):
+    from flowloom.operators import cleaning
+
+    seen = []
+    check = cleaning.drop_duplicate_column
+    monkeypatch.setattr(
+        cleaning, "drop_duplicate_column", lambda df, *names: seen.append(plan(df)) or check(df, *names)
+    )
+    assert QUERIES["files_clean_table"](spark, SF_DIR).count() > 0
+    assert len(seen) == 1 and "FileScan csv" not in seen[0]

@@ -206,3 +206,17 @@ def test_run_layouts(spark, layout, columns):
     assert len(rows.columns) == columns
     assert set(layout.latest_keys) | set(layout.group_keys) <= set(rows.columns)
     runs.aggregate_runs(rows, layout.group_keys, layout.metric_columns)
+
+
+def test_timestamp_formats_are_tried_where_they_can_fit(spark):
+    from pyspark.sql import functions as F
+
+    from flowloom.sources import flows
+
+    texts = ["05/07/2017 08:09:10", "5/7/2017 8:09", "05/07/2017 08:09", "n/a", "", None, "1:2:3:4",
+             "32/01/2017 08:09:10", "5/7/2017 8:09:10"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in flows.RAW_FORMATS])
+    parsed = flows.parse_timestamp(F.col("t"))
+    assert df.where(~parsed.eqNullSafe(plain)).count() == 0 and df.where(parsed.isNotNull()).count() == 3
+    assert "CASE WHEN" in str(df.select(parsed)._jdf.queryExecution().optimizedPlan())
