@@ -25,7 +25,10 @@ other components. Pairs inside a component need no test, so no link between comp
 components are exact.
 
 A pair goes through filters that never reject a true pair (sizes, position in the order, counts
-of shingles per hash range) and is then compared shingle by shingle, as sorted 64-bit hashes.
+of shingles per hash range) and is then compared shingle by shingle, as sorted 64-bit hashes. Only
+the sets of such pairs are made and shuffled, anew from the texts for each of the three steps: a bit
+table of fixed size (``WANTED_BITS``) tells the tasks which nodes those are. It may let others
+through, which a join drops.
 
 Sets travel by node, not by document id, so rows that share an id, or have none, meet nothing but
 their own node. The entries are shuffled once, by token: there lists are counted, and those of one
@@ -51,11 +54,15 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from flowloom.llm.batches import pieces
 from flowloom.llm.components import connected
 from flowloom.llm.hashing import mix, sequence_hashes, word_hashes
-from flowloom.plans.staging import discard, stage
+from flowloom.plans.staging import discard, stage as stage_plainly
 
 SKETCH_BITS = 22
 SLOTS = 256
 RANGE_BITS = 7
+#: Bits of the table of nodes whose sets are compared, a power of two of at least 15.
+WANTED_BITS = 25
+#: Bytes of an Arrow batch; a row of a comparison holds two sets.
+BATCH_BYTES = 4 << 20
 #: Lists up to this length take no part in the second round.
 SHORT_LIST = 8
 #: Members of a longer list that those outside its largest component are compared with then.
@@ -66,6 +73,10 @@ MEETING_COST = 0.2
 NO_ID = -(2**63)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    return stage_plainly(df, {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)})
+
+
 @dataclass(frozen=True)
 class Likeness:
     """Shingle width, and a threshold of ``percent`` / 100."""
@@ -266,30 +277,60 @@ def inverted_lists(found: DataFrame) -> DataFrame:
     return stage(once.withColumn("members", members).where("members > 1"))
 
 
+def node_place(node):
+    """Place of a node (numbers or column) in the bit table; its upper bits are hashed already."""
+    if isinstance(node, np.ndarray):
+        return node.view(np.uint64) >> np.uint64(64 - WANTED_BITS)
+    return F.shiftrightunsigned(node, 64 - WANTED_BITS)
+
+
+def wanted_bits(wanted: DataFrame) -> np.ndarray:
+    """Bit table of nodes, the lowest bit of a byte first. 2**WANTED_BITS bits come to the driver."""
+    place = node_place(F.col("node")) + 1
+    parts = wanted.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
+    )
+    rows = parts.collect()
+    # Parts are numbered from 1 and have a size that Spark fixes.
+    size = len(rows[0]["bits"]) if rows else 1
+    table = np.zeros(((1 << WANTED_BITS) // 8 // size, size), dtype=np.uint8)
+    for row in rows:
+        table[row["part"] - 1] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return table.reshape(-1)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
     """Stored (node, shingles) of the wanted nodes: sorted 64-bit hashes, eight bytes each."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+    sent = docs.sparkSession.sparkContext.broadcast(wanted_bits(wanted))
 
     def run(batches):
         done: set[int] = set()
+        table = sent.value
         for batch in text_batches(batches):
+            made = [s for s in shingle_sets(batch.column("text"), like.width) if len(s)]
+            named = np.fromiter((node_of(s) for s in made), np.int64, len(made))
+            place = node_place(named)
+            maybe = table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1
             nodes, sets = [], []
-            for shingles in shingle_sets(batch.column("text"), like.width):
-                node = node_of(shingles) if len(shingles) else None
-                if node is not None and node not in done:
+            for i in np.flatnonzero(maybe).tolist():
+                node = int(named[i])
+                if node not in done:
                     done.add(node)
                     nodes.append(node)
-                    sets.append(shingles.astype("<u8").tobytes())
+                    sets.append(made[i].astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], schema=schema
             )
 
     made = docs.mapInArrow(run, "node long, shingles binary").repartition("node")
-    return stage(made.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    stored = stage(made.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    sent.unpersist()
+    return stored
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs whose counts per hash range allow enough shared shingles."""
+    """Stored pairs whose counts per hash range allow enough shared shingles."""
 
     def run(batches):
         for batch in batches:
@@ -305,9 +346,8 @@ def plausible(pairs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
 
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("ranges").alias("ra"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("ranges").alias("rb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(
-        run, "a long, b long"
-    )
+    rows = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ra", "rb")
+    return stage(rows.mapInArrow(run, "a long, b long"))
 
 
 def linked(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -387,7 +427,6 @@ def components(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     lists = inverted_lists(entries(docs, like, levels, light_boundary(nodes, like)))
     rows = stage(ids.drop("ranges"))
     discard(surveyed)
-    sets = sets_of(docs, lists.select("node").distinct(), like)
 
     links, comps = None, None
     for step in range(3):
@@ -400,13 +439,17 @@ def components(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
             labels = labels.withColumn("comp", F.coalesce("_comp", "node")).drop("_comp")
             pairs = list_pairs(labels, like, step, PIVOTS if step == 1 else None)
         # What links is known from its component; a pair compared once is not met again.
-        new = linked(plausible(pairs.distinct(), nodes, like), sets, like)
+        close = plausible(pairs.distinct(), nodes, like)
+        compared = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = sets_of(docs, compared, like)
+        new = linked(close, sets, like)
+        discard(close, sets)
         before = comps
         known = None if before is None else before.select(F.col("node").alias("a"), F.col("comp").alias("b"))
         links = new if known is None else known.union(new)
         comps = stage(connected(links))
         discard(new, *([] if before is None else [before]))
-    discard(lists, sets)
+    discard(lists)
     named = nodes.join(comps, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     return rows, named
 

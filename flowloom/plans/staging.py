@@ -41,19 +41,23 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ADAPTIVE = "spark.sql.adaptive.enabled"
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as parquet below the checkpoint folder and read it back.
 
     What was shuffled for it is deleted at once, as only the table is read from then on.
+    ``settings`` of the session hold while it is written.
     """
     spark = df.sparkSession
     path = new_path(spark)
-    before = spark.conf.get(SHUFFLE_CLEANUP)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    wanted = {SHUFFLE_CLEANUP: "true"} | (settings or {})
+    before = {name: spark.conf.get(name) for name in wanted}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._staged_at = path
     return stored

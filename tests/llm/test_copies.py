@@ -5,11 +5,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from flowloom.llm import jaccard
 from flowloom.llm.additive_model import fit, quality_scores, training_rows, tree
 from flowloom.llm.components import connected
 from flowloom.llm.fingerprint import edited, fingerprint_table, fingerprints, likeness
@@ -186,6 +188,47 @@ def test_near_odd_rows(odd_docs, odd_rows, no_docs):
     assert near_components(no_docs, Likeness()).count() == 0
 
 
+def test_sets_are_made_of_compared_nodes_only(make_docs, monkeypatch):
+    sizes, shared = [], prose(1, 10)
+    plain = jaccard.sets_of
+
+    def spy(*args):
+        made = plain(*args)
+        sizes.append(made.count())
+        return made
+
+    monkeypatch.setattr(jaccard, "sets_of", spy)
+    # All texts share a passage, so all are in lists; only the two near copies can be alike enough.
+    rows = [(i, f"{prose(10 + i, 80)} {shared} {prose(100 + i, 80)}") for i in range(20)]
+    rows.append((20, rows[0][1] + " more"))
+    got = near_components(make_docs(rows), Likeness(4, 85)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows, 4, 85)
+    assert sizes[0] == 2 and sum(sizes[1:]) == 0
+
+
+def test_table_of_wanted_nodes(spark):
+    rng = random.Random(3)
+    nodes = [-(2**63), -(2**40), -1, 0, 1, 2**40, 2**63 - 1, *(rng.randrange(-(2**63), 2**63) for _ in range(500))]
+    table = jaccard.wanted_bits(spark.createDataFrame([(n,) for n in nodes], "node long"))
+    places = set(jaccard.node_place(np.array(nodes, dtype=np.int64)).tolist())
+    assert set(np.flatnonzero(np.unpackbits(table, bitorder="little")).tolist()) == places
+    assert not jaccard.wanted_bits(spark.createDataFrame([], "node long")).any()
+
+
+def test_batches_of_stored_tables_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    wide = spark.range(9000, numPartitions=1).select(F.repeat(F.lit("x"), 10_000).alias("s"))
+    rows = jaccard.stage(wide.mapInArrow(sizes, "n long")).collect()
+    assert max(r["n"] for r in rows) * 10_000 <= 1.1 * jaccard.BATCH_BYTES
+    assert spark.conf.get(name) == before
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (105, 101), (7, 7)]
     got = {r["node"]: r["comp"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
