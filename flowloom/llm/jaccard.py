@@ -19,17 +19,22 @@ the result is the same for any order.
 Equal sets are one node. Lists and subsets are not turned into all their pairs: a group of
 thousands of near copies would give millions. First the members of every list are compared with one
 of them, the list's pivot, and what links is one component from then on. Then, in long lists, those
-that are not in the list's largest component are compared with ``PIVOTS`` members. The rest is
+that are not in the list's largest component are compared with ``PIVOTS`` members. Pivots are the
+members that have the list's shingle first in their order: an edit puts its rare shingles in front, so
+those are the least edited, which link with most others and lead many lists at once. The rest is
 exact: in lists that still hold several components, members outside the largest meet all members of
 other components. Pairs inside a component need no test, so no link between components is lost, and
 components are exact.
 
-A pair goes through filters that never reject a true pair (sizes, position in the order, counts
-of shingles per hash range) and is then compared shingle by shingle, as sorted 64-bit hashes. Only
+A pair goes through filters that never reject a true pair (sizes, position in the order, the odd
+sketch) and is then compared shingle by shingle, as sorted 64-bit hashes. Only
 the sets of such pairs are made and shuffled, anew from the texts for each of the three steps: a bit
 table of fixed size (``WANTED_BITS``) tells the tasks which nodes those are. It may let others
 through, which a join drops.
 
+The odd sketch of a set has about a bit for each shingle: whether an odd number of them falls there. Bits in
+which two sketches differ are never more than the shingles that only one of the sets has.
+
 Sets travel by node, not by document id, so rows that share an id, or have none, meet nothing but
 their own node. The entries are shuffled once, by token: there lists are counted, and those of one
 node dropped. What is stored for a step is deleted when the next has what it needs.
@@ -58,7 +63,8 @@ from flowloom.plans.staging import discard, stage as stage_plainly
 
 SKETCH_BITS = 22
 SLOTS = 256
-RANGE_BITS = 7
+#: Bits of the shortest and the longest odd sketch, as powers of two.
+SKETCH_LEAST, SKETCH_MOST = 6, 16
 #: Bits of the table of nodes whose sets are compared, a power of two of at least 15.
 WANTED_BITS = 25
 #: Bytes of an Arrow batch; a row of a comparison holds two sets.
@@ -66,7 +72,7 @@ BATCH_BYTES = 4 << 20
 #: Lists up to this length take no part in the second round.
 SHORT_LIST = 8
 #: Members of a longer list that those outside its largest component are compared with then.
-PIVOTS = 32
+PIVOTS = 8
 #: Cost of a row met in a list, in rows written.
 MEETING_COST = 0.2
 #: Stands for a missing id.
@@ -121,10 +127,25 @@ def node_of(shingles: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(shingles))])).view(np.int64)[0])
 
 
-def ranges_of(shingles: np.ndarray) -> bytes:
-    """Shingles in each of 2**RANGE_BITS hash ranges, at most 65535 counted."""
-    counts = np.bincount((shingles >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS)
-    return np.minimum(counts, 65535).astype("<u2").tobytes()
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    """Parity of the shingles that fall on each bit, by the low bits of their hash."""
+    size = 1 << min(max((len(shingles) - 1).bit_length(), SKETCH_LEAST), SKETCH_MOST)
+    odd = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def sketch_distance(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Bits in which two lists of odd sketches differ, row by row; the longer one is folded."""
+    sizes = np.array([(len(a), len(b)) for a, b in zip(left, right, strict=True)], dtype=np.int64).reshape(-1, 2)
+    out = np.zeros(len(sizes), dtype=np.int64)
+    for x, y in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes[:, 0] == x) & (sizes[:, 1] == y))
+        folded = []
+        for sketches, size in ((left, x), (right, y)):
+            parts = np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint8)
+            folded.append(np.bitwise_xor.reduce(parts.reshape(len(at), size // min(x, y), min(x, y)), axis=1))
+        out[at] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +154,8 @@ def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def survey(docs: DataFrame, like: Likeness) -> DataFrame:
-    """Stored: (doc_id, n, node, ranges) of every document, and the parts of the count table."""
-    fields = [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("ranges", pa.binary())]
+    """Stored: (doc_id, n, node, odd) of every document, and the parts of the count table."""
+    fields = [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("odd", pa.binary())]
     schema = pa.schema([*fields, ("slot", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
@@ -151,7 +172,7 @@ def survey(docs: DataFrame, like: Likeness) -> DataFrame:
                 batch.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                pa.array([ranges_of(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array([odd_sketch(s) if len(s) else None for s in sets], pa.binary()),
                 pa.nulls(len(sets), pa.int32()),
                 pa.nulls(len(sets), pa.binary()),
             ]
@@ -163,7 +184,7 @@ def survey(docs: DataFrame, like: Likeness) -> DataFrame:
                 [*empty, pa.array(range(SLOTS), pa.int32()), pa.array(parts, pa.binary())], schema=schema
             )
 
-    kinds = "doc_id long, n long, node long, ranges binary, slot int, counts binary"
+    kinds = "doc_id long, n long, node long, odd binary, slot int, counts binary"
     return stage(docs.mapInArrow(run, kinds))
 
 
@@ -330,23 +351,18 @@ def sets_of(docs: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
-    """Stored pairs whose counts per hash range allow enough shared shingles."""
+    """Stored pairs whose odd sketches allow enough shared shingles."""
 
     def run(batches):
         for batch in batches:
-            left = [np.frombuffer(x, "<u2") for x in batch.column("ra").to_pylist()]
-            right = [np.frombuffer(x, "<u2") for x in batch.column("rb").to_pylist()]
+            apart = sketch_distance(batch.column("oa").to_pylist(), batch.column("ob").to_pylist())
             n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            if left:
-                a, b = np.stack(left), np.stack(right)
-                shared = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-                full = (a == 65535).any(axis=1) | (b == 65535).any(axis=1)
-                keep = full | (shared * (100 + like.percent) >= like.percent * n)
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("ranges").alias("ra"))
-    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("ranges").alias("rb"))
-    rows = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ra", "rb")
+            most = n - 2 * -(-like.percent * n // (100 + like.percent))
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= most))
+
+    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
+    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
+    rows = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "oa", "ob")
     return stage(rows.mapInArrow(run, "a long, b long"))
 
 
@@ -372,7 +388,7 @@ def linked(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
 
 def pivot_pairs(lists: DataFrame, like: Likeness) -> DataFrame:
     """Members of each list against one of them, its pivot."""
-    order = F.struct(F.xxhash64("node").alias("h"), "node", "n", "pos")
+    order = F.struct("pos", F.xxhash64("node").alias("h"), "node", "n")
     pivot = lists.groupBy("token").agg(F.min(order).alias("p"))
     rows = lists.join(pivot, "token").where("node <> p.node")
     ok = like.may_link(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos"))
@@ -381,11 +397,10 @@ def pivot_pairs(lists: DataFrame, like: Likeness) -> DataFrame:
     )
 
 
-def list_pairs(lists: DataFrame, like: Likeness, seed: int, pivots: int | None) -> DataFrame:
+def list_pairs(lists: DataFrame, like: Likeness, pivots: int | None) -> DataFrame:
     """Members outside their list's largest component, against members of other components.
 
-    With ``pivots``, against about that many members of the list, drawn by hash; without, against
-    all of them.
+    With ``pivots``, against that many members of the list at most; without, against all of them.
     """
     counted = lists.groupBy("token", "comp").agg(F.count("*").alias("c"))
     largest = (
@@ -403,8 +418,8 @@ def list_pairs(lists: DataFrame, like: Likeness, seed: int, pivots: int | None)
         F.col("comp").alias("xc"),
     )
     if pivots is not None:
-        draw = F.pmod(F.xxhash64("node", "token", F.lit(seed)), F.col("members"))
-        several = several.where(draw < pivots)
+        order = W.partitionBy("token").orderBy("pos", F.xxhash64("node"), "node")
+        several = several.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= pivots)
     rows = minor.join(several, "token").where(F.col("comp") != F.col("xc"))
     ok = like.may_link(F.col("n"), F.col("xn"), F.col("pos"), F.col("xp"))
     return rows.where(ok).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
@@ -417,15 +432,15 @@ def components(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     surveyed = survey(docs, like)
-    ids = surveyed.where("slot IS NULL").select("doc_id", "n", "node", "ranges")
+    ids = surveyed.where("slot IS NULL").select("doc_id", "n", "node", "odd")
     nodes = stage(
         ids.where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ranges").alias("ranges"))
+        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("odd").alias("odd"))
     )
     levels = spark.sparkContext.broadcast(rarity(surveyed))
     lists = inverted_lists(entries(docs, like, levels, light_boundary(nodes, like)))
-    rows = stage(ids.drop("ranges"))
+    rows = stage(ids.drop("odd"))
     discard(surveyed)
 
     links, comps = None, None
@@ -437,7 +452,7 @@ def components(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
             named = comps.withColumnRenamed("comp", "_comp")
             labels = members.join(named, "node", "left")
             labels = labels.withColumn("comp", F.coalesce("_comp", "node")).drop("_comp")
-            pairs = list_pairs(labels, like, step, PIVOTS if step == 1 else None)
+            pairs = list_pairs(labels, like, PIVOTS if step == 1 else None)
         # What links is known from its component; a pair compared once is not met again.
         close = plausible(pairs.distinct(), nodes, like)
         compared = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -206,6 +206,46 @@ def test_sets_are_made_of_compared_nodes_only(make_docs, monkeypatch):
     assert sizes[0] == 2 and sum(sizes[1:]) == 0
 
 
+def test_near_copies_meet_few_pivots(make_docs, monkeypatch):
+    compared, plain = [], jaccard.plausible
+
+    def spy(*args):
+        made = plain(*args)
+        compared.append(made.count())
+        return made
+
+    monkeypatch.setattr(jaccard, "plausible", spy)
+    rng = random.Random(11)
+    base, texts = [f"v{rng.randint(0, 10**6)}" for _ in range(120)], []
+    for _ in range(300):
+        copy = list(base)
+        for _ in range(rng.randint(0, 8)):
+            copy[rng.randrange(120)] = f"n{rng.randint(0, 10**6)}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    got = near_components(make_docs(rows), Likeness(4, 85)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows, 4, 85)
+    assert sum(compared) <= 2 * len(rows)
+
+
+def test_odd_sketches_reject_no_true_pair():
+    rng = np.random.default_rng(7)
+    left, right, apart, sizes = [], [], [], []
+    for n, m, common in [(1, 1, 1), (1, 1, 0), (64, 65, 60), (300, 330, 290), (1000, 1030, 700), (5000, 4200, 3900), (90_000, 80_000, 79_000)]:
+        pool = np.unique(rng.integers(0, 2**63, 2 * (n + m)).astype(np.uint64))
+        a, b = np.sort(pool[:n]), np.sort(pool[n - common : n - common + m])
+        left.append(jaccard.odd_sketch(a))
+        right.append(jaccard.odd_sketch(b))
+        apart.append(n + m - 2 * common)
+        sizes.append(n + m)
+    found = jaccard.sketch_distance(left, right)
+    assert (found <= apart).all() and (found == jaccard.sketch_distance(right, left)).all()
+    assert found[0] == 0 and jaccard.sketch_distance([], []).tolist() == []
+    # Long sets that share two thirds are told apart, too.
+    assert found[4] > sizes[4] - 2 * Likeness(4, 85).overlap(1000, 1030)
+    assert max(len(x) for x in left) == 2**jaccard.SKETCH_MOST // 8
+
+
 def test_table_of_wanted_nodes(spark):
     rng = random.Random(3)
     nodes = [-(2**63), -(2**40), -1, 0, 1, 2**40, 2**63 - 1, *(rng.randrange(-(2**63), 2**63) for _ in range(500))]
