@@ -11,13 +11,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm.bpe import encode_documents
-from flowloom.llm.jaccard import Likeness, keep_one
+from flowloom.llm.jaccard import BATCH_BYTES, Likeness, keep_one
 from flowloom.llm.mixing import mix
 from flowloom.llm.quality import keep_clean
 from flowloom.llm.secret_scan import mask_secrets
 from flowloom.plans.staging import new_path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few MiB from now on: 10,000 texts at once are held by the JVM and Python, several times."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return keep_clean(docs)
@@ -25,11 +30,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8."""
+    small_batches(spark)
     return keep_one(docs, Likeness(width=5, percent=80))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets masked."""
+    small_batches(spark)
     return mask_secrets(docs)
 
 
@@ -40,6 +47,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and what they decode to."""
+    small_batches(spark)
     return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

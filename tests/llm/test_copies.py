@@ -344,6 +344,16 @@ def test_fit_rows_are_bounded_under_one_id(spark, make_docs):
 # ---------------------------------------------------------------- pipeline
 
 
+def test_pipeline_stages_bound_their_batches(spark, no_docs):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.secret_scans, corpus_pipeline.encoding):
+        spark.conf.set(name, str(1 << 30))
+        stage(spark, no_docs, "")
+        assert int(spark.conf.get(name)) == jaccard.BATCH_BYTES
+    spark.conf.set(name, before)
+
+
 def test_pipeline_stages(spark, make_docs, no_docs, odd_docs):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "ngram_jaccard_join", "secret_scans", "source_mixing", "bpe_encoding"]
