@@ -17,6 +17,9 @@ from flowloom.llm.quality import keep_clean
 from flowloom.llm.secret_scan import mask_secrets
 from flowloom.plans.staging import new_path
 
+#: Bytes of text that a worker encodes at once, fewer than alone: its executor also holds what earlier stages took.
+ENCODED_BYTES = 1 << 20
+
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few MiB from now on: 10,000 texts at once are held by the JVM and Python, several times."""
@@ -48,7 +51,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and what they decode to."""
     small_batches(spark)
-    return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), piece_bytes=ENCODED_BYTES)
 
 
 STAGES = [

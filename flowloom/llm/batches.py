@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -27,18 +28,42 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return to the system what Arrow and the C library hold but no longer use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(
+    function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function`` for ``mapInArrow``, giving memory back after the last batch of a task.
+
+    The worker lives on beside the tasks of later stages.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return run
+
+
 def map_batches(
     df: DataFrame,
     column: str,
     function: Callable[[pa.RecordBatch], dict[str, Iterable]],
     schema: StructType,
+    limit: int = PIECE_BYTES,
 ) -> DataFrame:
     """``mapInArrow`` with ``function`` on pieces of each batch; it returns the output columns."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, column):
+            for piece in pieces(batch, column, limit):
                 made = function(piece)
                 columns = [
                     made[f.name]
@@ -47,7 +72,5 @@ def map_batches(
                     for f in arrow
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-        # The worker lives on beside those of later stages.
-        pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from flowloom.llm.batches import map_batches
+from flowloom.llm.batches import PIECE_BYTES, map_batches
 
 CACHE_PIECES = 50_000
 CACHE_PAIRS = 200_000
@@ -381,12 +381,15 @@ ENCODED = StructType(
 )
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def encode_documents(
+    docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", piece_bytes: int = PIECE_BYTES
+) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every text.
 
     ``ids`` holds the token ids as little-endian unsigned 32-bit integers. ``decoded`` is the text
     they decode to; the vocabulary names no decoder, so that is the tokens joined by blanks.
-    ``path`` is the tokenizer file, present on every machine.
+    ``path`` is the tokenizer file, present on every machine. ``piece_bytes`` of text are encoded at
+    once: fewer take less memory of a worker and more time.
     """
 
     def run(batch):
@@ -399,4 +402,4 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
         }
 
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return map_batches(source, "text", run, ENCODED)
+    return map_batches(source, "text", run, ENCODED, piece_bytes)

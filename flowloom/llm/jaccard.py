@@ -56,7 +56,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from flowloom.llm.batches import pieces
+from flowloom.llm.batches import pieces, tidied
 from flowloom.llm.components import connected
 from flowloom.llm.hashing import mix, sequence_hashes, word_hashes
 from flowloom.plans.staging import discard, stage as stage_plainly
@@ -185,7 +185,7 @@ def survey(docs: DataFrame, like: Likeness) -> DataFrame:
             )
 
     kinds = "doc_id long, n long, node long, odd binary, slot int, counts binary"
-    return stage(docs.mapInArrow(run, kinds))
+    return stage(docs.mapInArrow(tidied(run), kinds))
 
 
 def rarity(surveyed: DataFrame) -> np.ndarray:
@@ -288,7 +288,7 @@ def entries(docs: DataFrame, like: Likeness, levels, boundary: int) -> DataFrame
                 for at in range(0, whole.num_rows, 50_000):
                     yield whole.slice(at, 50_000)
 
-    return docs.mapInArrow(run, "token long, node long, n int, pos int")
+    return docs.mapInArrow(tidied(run), "token long, node long, n int, pos int")
 
 
 def inverted_lists(found: DataFrame) -> DataFrame:
@@ -344,7 +344,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
                 [pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], schema=schema
             )
 
-    made = docs.mapInArrow(run, "node long, shingles binary").repartition("node")
+    made = docs.mapInArrow(tidied(run), "node long, shingles binary").repartition("node")
     stored = stage(made.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     sent.unpersist()
     return stored
@@ -363,7 +363,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
     rows = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "oa", "ob")
-    return stage(rows.mapInArrow(run, "a long, b long"))
+    return stage(rows.mapInArrow(tidied(run), "a long, b long"))
 
 
 def linked(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -383,7 +383,7 @@ def linked(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     rows = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
-    return stage(rows.mapInArrow(run, "a long, b long"))
+    return stage(rows.mapInArrow(tidied(run), "a long, b long"))
 
 
 def pivot_pairs(lists: DataFrame, like: Likeness) -> DataFrame:
@@ -510,7 +510,7 @@ def keep_one(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     # The row is carried as one value, so its columns may have any names.
     packed_rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType([*packed_rows.schema.fields, T.StructField("_node", T.LongType())])
-    marked = packed_rows.mapInArrow(run, schema).withColumn(
+    marked = packed_rows.mapInArrow(tidied(run), schema).withColumn(
         "_rep", F.coalesce(F.col("row")["doc_id"].cast("long"), F.lit(NO_ID))
     )
     grouped = marked.join(kept, ["_node", "_rep"], "left_semi").dropDuplicates(["_node", "_rep"])

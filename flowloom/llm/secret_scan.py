@@ -45,7 +45,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from flowloom.llm.batches import map_batches
+from flowloom.llm.batches import map_batches, pieces, tidied
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(
@@ -443,8 +443,6 @@ def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        from flowloom.llm.batches import pieces
-
         for batch in batches:
             for piece in pieces(batch, text):
                 made = []
@@ -454,7 +452,7 @@ def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
                 at = piece.schema.get_field_index(text)
                 yield piece.set_column(at, piece.schema.field(at), pa.array(made, pa.string()))
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(tidied(run), schema)
     if "n_chars" in docs.columns:
         kind = schema["n_chars"].dataType
         return out.withColumn("n_chars", F.length(F.coalesce(F.col(text), F.lit(""))).cast(kind))

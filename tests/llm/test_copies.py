@@ -1,7 +1,9 @@
 """Fingerprints, repeated passages, near copies, quality model and pipeline, against plain versions."""
 
 import hashlib
+import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -9,10 +11,12 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 import corpus_pipeline
-from flowloom.llm import jaccard
+from flowloom.llm import bpe, jaccard
 from flowloom.llm.additive_model import fit, quality_scores, training_rows, tree
+from flowloom.llm.batches import PIECE_BYTES, map_batches
 from flowloom.llm.components import connected
 from flowloom.llm.fingerprint import edited, fingerprint_table, fingerprints, likeness
 from flowloom.llm.jaccard import Likeness, keep_one, near_components
@@ -354,6 +358,50 @@ def test_pipeline_stages_bound_their_batches(spark, no_docs):
     spark.conf.set(name, before)
 
 
+class Task:
+    """In place of a frame: gives the function that a task would run."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def held_mb():
+    with open("/proc/self/smaps_rollup") as file:
+        return int(re.search(r"\nAnonymous:\s+(\d+)", file.read())[1]) / 1024
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="needs Linux")
+def test_workers_give_memory_back_after_a_task():
+    kept = []
+
+    def function(batch):
+        made = [b"%01000d" % i for i in range(100_000)]
+        # What lives on lies between what is freed.
+        kept.extend(made[::1000])
+        return {"n": [len(made)] * batch.num_rows}
+
+    run = map_batches(Task(), "text", function, StructType([StructField("n", LongType())]))
+    before = held_mb()
+    rows = [r for b in run(iter([pa.RecordBatch.from_pydict({"text": ["a"]})])) for r in b.to_pylist()]
+    assert rows == [{"n": 100_000}]
+    assert held_mb() - before < 30
+
+
+def test_pipeline_encodes_smaller_pieces(spark, odd_docs, monkeypatch):
+    limits = []
+
+    def spied(*args):
+        limits.append(args[-1])
+        return map_batches(*args)
+
+    whole = bpe.encode_documents(odd_docs, corpus_pipeline.public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(bpe, "map_batches", spied)
+    monkeypatch.setattr(corpus_pipeline, "ENCODED_BYTES", 100)
+    made = corpus_pipeline.encoding(spark, odd_docs, "")
+    assert limits == [100] and PIECE_BYTES > 1 << 20
+    assert sorted(made.collect(), key=str) == sorted(whole.collect(), key=str)
+
+
 def test_pipeline_stages(spark, make_docs, no_docs, odd_docs):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "ngram_jaccard_join", "secret_scans", "source_mixing", "bpe_encoding"]
